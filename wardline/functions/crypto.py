@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def sha256_hex(c: Column) -> Column:
@@ -45,21 +45,24 @@ def b64url_encode(c: Column) -> Column:
     return F.rtrim(F.translate(F.base64(c.cast("binary")), "+/", "-_"), F.lit("="))
 
 
-def open_token(token: Column, key: bytes, payload_schema: str) -> Column:
-    """Struct(well_formed, authentic, payload) of a ``payload.signature`` token.
+def open_token(df: DataFrame, token: str, key: bytes, payload_schema: str, prefix: str) -> DataFrame:
+    """Add <prefix>_well_formed, <prefix>_authentic and <prefix>_payload for a ``payload.signature`` token.
 
-    The signature covers the transmitted text of the first segment. ``payload`` is null unless authentic,
-    so unverified content can never be read.
+    The signature covers the transmitted text of the first segment. The payload is null unless authentic, so
+    unverified content can never be read. Built in steps so that each digest is computed once per row.
     """
-    parts = F.split(token, r"\.")
-    seg, sig = parts[0], b64url_decode(F.try_element_at(parts, F.lit(2)))
-    body = b64url_decode(seg).cast("string")
-    shaped = F.coalesce((F.size(parts) == 2) & sig.isNotNull() & body.isNotNull() & F.get_json_object(body, "$").isNotNull(), F.lit(False))
-    authentic = shaped & F.coalesce(F.lower(F.hex(sig)) == hmac_sha256(seg, key), F.lit(False))
-    return F.struct(
-        shaped.alias("well_formed"), authentic.alias("authentic"),
-        F.when(authentic, F.from_json(body, payload_schema)).alias("payload"),
-    )
+    c = lambda n: f"{prefix}_{n}"
+    df = df.withColumn(c("parts"), F.split(token, r"\."))
+    df = df.withColumns({
+        c("seg"): F.try_element_at(c("parts"), F.lit(1)), c("sig"): b64url_decode(F.try_element_at(c("parts"), F.lit(2))),
+    })
+    df = df.withColumns({c("body"): b64url_decode(F.col(c("seg"))).cast("string"), c("mac"): hmac_sha256(F.col(c("seg")), key)})
+    shaped = (F.size(c("parts")) == 2) & F.col(c("sig")).isNotNull() & F.get_json_object(c("body"), "$").isNotNull()
+    df = df.withColumn(c("well_formed"), F.coalesce(shaped, F.lit(False)))
+    good = F.col(c("well_formed")) & F.coalesce(F.lower(F.hex(c("sig"))) == F.col(c("mac")), F.lit(False))
+    df = df.withColumn(c("authentic"), good)
+    df = df.withColumn(c("payload"), F.from_json(F.when(F.col(c("authentic")), F.col(c("body"))), payload_schema))
+    return df.drop(*[c(n) for n in ("parts", "seg", "sig", "body", "mac")])
 
 
 def sign_token(payload_json: Column, key: bytes) -> Column:
