@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.functions import crypto as K, expr as X
-from wardline.operators import ordered as O
 
 ASSERTION = "challenge_id string, identity_id string, method string, result string, issued_at double, nonce string, exp double"
 ATTESTATION = "kind string, device_id string, verdict string, nonce string, issued_at double, exp double"
@@ -19,8 +18,12 @@ def nonce_status(df: DataFrame, nonce: str, ts: str, row_id: str, out: str = "re
     First uses come from a map-side-combined minimum, so one nonce repeated in a third of the rows is cheap.
     """
     used = F.col(nonce).isNotNull() & (where if where is not None else F.lit(True))
-    flagged = O.flag_first(df, [nonce], [ts], row_id, "_first", where=used)
-    return flagged.withColumn(out, F.when(used, 1 - F.col("_first"))).drop("_first")
+    # the condition sits inside the aggregate: as a filter it would be pushed below the token checks and
+    # repeat their digests in every predicate
+    first = df.groupBy(nonce).agg(F.min(F.when(used, F.struct(ts, row_id))).alias("_m")).filter("_m is not null")
+    ids = first.select(F.col(f"_m.{row_id}").alias(row_id), F.lit(1).alias("_first"))
+    flagged = df.join(ids, row_id, "left")
+    return flagged.withColumn(out, F.when(used, 1 - F.coalesce(F.col("_first"), F.lit(0)))).drop("_first")
 
 
 def nonce_stream(stream: DataFrame, nonce: str, ts: str, keep: str = "10 minutes") -> DataFrame:

@@ -38,3 +38,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Write a frame to the checkpoint folder once, so that several jobs over it do not repeat its plan."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
