@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from wardline.functions import expr as X
 from wardline.operators import metrics as M
-from wardline.session import checkpoint_dir
+from wardline.operators.splits import take_by_hash
+from wardline.session import checkpoint_dir, materialize
 
 MAX_CATEGORIES = 256
 
@@ -130,7 +131,7 @@ def seed_sweep(train: DataFrame, test: DataFrame, cols: list[str], y: str, seeds
 
 def permutation_importance(model, df: DataFrame, cols: list[str], y: str, row_id: str, repeats: int = 3, sample: int = 50_000, seed: int = 42) -> DataFrame:
     """AP lost when one column is shuffled on a hash sample of at most ``sample`` rows, averaged over repeats."""
-    base = df.select(row_id, y, *cols).orderBy(F.xxhash64(row_id, F.lit(seed)), row_id).limit(sample)
+    base = materialize(take_by_hash(df.select(row_id, y, *cols), row_id, sample, seed))
     ranks = lambda salt: F.row_number().over(Window.orderBy(F.xxhash64(row_id, F.lit(salt)), row_id))  # noqa: E731  (sample rows only)
     full = float(ranking(score(model, base, cols), y).first()["pr_auc"])
     rows = []

@@ -22,7 +22,8 @@ def budget_sweep(scored: DataFrame, budgets: list[int], score: str = "score") ->
     found = _within(scored, budgets, score).groupBy("budget").agg(
         F.count_if(hit).alias("_rows"), F.count_distinct(F.when(hit, F.col("user"))).alias("users_found")
     )
-    pos, users = totals.select("n_pos").scalar(), totals.select("n_users").scalar()
+    both = totals.select(F.struct("*").alias("t")).scalar()
+    pos, users = both["n_pos"], both["n_users"]
     return found.select(
         "budget", (F.col("_rows") / F.greatest(pos, F.lit(1))).alias("userday_recall"), "users_found", users.alias("users_total"),
         F.try_divide("users_found", users).alias("detection_rate"),

@@ -83,11 +83,11 @@ def trailing_count(df: DataFrame, entity: str, ts: str, seconds: int = 300, out:
 
 
 # ---- novelty, habits, sharing ---------------------------------------------------
-def novelty(df: DataFrame, entity: str, value: str, cold: float, out: str) -> DataFrame:
-    """``cold`` on the entity's first row, else 0 when the value was seen before, else 1 (plain window form)."""
-    first_ever = F.row_number().over(Window.partitionBy(entity).orderBy("ts", "event_id")) == 1
-    first_value = F.row_number().over(Window.partitionBy(entity, value).orderBy("ts", "event_id")) == 1
-    return df.withColumn(out, F.when(first_ever, F.lit(cold)).when(first_value, F.lit(1.0)).otherwise(F.lit(0.0)))
+def novelty(df: DataFrame, entity: str, value: str, cold: float, out: str, ts: str = "ts", row_id: str = "event_id") -> DataFrame:
+    """``cold`` on the entity's first row, else 0 when the value was seen before, else 1."""
+    df = O.flag_first(df, [entity], [ts], row_id, "_first")
+    df = O.flag_first(df, [entity, value], [ts], row_id, "_new")
+    return df.withColumn(out, F.when(F.col("_first") == 1, F.lit(cold)).otherwise(F.col("_new").cast("double"))).drop("_first", "_new")
 
 
 def _hour_deviation(part: list[str], n: str):

@@ -12,45 +12,70 @@ FINAL_ROWS = 1_000_000
 
 
 def exact_quantile(df: DataFrame, c: Column, q: float, final_rows: int = FINAL_ROWS) -> float | None:
-    """Exact linear-interpolated quantile by bracketing.
+    """Exact linear-interpolated quantile without ever sorting the table.
 
-    Each pass is one map-side-combined scan that narrows the value range around the wanted rank with a
-    mergeable sketch; only the last, bounded bracket is ranked row by row. No task holds all values.
+    Each pass is a map-side-combined scan: a mergeable sketch brackets the wanted ranks, and exact counts say in
+    which part they lie. Ties at the bracket ends are settled by counting, the open middle is bracketed again,
+    and only a middle of at most ``final_rows`` rows is ranked row by row.
     """
     v = df.select(c.cast("double").alias("v")).filter("v is not null and not isnan(v)")
-    eps = 1e-4
-    n, lo, hi = v.agg(F.count("v"), *_bracket(q, eps)).first()
-    if n == 0:
+    size = v.count()
+    if size == 0:
         return None
-    pos = q * (n - 1)
+    pos = q * (size - 1)
     k, frac = math.floor(pos), pos - math.floor(pos)
-    below, cur = 0, v
-    while n > final_rows:
-        inside = (F.col("v") >= lo) & (F.col("v") <= hi)
-        less, kept, distinct = cur.agg(
-            F.count_if(F.col("v") < lo), F.count_if(inside), F.approx_count_distinct(F.when(inside, F.col("v")))
-        ).first()
-        fits = below + less <= k and k + 1 < below + less + kept
-        if not fits or kept == n:
+    found: dict[int, float] = {}
+    todo = [k] if frac == 0 else [k, k + 1]
+    cur, below = v, 0
+    while todo:
+        if size <= final_rows:
+            # a bounded remainder, so one ordered pass is fine
+            order = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+            ranked = cur.groupBy("v").count().withColumn("upto", F.sum("count").over(order))
+            row = ranked.agg(*[F.min(F.when(F.col("upto") > r - below, F.col("v"))) for r in todo]).first()
+            found |= dict(zip(todo, row))
             break
-        below, n, cur = below + less, kept, cur.filter(inside)
-        if distinct <= final_rows // 2:
-            break
-        inner = (k - below) / max(n - 1, 1)
-        lo, hi = cur.agg(*_bracket(inner, eps)).first()
-    ties = cur.groupBy("v").count()
-    # at most final_rows distinct values are left here, so one ordered pass is fine
-    ranked = ties.withColumn("upto", F.sum("count").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    r = ranked.agg(
-        F.min(F.when(F.col("upto") > k - below, F.col("v"))).alias("a"),
-        F.min(F.when(F.col("upto") > k + 1 - below, F.col("v"))).alias("b"),
-    ).first()
-    a, b = r["a"], r["b"] if r["b"] is not None else r["a"]
-    return float(a + (b - a) * frac)
-
-
-def _bracket(q: float, eps: float) -> list[Column]:
-    return [F.percentile_approx("v", max(0.0, q - eps), 20_000), F.percentile_approx("v", min(1.0, q + eps), 20_000)]
+        eps = 1e-4
+        ends = [max(0.0, (todo[0] - below) / size - eps), min(1.0, (todo[-1] + 1 - below) / size + eps)]
+        a, b = cur.agg(*[F.percentile_approx("v", e, 20_000) for e in ends]).first()
+        x = F.col("v")
+        parts = {"lt": x < a, "lo": x == a, "mid": (x > a) & (x < b), "hi": (x == b) & (x > a), "gt": x > b}
+        stats = cur.agg(*[f(F.when(cond, x)).alias(f"{p}_{n}") for p, cond in parts.items() for n, f in (("n", F.count), ("min", F.min), ("max", F.max))]).first()
+        left = None
+        for r in list(todo):
+            at = r - below
+            for p in parts:
+                n = stats[f"{p}_n"]
+                if at < n:
+                    edge = stats[f"{p}_min"] if at == 0 or p in ("lo", "hi") else stats[f"{p}_max"] if at == n - 1 else None
+                    if edge is None:
+                        left = p
+                    else:
+                        found[r] = edge
+                        todo.remove(r)
+                    break
+                at -= n
+        if left:
+            names = list(parts)
+            below += sum(stats[f"{p}_n"] for p in names[:names.index(left)])
+            size, cur = stats[f"{left}_n"], cur.filter(parts[left])
+    low = found[k]
+    return float(low if frac == 0 else low + (found[k + 1] - low) * frac)
+
+
+def take_by_hash(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
+    """Exactly n rows (all if fewer) in a seeded hash order.
+
+    The hash order is cut by a filter slightly above n first, so the final take sees about n rows in total.
+    """
+    u = F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(2**53)) / float(2**53)
+    ranked = df.withColumn("_u", u)
+    total = df.count()
+    if total > 4 * n:
+        near = ranked.filter(F.col("_u") < (n + 10 * math.sqrt(n) + 50) / total)
+        if near.count() >= n:
+            ranked = near
+    return ranked.orderBy("_u", row_id).limit(n).drop("_u")
 
 
 def login_population(df: DataFrame, mode: str = "success", success="success", takeover="takeover", ts="ts") -> DataFrame:
@@ -87,7 +112,7 @@ def split_label_quantile(df: DataFrame, ts: str, y: str, q: float = 0.6) -> tupl
 def cap_negatives(df: DataFrame, y: str, cap: int, seed: int, row_id: str) -> DataFrame:
     """All positives and exactly ``cap`` negatives, chosen by hash order (a seeded, repeatable draw)."""
     pos, neg = df.filter(F.col(y) == 1), df.filter(F.col(y) == 0)
-    return pos.unionByName(neg.orderBy(F.xxhash64(row_id, F.lit(seed)), row_id).limit(cap))
+    return pos.unionByName(take_by_hash(neg, row_id, cap, seed))
 
 
 def thin_negatives(df: DataFrame, y: str, fraction: float, seed: int, row_id: str) -> DataFrame:

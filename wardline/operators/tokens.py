@@ -36,14 +36,13 @@ def idempotency_status(df: DataFrame, caller: str, key: str, fingerprint: str, t
 
     The first fingerprint per key is a combined minimum; requests join it back.
     """
-    keyed = F.col(key).isNotNull()
-    first = df.filter(keyed).groupBy(caller, key).agg(F.min(F.struct(F.col(ts).alias("t"), F.col(row_id).alias("i"), F.col(fingerprint).alias("f"))).alias("_f"))
-    out = df.join(first, [caller, key], "left")
-    status = (
-        F.when(~keyed, "no_key").when(F.col(row_id) == F.col("_f.i"), "first")
-        .when(F.col(fingerprint) == F.col("_f.f"), "replay").otherwise("conflict")
-    )
-    return out.withColumn("status", status).drop("_f")
+    keyed = df.filter(F.col(key).isNotNull())
+    body = F.struct(F.col(ts).alias("t"), F.col(row_id).alias("i"), F.col(fingerprint).alias("f"))
+    first = keyed.groupBy(caller, key).agg(F.min(body).alias("_f"))
+    status = F.when(F.col(row_id) == F.col("_f.i"), "first").when(F.col(fingerprint) == F.col("_f.f"), "replay").otherwise("conflict")
+    judged = keyed.join(first, [caller, key]).withColumn("status", status).select(*df.columns, "status")
+    # requests without a key never take part, so they are not shuffled
+    return judged.unionByName(df.filter(F.col(key).isNull()).withColumn("status", F.lit("no_key")))
 
 
 def assertion_status(df: DataFrame, key: bytes, now: Column, token: str = "token", identity: str = "identity_id",

@@ -169,6 +169,11 @@ def counterfactual(spark, sf):
     return f.select("event_id", X.counterfactual(X.attribution(), F.col("amount"), F.col("amount_mean")).alias("counterfactual"))
 
 
+@query("novelty", "E7", f"with {SQL_REPLAY} select event_id, new_geo from features")
+def novelty(spark, sf):
+    return H.novelty(V.identity_events(spark, sf), "identity_id", "geo", 0.5, "new_geo").select("event_id", "new_geo")
+
+
 # ---- per-entity order -----------------------------------------------------------
 @query(
     "causal_index", "E1",

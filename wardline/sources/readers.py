@@ -89,10 +89,12 @@ def read_event_stream(spark: SparkSession, fmt: str, options: dict[str, str]) ->
         return src.select(F.col("value").cast("string").alias("raw"))
     if fmt == "json":
         opts = dict(options)
-        return spark.readStream.options(**opts).text(opts.pop("path")).select(F.col("value").alias("raw"))
+        path = opts.pop("path")
+        return spark.readStream.options(**opts).text(path).select(F.col("value").alias("raw"))
     if fmt == "parquet":
         opts = dict(options)
-        return spark.readStream.schema(C.EVENT).options(**opts).parquet(opts.pop("path"))
+        path = opts.pop("path")
+        return spark.readStream.schema(C.EVENT).options(**opts).parquet(path)
     raise ValueError(f"unknown stream format {fmt!r}")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def save_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -29,16 +29,21 @@ def write_leaderboard(df: DataFrame, path: str) -> None:
 def append_new_decisions(batch: DataFrame, path: str) -> None:
     """Insert rows whose event_id is not stored yet. Only the days present in the batch are read back."""
     spark = batch.sparkSession
-    rows = batch.dropDuplicates(["event_id"]).withColumn("day", F.to_date("ts"))
+    # several reads of a stateful micro-batch would run it several times
+    rows = batch.dropDuplicates(["event_id"]).withColumn("day", F.to_date("ts")).persist()
     try:
-        stored = spark.read.parquet(path).select("event_id", "day")
-    except AnalysisException:
-        stored = None
-    if stored is not None:
-        days = [r[0] for r in rows.select("day").distinct().limit(10_000).collect()]
-        scope = stored.filter(F.col("day").isin(*days)) if len(days) < 10_000 else stored
-        rows = rows.join(scope.select("event_id"), "event_id", "left_anti")
-    rows.write.mode("append").partitionBy("day").parquet(path)
+        new = rows
+        try:
+            stored = spark.read.parquet(path).select("event_id", "day")
+        except AnalysisException:
+            stored = None
+        if stored is not None:
+            days = [r[0] for r in rows.select("day").distinct().limit(10_000).collect()]
+            scope = stored.filter(F.col("day").isin(*days)) if len(days) < 10_000 else stored
+            new = rows.join(scope.select("event_id"), "event_id", "left_anti")
+        new.write.mode("append").partitionBy("day").parquet(path)
+    finally:
+        rows.unpersist()
 
 
 def write_decisions(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False):
@@ -77,5 +82,4 @@ def profile(df: DataFrame, labels: list[str], entities: list[str], ts: Column |
 
 def type_counts(df: DataFrame, column: str) -> DataFrame:
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row per type
-    return counts.withColumn("share", F.col("n") / total)
+    return counts.withColumn("share", F.col("n") / df.agg(F.count(F.lit(1)).alias("total")).scalar())

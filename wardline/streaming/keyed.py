@@ -2,32 +2,86 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
+from wardline.operators import ordered as O
+from wardline.session import checkpoint_dir
 
-def keyed_fold(df: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable, schema: str) -> DataFrame:
-    """Run ``step(state, row) -> tuple | None`` over each key's rows in order.
 
-    Rows are hashed by key and sorted inside the task (Spark spills as needed), then pass through in Arrow
-    batches; only the state of the current key stays in memory, whatever the key's length. Use it where a
-    row's result depends on earlier results, so that no window can express it.
-    """
-    names = [f.split()[0] for f in schema.split(",")]
+def _runner(key: str, start: Callable, step: Callable, names: list[str], keep_state: Callable | None = None):
+    """mapInPandas body; with ``keep_state`` the state of every finished key follows as one extra row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = object(), None
+        none, current, state = object(), None, None
+        current = none
+
+        def closing():
+            return [] if keep_state is None or current is none else [(*[None] * len(names), current, keep_state(state))]
+
+        columns = names + (["_key", "_state"] if keep_state else [])
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
                 k = getattr(row, key)
                 if k != current:
-                    current, state = k, start()
+                    out += closing()
+                    current, state = k, start(k)
                 r = step(state, row)
                 if r is not None:
-                    out.append(r)
-            yield pd.DataFrame.from_records(out, columns=names)
+                    out.append((*r, None, None) if keep_state else r)
+            yield pd.DataFrame.from_records(out, columns=columns)
+        if keep_state and current is not none:
+            yield pd.DataFrame.from_records(closing(), columns=columns)
+
+    return run
+
+
+def keyed_fold(df: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable, schema: str,
+               position: Column | None = None, dump: Callable | None = None, load: Callable | None = None,
+               hot_rows: int = O.HOT_ROWS, probe_on: DataFrame | None = None) -> DataFrame:
+    """Run ``step(state, row) -> tuple | None`` over each key's rows in order.
+
+    Rows are hashed by key and sorted inside the task (Spark spills as needed), then pass through in Arrow
+    batches; only the state of the current key stays in memory. Use it where a row's result depends on earlier
+    results, so that no window can express it.
+
+    Such a key cannot be split across tasks that run at once. With ``position``, ``dump`` and ``load`` a key
+    above ``hot_rows`` rows is cut into time slices that run one after the other, each a bounded task that
+    starts from the saved state of the one before: a lost executor repeats one slice, not the key's history.
+    """
+    names = [f.split()[0] for f in schema.split(",")]
+
+    def whole(frame: DataFrame) -> DataFrame:
+        return frame.repartition(key).sortWithinPartitions(key, *order).mapInPandas(_runner(key, lambda _: start(), step, names), schema)
+
+    if position is None or dump is None or load is None:
+        return whole(df)
+    s = O.probe(probe_on if probe_on is not None else df, [key], position, hot_rows)
+    if not s.split:
+        return whole(df)
+    spark, hot = df.sparkSession, F.broadcast(s.cuts.select(key))
+    base = f"{checkpoint_dir(spark)}/fold-{uuid.uuid4().hex}"
+    sliced = O.with_slice(df.join(hot, key, "left_semi"), s, position)
+    sliced.repartition(key, "_slice").write.partitionBy("_slice").parquet(f"{base}/rows")
+    rows = spark.read.parquet(f"{base}/rows")
+    kept: dict = {}
+    order_of_slices = sorted(r[0] for r in rows.select("_slice").distinct().collect())
+    for i in order_of_slices:
+        seen = dict(kept)  # one entry per hot key
+
+        def resume(k, seen=seen):
+            return load(seen[k]) if k in seen else start()
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+        part = rows.filter(F.col("_slice") == i).drop("_slice").select(*df.columns)
+        part = part.repartition(key).sortWithinPartitions(key, *order)
+        kind = df.schema[key].dataType.simpleString()
+        out = part.mapInPandas(_runner(key, resume, step, names, dump), f"{schema}, _key {kind}, _state string")
+        out.write.parquet(f"{base}/out/slice={i}")
+        ended = spark.read.parquet(f"{base}/out/slice={i}").filter(F.col("_state").isNotNull())
+        kept |= {r["_key"]: r["_state"] for r in ended.select("_key", "_state").collect()}
+    done = spark.read.parquet(f"{base}/out").filter(F.col("_state").isNull()).select(*names)
+    return whole(df.join(hot, key, "left_anti")).unionByName(done)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardline import schemas as C
 from wardline.functions import expr as X
-from wardline.operators import history as H
+from wardline.operators import history as H, ordered as O
 from wardline.streaming import fold as T
 from wardline.streaming.keyed import keyed_fold
 
@@ -52,11 +53,12 @@ def outcome_rows(outcomes: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def trust_decisions(events: DataFrame, outcomes: DataFrame | None = None, similarity: str | None = None,
-                    ml_risk: str | None = None, params: T.Params = T.Params()) -> DataFrame:
+                    ml_risk: str | None = None, params: T.Params = T.Params(), hot_rows: int = O.HOT_ROWS) -> DataFrame:
     """One decision per event, folding each identity in event time.
 
     A decision depends on the decisions before it, so one identity is one sequence; its rows stream through
-    the task and only its profile is kept. Device sharing, which crosses identities, is computed up front.
+    the task and only its profile is kept. A hot identity runs in time slices that hand the profile on. Device
+    sharing, which crosses identities, is computed up front.
     """
     rows = prepare(H.device_sharing(events), similarity, ml_risk)
     if outcomes is not None:
@@ -68,7 +70,10 @@ def trust_decisions(events: DataFrame, outcomes: DataFrame | None = None, simila
             return None
         return T.advance(state, row, params)
 
-    return keyed_fold(rows, "identity_id", ["ts", "kind", "event_id"], T.State, step, T.RESULT)
+    return keyed_fold(
+        rows, "identity_id", ["ts", "kind", "event_id"], T.State, step, T.RESULT, position=F.col("ts_seconds"), dump=T.State.dump,
+        load=T.State.load, hot_rows=hot_rows, probe_on=events.select("identity_id", (X.micros("ts") / 1e6).alias("ts_seconds")),
+    )
 
 
 def explain(decisions: DataFrame) -> DataFrame:
@@ -163,7 +168,8 @@ def to_audit_payload(explained: DataFrame) -> DataFrame:
     return body.select("event_id", "ts", X.canonical_json(*fields).alias("payload"))
 
 
-def step_up_limits(attempts: DataFrame, window: float = 300.0, max_failures: int = 20, max_accepted: int = 5) -> DataFrame:
+def step_up_limits(attempts: DataFrame, window: float = 300.0, max_failures: int = 20, max_accepted: int = 5,
+                   hot_rows: int = O.HOT_ROWS) -> DataFrame:
     """Status of each step-up attempt (attempt_id, identity_id, ts, valid).
 
     20 failures inside the window refuse everything; only accepted attempts use up the accepted budget, so
@@ -187,4 +193,4 @@ def step_up_limits(attempts: DataFrame, window: float = 300.0, max_failures: int
         return row.attempt_id, row.identity_id, status
 
     return keyed_fold(src, "identity_id", ["t", "attempt_id"], lambda: {"bad": [], "good": []}, step,
-                      "attempt_id long, identity_id string, status string")
+                      "attempt_id long, identity_id string, status string", position=F.col("t"), dump=json.dumps, load=json.loads, hot_rows=hot_rows)
