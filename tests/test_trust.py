@@ -70,7 +70,8 @@ def test_step_up_outcomes_move_trust(spark):
     base = run(spark, warm(3) + again)[-1]["trust"]
     after = lambda p: run(spark, warm(3) + again, [("u1", T0 + timedelta(minutes=30), p)])[-1]["trust"]
     assert start > 700
-    assert after(True) - base == min(250, 1000 - start) and after(False) - base == -400
+    gain = base - start
+    assert after(True) == min(min(start + 250, 1000) + gain, 1000) and after(False) == start - 400 + gain
 
 
 def test_impossible_travel_flags_and_keeps_flagging(spark):
