@@ -35,14 +35,14 @@ def pseudonymize(identifier: Column, key: bytes | None) -> Column:
 
 
 def b64url_decode(c: Column) -> Column:
-    """Base64url without padding to binary; null when not decodable."""
-    std = F.translate(c, "-_", "+/")
-    pad = F.repeat(F.lit("="), F.pmod(-F.length(std), F.lit(4)).cast("int"))
-    return F.try_to_binary(F.concat(std, pad), F.lit("base64"))
+    """Base64url without padding to binary; null when not decodable (tested first, so nothing is thrown per row)."""
+    pad = F.repeat(F.lit("="), F.pmod(-F.length(c), F.lit(4)).cast("int"))
+    usable = c.rlike("^[A-Za-z0-9_-]+$") & (F.length(c) % 4 != 1)
+    return F.when(usable, F.unbase64(F.concat(F.translate(c, "-_", "+/"), pad)))
 
 
 def b64url_encode(c: Column) -> Column:
-    return F.rtrim(F.translate(F.base64(c.cast("binary")), "+/", "-_"), F.lit("="))
+    return F.translate(F.base64(c.cast("binary")), "+/=\r\n", "-_")
 
 
 def open_token(df: DataFrame, token: str, key: bytes, payload_schema: str, prefix: str) -> DataFrame:

@@ -90,13 +90,13 @@ def novelty(df: DataFrame, entity: str, value: str, cold: float, out: str, ts: s
     return df.withColumn(out, F.when(F.col("_first") == 1, F.lit(cold)).otherwise(F.col("_new").cast("double"))).drop("_first", "_new")
 
 
-def _hour_deviation(part: list[str], n: str):
+def _hour_deviation(part: list[str], n: str, order: list[str]):
     """Smallest circular distance to the hours of the last 200 rows.
 
     There are 24 hours, so it is enough to know the last position of each: 24 running maxima instead of a
     200-element list per row.
     """
-    w = Window.partitionBy(*part).orderBy(n).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     last = {f"_h{h}": F.max(F.when(F.col("hour_of_day") == h, F.col(n))).over(w) for h in range(24)}
     gap = []
     for h in range(24):
@@ -162,16 +162,16 @@ def replay_features(events: DataFrame, behavior: str | None = None, hot_rows: in
     df = O.ordinal(events, [key], [F.col(c) for c in order], s, _pos("ts"), "n")
     if not s.split:
         first = lambda v: F.row_number().over(Window.partitionBy(key, v).orderBy(*order)) == 1
-        df = df.withColumns({"_fd": first("device_id").cast("int"), "_fg": first("geo").cast("int")})
-        last, hour_dev = _hour_deviation([key], "n")
+        last, hour_dev = _hour_deviation([key], "n", order)
         df = df.withColumns(last).withColumn("hour_deviation", hour_dev).drop(*last)
+        df = df.withColumns({"_fd": first("device_id").cast("int"), "_fg": first("geo").cast("int")})
         df = df.withColumn("_has", F.col("amount").isNotNull())
         df = df.withColumns(_amount_stats([key, "_has"], order))
     else:
         df = O.flag_first(df, [key, "device_id"], ["ts"], "event_id", "_fd")
         df = O.flag_first(df, [key, "geo"], ["ts"], "event_id", "_fg")
         df, part = O.blocks(df, [key], s, "n", back=C.HISTORY, size=block)
-        last, hour_dev = _hour_deviation(part, "n")
+        last, hour_dev = _hour_deviation(part, "n", order)
         df = O.done(df.withColumns(last).withColumn("hour_deviation", hour_dev).drop(*last))
         paid = df.filter(F.col("amount").isNotNull()).select(key, *order, "amount")
         paid = O.ordinal(paid, [key], [F.col(c) for c in order], s, _pos("ts"), "_m")

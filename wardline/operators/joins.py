@@ -38,10 +38,11 @@ def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default) -> Da
 
 def interval_label(userday: DataFrame, windows: DataFrame, out: str = "y") -> DataFrame:
     """1 when the day lies inside any of the user's windows; overlapping windows never duplicate a row."""
-    w = windows.select(F.col("user").alias("_u"), "start_day", "end_day")
-    inside = (F.col("user") == F.col("_u")) & F.col("day").between(F.col("start_day"), F.col("end_day"))
-    hits = userday.select("user", "day").join(w, inside, "left_semi").distinct().withColumn(out, F.lit(1))
-    return userday.join(hits, ["user", "day"], "left").withColumn(out, F.coalesce(F.col(out), F.lit(0)))
+    w = windows.select(F.col("user").alias("_u"), F.col("start_day").alias("_from"), F.col("end_day").alias("_to"))
+    joined = userday.join(w, F.col("user") == F.col("_u"), "left")
+    inside = F.coalesce(F.col("day").between(F.col("_from"), F.col("_to")), F.lit(False)).cast("int")
+    # rows stay hashed by user after the join, so the collapse to one row per day needs no further shuffle
+    return joined.groupBy(*userday.columns).agg(F.max(inside).alias(out))
 
 
 def impostor_pairs(templates: DataFrame, attempts: DataFrame, subject: str, grid: int = 4) -> DataFrame:

@@ -56,8 +56,10 @@ def robust_deviation(df: DataFrame, key: str, cols: list[str], causal: bool = Fa
     day leaks in. A key has one row per day, which bounds the frame.
     """
     if not causal:
-        stats = median_mad(df, key, cols)
-        out = df.join(stats, key)
+        # one shuffle by key serves both medians; a key has one row per day, so its group is bounded
+        w = Window.partitionBy(key)
+        out = df.withColumns({f"med_{c}": F.median(c).over(w) for c in cols})
+        out = out.withColumns({f"mad_{c}": F.median(F.abs(F.col(c) - F.col(f"med_{c}"))).over(w) for c in cols})
         med = {c: F.col(f"med_{c}") for c in cols}
         mad = {c: F.col(f"mad_{c}") for c in cols}
     else:

@@ -8,6 +8,7 @@ from wardline.functions import crypto as K, expr as X
 from wardline.operators import encode as E, joins as J, metrics as M, splits as S, userday as U
 from wardline.plans import fixtures as V
 from wardline.plans.registry import query
+from wardline.session import materialize
 
 _R = lambda c, n=6: F.round(F.col(c), n).alias(c)
 
@@ -300,7 +301,7 @@ def budget_sweep(spark, sf):
 def budget_table(spark, sf):
     from wardline.operators.fairness import budget_sweep as sweep
 
-    return sweep(scored_userdays(spark, sf), [5, 10, 25, 50])
+    return sweep(materialize(scored_userdays(spark, sf)), [5, 10, 25, 50])
 
 
 @query(
@@ -313,7 +314,7 @@ def budget_table(spark, sf):
 def budget_by_scenario(spark, sf):
     from wardline.operators.fairness import budget_by_scenario as by_scenario
 
-    return by_scenario(scored_userdays(spark, sf), V.windows(spark, sf), [5, 10, 25, 50])
+    return by_scenario(materialize(scored_userdays(spark, sf)), V.windows(spark, sf), [5, 10, 25, 50])
 
 
 # ---- joins and sets -------------------------------------------------------------
