@@ -146,6 +146,17 @@ def cap_negatives(spark, sf):
     return S.cap_negatives(V.scores(spark, sf), "y", 1000, 42, "row_id").select("row_id", "y")
 
 
+@query(
+    "cap_negatives_counts", "B18",
+    f"with {V.SQL_SCORES} select y, case when y = 1 then count(*) else least(count(*), 1000) end as n, count(*) as of from scores group by 1",
+)
+def cap_negatives_counts(spark, sf):
+    """Exactly the cap is drawn, and every drawn row is a distinct row of the table."""
+    s = V.scores(spark, sf)
+    capped = S.cap_negatives(s, "y", 1000, 42, "row_id").groupBy("y").agg(F.count_distinct("row_id").alias("n"))
+    return capped.join(s.groupBy("y").agg(F.count(F.lit(1)).alias("of")), "y")
+
+
 @query("stratified_sample", "A8")
 def stratified_sample(spark, sf):
     return S.stratified_sample(V.scores(spark, sf), "y", 0.02, 42, "row_id").select("row_id", "y")

@@ -10,7 +10,7 @@ from wardline.models import iforest as IF, keystroke as KS, scale as SC, supervi
 from wardline.operators import bootstrap as BS, history as H, metrics as M
 from wardline.plans import fixtures as V
 from wardline.plans.q_features import MEASURES, deviations
-from wardline.plans.q_metrics import user_eer
+from wardline.plans.q_metrics import curve_sql, user_eer
 from wardline.plans.registry import query
 from wardline.session import materialize
 
@@ -35,10 +35,21 @@ def keystroke_scaled_manhattan(spark, sf):
     return KS.scaled_manhattan(keystrokes(spark, sf), "subject", "vec_id", "embedding", DIMS, ENROL, IMPOSTOR).select("user", "vec_id", "y", _R("score", 4))
 
 
-@query("keystroke_eer", "J5,K14")
+_KEYSTROKE_EER_SQL = f"""with {_MAN_SQL}, src as (select "user", y, round(score, 9) as score, 0.0 as amount from sc), {curve_sql(source="src", by='"user"')},
+  seq as (select *, row_number() over w as i, lead(pos) over w as np1, lead(neg) over w as nn1 from curve window w as (partition by "user" order by threshold desc)),
+  kept as (select * from seq where i = 1 or np1 is null or np1 <> pos or nn1 <> neg),
+  pick as (select * from kept qualify row_number() over (partition by "user" order by abs(fpr - (1 - tpr)), threshold desc) = 1),
+  auc as (select "user", sum(neg * (tp - pos + tp) / 2.0 / (np * nn)) as roc_auc from curve group by 1),
+  eer as (select case when abs(fpr - (1 - tpr)) >= 1 then 0.5 else (fpr + 1 - tpr) / 2 end as eer, roc_auc from pick join auc using ("user"))
+  select count(*) as users, round(avg(eer), 6) as mean_eer, round(median(eer), 6) as median_eer, round(stddev_samp(eer), 6) as std_eer, round(avg(roc_auc), 6) as mean_roc_auc from eer"""
+
+
+@query("keystroke_eer", "J5,K14", _KEYSTROKE_EER_SQL)
 def keystroke_eer(spark, sf):
     s = KS.scaled_manhattan(keystrokes(spark, sf), "subject", "vec_id", "embedding", DIMS, ENROL, IMPOSTOR)
-    return M.eer_summary(M.per_user_eer(M.roc_curve(s, ["user"], drop_collinear=True), "user"))
+    s = materialize(s.withColumn("score", F.round("score", 9)))
+    out = M.eer_summary(M.per_user_eer(M.roc_curve(s, ["user"], drop_collinear=True), "user"))
+    return out.select("users", *[_R(c) for c in ("mean_eer", "median_eer", "std_eer", "mean_roc_auc")])
 
 
 @query("keystroke_mahalanobis", "J6")

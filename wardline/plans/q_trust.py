@@ -11,6 +11,7 @@ from wardline.plans import fixtures as V
 from wardline.plans.q_features import KEY, sql_hmac
 from wardline.plans.q_history import SQL_REPLAY
 from wardline.plans.registry import query
+from wardline.plans.trust_sql import trust_sql
 from wardline.sources import readers as R, tables as TB
 from wardline.streaming import fold, trust as TR
 
@@ -21,26 +22,39 @@ def decisions(spark, sf, params=fold.Params(require_model=False)):
     return TR.trust_decisions(V.identity_events(spark, sf), params=params)
 
 
-@query("trust_decisions", "I1,I7,I8,L5,L9,L10")
+@query(
+    "trust_decisions", "I1,I7,I8,L5,L9,L10",
+    f"""with recursive {trust_sql()} select event_id, identity_id, shown as trust, band as risk_band, decision, coalesce(method, 'none') as step_up_method,
+      round(risk, 9) as event_risk, impossible, reviewed as drift_review, cast(allowed as bigint) as events_seen, cast(len(devices) as bigint) as known_devices from d""",
+)
 def trust_decisions(spark, sf):
+    d = decisions(spark, sf)
+    return d.select("event_id", "identity_id", "trust", "risk_band", "decision", F.coalesce("step_up_method", F.lit("none")).alias("step_up_method"),
+                    _R("event_risk", 9), "impossible", "drift_review", "events_seen", "known_devices")
+
+
+@query("trust_explained", "I1,L11,L12,F3")
+def trust_explained(spark, sf):
     d = TR.explain(decisions(spark, sf))
-    return d.select("event_id", "identity_id", "trust", "risk_band", "decision", "step_up_method", _R("event_risk"), "impossible",
-                    F.col("reason_codes")[0].alias("first_reason"), "counterfactual")
+    return d.select("event_id", F.col("reason_codes")[0].alias("first_reason"), "counterfactual")
 
 
-@query("trust_decisions_legacy", "L13")
+@query("trust_decisions_legacy", "L13", f"with recursive {trust_sql(drift=False, cap=10**9, prior=False, travel=False)} select band as risk_band, decision, count(*) as events from d group by all")
 def trust_decisions_legacy(spark, sf):
     d = decisions(spark, sf, fold.Params.legacy(require_model=False))
     return d.groupBy("risk_band", "decision").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("trust_degraded", "I12")
+@query("trust_degraded", "I12", f"with recursive {trust_sql(degraded=True)} select event_type, band as risk_band, decision, count(*) as events from d group by all")
 def trust_degraded(spark, sf):
     d = decisions(spark, sf, fold.Params())
     return d.groupBy("event_type", "risk_band", "decision").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("trust_with_outcomes", "I3")
+@query(
+    "trust_with_outcomes", "I3",
+    f"with recursive {trust_sql(outcome='case when event_id % 10 = 0 then event_id % 30 <> 0 end')} select event_id, shown as trust, decision from d",
+)
 def trust_with_outcomes(spark, sf):
     e = V.identity_events(spark, sf)
     o = e.filter("event_id % 10 = 0").select("identity_id", "ts", (F.col("event_id") % 30 != 0).alias("passed"))
@@ -48,18 +62,29 @@ def trust_with_outcomes(spark, sf):
     return d.select("event_id", "trust", "decision")
 
 
-@query("identity_snapshot", "B26")
+@query(
+    "identity_snapshot", "B26",
+    f"""with recursive {trust_sql()} select identity_id, trust, cast(len(devices) as bigint) as known_devices, cast(allowed as bigint) as events_seen
+      from d qualify row_number() over (partition by identity_id order by ts desc, event_id desc) = 1""",
+)
 def identity_snapshot(spark, sf):
     return TR.identity_snapshot(decisions(spark, sf))
 
 
-@query("friction_change", "D19")
+_FRICTION_SQL = f"""with a as (with recursive {trust_sql()} select avg(cast(decision <> 'ALLOW' as int)) as r from d where n = 0),
+  b as (with recursive {trust_sql(prior=False)} select avg(cast(decision <> 'ALLOW' as int)) as r, count(*) as n from d where n = 0)
+  select b.n as n_before, round(b.r, 6) as rate_before, round(a.r, 6) as rate_after, round(b.r - a.r, 6) as absolute_reduction,
+    round(coalesce(100 * (b.r - a.r) / nullif(b.r, 0), 0.0), 6) as relative_reduction_pct from a, b"""
+
+
+@query("friction_change", "D19", _FRICTION_SQL)
 def friction_change(spark, sf):
     """Challenge rate of each identity's first event without and with the first-contact prior."""
     before = decisions(spark, sf, fold.Params(cold_prior=False, require_model=False))
     after = decisions(spark, sf)
     first = lambda d: H_first(d).select((F.col("decision") != "ALLOW").alias("selected"))
-    return FA.friction_change(first(before), first(after))
+    out = FA.friction_change(first(before), first(after))
+    return out.select("n_before", *[_R(c) for c in ("rate_before", "rate_after", "absolute_reduction", "relative_reduction_pct")])
 
 
 def H_first(d):
@@ -215,7 +240,18 @@ def bind_tokens(spark, sf):
     return bind(e, a, b).select("event_id", "bound_similarity")
 
 
-@query("step_up_limits", "I6")
+_LIMIT_SQL = """with recursive a as (select event_id as attempt_id, 'u'||(user_id % 3) as identity_id, (epoch_us(ts) / 1000000.0) / 20 as t, event_type <> 'error' as valid,
+    row_number() over (partition by user_id % 3 order by ts, event_id) as n from events),
+  f as (select identity_id, cast(0 as bigint) as n, cast(null as bigint) as attempt_id, cast([] as double[]) as bad, cast([] as double[]) as good, '' as status from (select distinct identity_id from a)
+    union all
+    select identity_id, n, attempt_id, case when status = 'rejected' then list_append(bad, t) else bad end, case when status = 'accepted' then list_append(good, t) else good end, status
+    from (select *, case when len(bad) >= 20 then 'refused_failures' when not valid then 'rejected' when len(good) >= 5 then 'refused_accepted' else 'accepted' end as status
+      from (select a.*, list_filter(f.bad, lambda x: a.t - x < 300) as bad, list_filter(f.good, lambda x: a.t - x < 300) as good
+        from f join a on a.identity_id = f.identity_id and a.n = f.n + 1)))
+  select attempt_id, identity_id, status from f where n > 0"""
+
+
+@query("step_up_limits", "I6", _LIMIT_SQL)
 def step_up_limits(spark, sf):
     a = V.table(spark, sf, "events").select(
         F.col("event_id").alias("attempt_id"), F.concat(F.lit("u"), F.col("user_id") % 3).alias("identity_id"),
@@ -257,12 +293,22 @@ def raw_events(spark, sf):
 # ---- audit ----------------------------------------------------------------------
 def chain(spark, sf):
     e = V.table(spark, sf, "events")
-    rows = e.select(A.shard_of(F.to_date("ts"), F.col("event_id"), 4).alias("shard"), "ts", F.col("event_id").alias("row_id"),
+    shard = F.concat_ws("/", F.to_date("ts").cast("string"), (F.col("event_id") % 4).cast("string"))
+    rows = e.select(shard.alias("shard"), "ts", F.col("event_id").alias("row_id"),
                     X.canonical_json("event_id", "event_type", "user_id").alias("payload"))
     return A.append_chain(rows, KEY)
 
 
-@query("append_chain", "M2")
+_APPEND_SQL = f"""with recursive r as (select cast(ts as date)||'/'||(event_id % 4) as shard, epoch_us(ts) as ts_us,
+    row_number() over (partition by cast(ts as date), event_id % 4 order by ts, event_id) - 1 as seq,
+    '{{"event_id":'||event_id||',"event_type":"'||event_type||'","user_id":'||user_id||'}}' as payload from events),
+  c as (select shard, seq, ts_us, payload, lpad('', 64, '0') as prev_hash, sha256(seq||'|'||ts_us||'|'||payload||'|'||lpad('', 64, '0')) as hash from r where seq = 0
+    union all
+    select r.shard, r.seq, r.ts_us, r.payload, c.hash, sha256(r.seq||'|'||r.ts_us||'|'||r.payload||'|'||c.hash) from c join r on r.shard = c.shard and r.seq = c.seq + 1)
+  select *, {sql_hmac("hash")} as hmac from c"""
+
+
+@query("append_chain", "M2", _APPEND_SQL)
 def append_chain(spark, sf):
     return chain(spark, sf)
 
@@ -376,11 +422,30 @@ def dp_cohort_raw(spark, sf):
     return P.cohort_aggregates(means(spark, sf)).select("cohort", "n", *[_R(f"sum_{c}") for c in C.FEATURES])
 
 
-@query("dp_export", "M9,M10")
+def _u(*parts: str) -> str:
+    """Keyed uniform draw in SQL."""
+    text = "||'|'||".join(parts)
+    return f"((cast('0x'||substr({sql_hmac(text)}, 1, 13) as bigint) + 0.5) / 4503599627370496.0)"
+
+
+def _noise(c: str) -> str:
+    u, v = _u("cohort", f"'{c}'", "'u'"), _u("cohort", f"'{c}'", "'v'")
+    return f"sqrt(-2 * ln({u})) * cos(2 * pi() * {v})"
+
+
+_DP_SQL = f"""with {_MEANS_SQL}, half as (select * replace (case when cohort in ('C0', 'C1') then 'north' else 'south' end as cohort) from means),
+  a as (select cohort, count(*) as n, {", ".join(f"sum({c}) as {c}" for c in C.FEATURES)} from half group by 1),
+  l as (select *, {_u("cohort", "'size'")} - 0.5 as u from a),
+  k as (select *, n - 10.0 * case when u >= 0 then 1 else -1 end * ln(1 - 2 * abs(u)) as noisy from l)
+  select cohort, {", ".join(f"round(least(greatest(({c} + 4.0 * sqrt(11) * {_noise(c)}) / greatest(noisy, 1.0), 0.0), 1.0), 6) as {c}" for c in C.FEATURES)}
+  from k where noisy >= 35"""
+
+
+@query("dp_export", "M9,M10", _DP_SQL)
 def dp_export(spark, sf):
     f = H.replay_features(V.identity_events(spark, sf))
     half = F.when(X.country(F.col("geo")).isin("C0", "C1"), "north").otherwise("south")
-    return P.dp_cohort_means(P.identity_means(f, half), 4.0, KEY)
+    return P.dp_cohort_means(P.identity_means(f, half), 4.0, KEY).select("cohort", *[_R(c) for c in C.FEATURES])
 
 
 _EPS_SQL = "list_min(list_transform([" + ", ".join(f"{o!r}e0" for o in P.ORDERS) + \
