@@ -71,7 +71,7 @@ def activity(spark: SparkSession, sf: str) -> DataFrame:
 
 def windows(spark: SparkSession, sf: str) -> DataFrame:
     start = F.expr("date_add(date'2024-01-10', cast(c_custkey % 10 as int))")
-    return table(spark, sf, "customer").filter("c_custkey < 20").select(
+    return table(spark, sf, "customer").select(
         F.concat(F.lit("u"), "c_custkey").alias("user"), start.alias("start_day"),
         F.date_add(start, 3).alias("end_day"), (F.col("c_custkey") % 3 + 1).cast("int").alias("scenario"),
     )
@@ -142,7 +142,7 @@ SQL_ACTIVITY = """activity as (
 SQL_WINDOWS = """windows as (
   select 'u'||c_custkey as "user", cast('2024-01-10' as date)+cast(c_custkey%10 as int) as start_day,
     cast('2024-01-10' as date)+cast(c_custkey%10+3 as int) as end_day, cast(c_custkey%3+1 as int) as scenario
-  from customer where c_custkey < 20)"""
+  from customer)"""
 SQL_PAYMENTS = """payments as (
   select o_orderkey as row_id, epoch_us(o_orderdate)//3600000000 + o_orderkey%24 as step, o_totalprice as amount,
     'C'||o_custkey as nameOrig, case when o_orderkey%3=0 then 'M' else 'C' end||(o_orderkey%97) as nameDest,

@@ -331,11 +331,11 @@ def budget_by_scenario(spark, sf):
 # ---- joins and sets -------------------------------------------------------------
 @query(
     "erasure_anti", "C7,G4",
-    f"""with {V.SQL_EVENTS}, t as (select 'u'||c_custkey as identity_id from customer where c_custkey % 7 = 0)
+    f"""with {V.SQL_EVENTS}, t as (select 'u'||c_custkey as identity_id from customer where c_acctbal < 0)
     select event_id, identity_id from identity_events where identity_id not in (select identity_id from t)""",
 )
 def erasure_anti(spark, sf):
-    t = V.table(spark, sf, "customer").filter("c_custkey % 7 = 0").select(F.concat(F.lit("u"), "c_custkey").alias("identity_id"))
+    t = V.table(spark, sf, "customer").filter("c_acctbal < 0").select(F.concat(F.lit("u"), "c_custkey").alias("identity_id"))
     return J.exclude_erased(V.identity_events(spark, sf), t).select("event_id", "identity_id")
 
 

@@ -12,6 +12,7 @@ from wardline.plans.q_features import KEY, sql_hmac
 from wardline.plans.q_history import SQL_REPLAY
 from wardline.plans.registry import query
 from wardline.plans.trust_sql import trust_sql
+from wardline.session import materialize
 from wardline.sources import readers as R, tables as TB
 from wardline.streaming import fold, trust as TR
 
@@ -25,12 +26,12 @@ def decisions(spark, sf, params=fold.Params(require_model=False)):
 @query(
     "trust_decisions", "I1,I7,I8,L5,L9,L10",
     f"""with recursive {trust_sql()} select event_id, identity_id, shown as trust, band as risk_band, decision, coalesce(method, 'none') as step_up_method,
-      round(risk, 9) as event_risk, impossible, reviewed as drift_review, cast(allowed as bigint) as events_seen, cast(len(devices) as bigint) as known_devices from d""",
+      cast(floor(risk * 1000000 + 0.3) as bigint) as event_risk_ppm, impossible, reviewed as drift_review, cast(allowed as bigint) as events_seen, cast(len(devices) as bigint) as known_devices from d""",
 )
 def trust_decisions(spark, sf):
     d = decisions(spark, sf)
     return d.select("event_id", "identity_id", "trust", "risk_band", "decision", F.coalesce("step_up_method", F.lit("none")).alias("step_up_method"),
-                    _R("event_risk", 9), "impossible", "drift_review", "events_seen", "known_devices")
+                    F.floor(F.col("event_risk") * 1e6 + 0.3).alias("event_risk_ppm"), "impossible", "drift_review", "events_seen", "known_devices")
 
 
 @query("trust_explained", "I1,L11,L12,F3")
@@ -53,11 +54,11 @@ def trust_degraded(spark, sf):
 
 @query(
     "trust_with_outcomes", "I3",
-    f"with recursive {trust_sql(outcome='case when event_id % 10 = 0 then event_id % 30 <> 0 end')} select event_id, shown as trust, decision from d",
+    f"with recursive {trust_sql(outcome="case when event_type = 'account_recovery' then hod < 18 end")} select event_id, shown as trust, decision from d",
 )
 def trust_with_outcomes(spark, sf):
     e = V.identity_events(spark, sf)
-    o = e.filter("event_id % 10 = 0").select("identity_id", "ts", (F.col("event_id") % 30 != 0).alias("passed"))
+    o = e.filter("event_type = 'account_recovery'").select("identity_id", "ts", (F.col("hour_of_day") < 18).alias("passed"))
     d = TR.trust_decisions(e, outcomes=o, params=fold.Params(require_model=False))
     return d.select("event_id", "trust", "decision")
 
@@ -196,7 +197,7 @@ def _assertions(spark, sf):
       when 5 then 'bad_signature' when 6 then 'malformed' else 'accepted' end as status from events""",
 )
 def assertion_status(spark, sf):
-    return TK.assertion_status(_assertions(spark, sf), KEY, F.col("now")).select("row_id", "status")
+    return TK.assertion_status(materialize(_assertions(spark, sf)), KEY, F.col("now")).select("row_id", "status")
 
 
 @query(
@@ -223,7 +224,7 @@ def _signed(spark, sf):
 
 @query("resolve_behavior", "I9,C11", "select event_id, case when event_id % 5 = 0 then (event_id % 100) / 100.0 end as similarity from events")
 def resolve_behavior(spark, sf):
-    return TK.resolve_behavior(_signed(spark, sf), KEY, KEY, F.col("now")).select("event_id", "similarity")
+    return TK.resolve_behavior(materialize(_signed(spark, sf)), KEY, KEY, F.col("now")).select("event_id", "similarity")
 
 
 @query(
@@ -465,7 +466,7 @@ def privacy_ledger(spark, sf):
 def _keys(spark, sf):
     """Keys derived from names so that the query is repeatable; real keys come from ``new_keys``."""
     c = V.table(spark, sf, "customer")
-    return c.select(F.concat(F.lit("u"), "c_custkey").alias("identity_id"), F.unhex(F.sha2("c_name", 256)).alias("key"),
+    return c.select(F.concat(F.lit("u"), "c_custkey").alias("identity_id"), F.unhex(F.sha2("c_name", 256)).alias("key"), "c_mktsegment",
                     F.expr("timestamp'2024-01-01' + make_dt_interval(cast(c_custkey % 900 as int))").alias("created_ts"))
 
 
@@ -476,14 +477,14 @@ def retention(spark, sf):
 
 @query(
     "vault_round_trip", "M7,M8,C7",
-    f"""with {V.SQL_EVENTS} select event_id, identity_id, case when cast(substr(identity_id, 2) as int) % 3 <> 0 then '{{"device_id":"'||device_id||'","geo":"'||geo||'"}}' end as payload
-    from identity_events where cast(substr(identity_id, 2) as int) % 11 <> 0""",
+    f"""with {V.SQL_EVENTS} select event_id, identity_id, case when c_mktsegment <> 'HOUSEHOLD' then '{{"device_id":"'||device_id||'","geo":"'||geo||'"}}' end as payload
+    from identity_events join customer on 'u'||c_custkey = identity_id where c_mktsegment <> 'MACHINERY'""",
 )
 def vault_round_trip(spark, sf):
-    """Encrypt, refuse earlier erased identities (every 11th), shred others (every 3rd), decrypt what is left."""
+    """Encrypt, refuse identities erased before (one segment), shred others (another segment), decrypt what is left."""
     keys = _keys(spark, sf)
     rows = V.identity_events(spark, sf).select("event_id", "identity_id", X.canonical_json("device_id", "geo").alias("payload"))
-    ids = lambda n: keys.filter(F.expr(f"cast(substr(identity_id, 2) as int) % {n} = 0")).select("identity_id")
-    vault = P.vault_put(rows, keys, ids(11))
-    left, _ = P.erase(keys, ids(11), ids(3))
+    of = lambda segment: keys.filter(F.col("c_mktsegment") == segment).select("identity_id")
+    vault = P.vault_put(rows, keys, of("MACHINERY"))
+    left, _ = P.erase(keys, of("MACHINERY"), of("HOUSEHOLD"))
     return P.vault_get(vault, left).select("event_id", "identity_id", "payload")
