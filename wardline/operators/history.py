@@ -77,7 +77,7 @@ def trailing_count(df: DataFrame, entity: str, ts: str, seconds: int = 300, out:
     plus = df.withColumns({"_t": _pos(ts), "_d": F.lit(1).cast("long"), "_real": F.lit(True)})
     minus = plus.withColumns({"_t": F.col("_t") + seconds * MICROS, "_d": F.lit(-1).cast("long"), "_real": F.lit(False)})
     both = plus.unionByName(minus.select(entity, "_t", "_d", "_real"), allowMissingColumns=True)
-    s = O.probe(both, [entity], F.col("_t"), 2 * hot_rows)
+    s = O.probe(df, [entity], _pos(ts), hot_rows)
     run = O.running(both, [entity], [F.col("_t")], {out: ("sum", F.col("_d"))}, s, F.col("_t"), peers=True)
     return run.filter("_real").select(*cols, out)
 
@@ -128,14 +128,16 @@ def sharing_thresholds(events: DataFrame, limit: int = 4) -> DataFrame:
 def device_sharing(events: DataFrame) -> DataFrame:
     """Add ``device_sharing`` = min((c - 1) / 3, 1), c = identities seen on the device so far (this one too)."""
     out = events.join(sharing_thresholds(events), "device_id", "left")
-    seen = F.size(F.filter(F.col("_firsts"), lambda f: f <= F.struct("ts", "event_id")))
-    return out.withColumn("device_sharing", F.least((F.coalesce(seen, F.lit(1)) - 1) / 3.0, F.lit(1.0))).drop("_firsts")
+    now = F.struct("ts", "event_id")
+    # the first identity is always there; count how many of the 2nd, 3rd and 4th have appeared
+    more = [F.coalesce(F.try_element_at("_firsts", F.lit(i)) <= now, F.lit(False)).cast("int") for i in (2, 3, 4)]
+    return out.withColumn("device_sharing", (more[0] + more[1] + more[2]) / 3.0).drop("_firsts")
 
 
 def device_identity_count(events: DataFrame, out: str = "identities_so_far", hot_rows: int = O.HOT_ROWS) -> DataFrame:
     """Uncapped running count of distinct identities per device."""
     flagged = O.flag_first(events, ["device_id", "identity_id"], ["ts"], "event_id", "_new")
-    s = O.probe(flagged, ["device_id"], _pos("ts"), hot_rows)
+    s = O.probe(events, ["device_id"], _pos("ts"), hot_rows)
     order = [F.col("ts"), F.col("event_id")]
     return O.running(flagged, ["device_id"], order, {out: ("sum", F.col("_new").cast("long"))}, s, _pos("ts")).drop("_new")
 
@@ -165,8 +167,9 @@ def replay_features(events: DataFrame, behavior: str | None = None, hot_rows: in
         last, hour_dev = _hour_deviation([key], "n", order)
         df = df.withColumns(last).withColumn("hour_deviation", hour_dev).drop(*last)
         df = df.withColumns({"_fd": first("device_id").cast("int"), "_fg": first("geo").cast("int")})
-        df = df.withColumn("_has", F.col("amount").isNotNull())
-        df = df.withColumns(_amount_stats([key, "_has"], order))
+        # rows without an amount stand alone, so they cost no 200-row frame
+        df = df.withColumn("_paid", F.when(F.col("amount").isNull(), F.col("n")).otherwise(F.lit(-1)))
+        df = df.withColumns(_amount_stats([key, "_paid"], order))
     else:
         df = O.flag_first(df, [key, "device_id"], ["ts"], "event_id", "_fd")
         df = O.flag_first(df, [key, "geo"], ["ts"], "event_id", "_fg")
@@ -192,7 +195,7 @@ def replay_features(events: DataFrame, behavior: str | None = None, hot_rows: in
     })
     if keep_amount_mean:
         df = df.withColumn("amount_mean", F.col("_am"))
-    return device_sharing(df.drop("_fd", "_fg", "_has", "_an", "_am", "_as"))
+    return device_sharing(df.drop("_fd", "_fg", "_paid", "_an", "_am", "_as"))
 
 
 def cold_prior(df: DataFrame) -> DataFrame:
