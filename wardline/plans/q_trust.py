@@ -52,9 +52,12 @@ def trust_degraded(spark, sf):
     return d.groupBy("event_type", "risk_band", "decision").agg(F.count(F.lit(1)).alias("events"))
 
 
+_OUTCOME = "case when event_type = 'account_recovery' then hod < 18 end"
+
+
 @query(
     "trust_with_outcomes", "I3",
-    f"with recursive {trust_sql(outcome="case when event_type = 'account_recovery' then hod < 18 end")} select event_id, shown as trust, decision from d",
+    f"with recursive {trust_sql(outcome=_OUTCOME)} select event_id, shown as trust, decision from d",
 )
 def trust_with_outcomes(spark, sf):
     e = V.identity_events(spark, sf)
