@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -44,3 +47,25 @@ def materialize(df):
     """Write a frame to the checkpoint folder once, so that several jobs over it do not repeat its plan."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (once per application), so that Python workers can import it wherever the job was started."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    tmp = os.path.realpath(tempfile.mkdtemp(prefix="wardline-"))  # the driver serves the file from here until it ends
+    atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+    path = os.path.join(tmp, "wardline_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, dirs, names in os.walk(home):
+            dirs[:] = sorted(d for d in dirs if d != "__pycache__")
+            for n in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, n)
+                z.write(full, os.path.join("wardline", os.path.relpath(full, home)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
