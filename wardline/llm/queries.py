@@ -50,3 +50,10 @@ def op10_binary_records(spark: SparkSession, sf: str) -> DataFrame:
 
     path, _ = write_records(table(spark, sf, "documents"))
     return read_records(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op8_lexical_packing(spark: SparkSession, sf: str) -> DataFrame:
+    from wardline.llm.packing import pack
+
+    return pack(table(spark, sf, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -49,7 +49,10 @@ class Encoder:
         if len(self.seen) > self.max_chunks:
             self.seen.clear()
         seen = self.seen
-        new = list({p for ps in parts for p in ps[1:] if p not in seen})
+        distinct: set[str] = set()
+        for ps in parts:
+            distinct.update(ps)
+        new = [p for p in distinct if p not in seen]
         seen.update(zip(new, self._encode([" " + p for p in new])))
         first = self._encode([ps[0] for ps in parts])
         return [np.frombuffer(b"".join((head, *map(seen.__getitem__, ps[1:]), self.end)), self.kind) for head, ps in zip(first, parts)]
