@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import text_batches, texts
-from wardline.llm.tokens import END_ID, Encoder
+from wardline.llm.tokens import END_ID, shared_encoder
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long, ids binary"
 
@@ -103,7 +103,7 @@ def pack(docs: DataFrame, window: int = 1024, shard_bytes: int = 4 << 20, seed:
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         table = table.sort_by([("doc_id", "ascending"), ("tie", "ascending")])
-        enc, tokens = _encoder(tokenizer, end_id), []
+        enc, tokens = shared_encoder(tokenizer, end_id), []
         for group in text_batches(table.column("text").to_pylist()):
             tokens += enc.encode(group)
         names = table.column("doc_id").to_pylist()
@@ -120,13 +120,3 @@ def pack(docs: DataFrame, window: int = 1024, shard_bytes: int = 4 << 20, seed:
 
     return rows.withColumn("shard", F.pmod(key, F.lit(shards))).groupBy("shard").applyInArrow(run, PIECES)
 
-
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
-def _encoder(path: str | None, end_id: int) -> Encoder:
-    """One encoder per worker, so that its known chunks serve all shards it meets."""
-    key = (path, end_id)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, end_id)
-    return _ENCODERS[key]

@@ -57,3 +57,24 @@ def op8_lexical_packing(spark: SparkSession, sf: str) -> DataFrame:
     from wardline.llm.packing import pack
 
     return pack(table(spark, sf, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op7_ordinal_quality(spark: SparkSession, sf: str) -> DataFrame:
+    from wardline.llm.quality import KEEP, learn
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = learn(docs, table(spark, sf, "labels").select("doc_id", F.col("quality").alias("grade")))
+    return (docs.select("doc_id", model.column(F.col("text")).alias("p"))
+            .select("doc_id", "p.expected", F.col("p.tail").alias("tail"), (F.col("p.tail") >= KEEP).alias("kept")))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    from wardline.llm.toxicity import THRESHOLD, learn
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held = fold_of("doc_id", 4) == 2
+    model = learn(docs, table(spark, sf, "labels").where(~held).select("doc_id", "toxic"))
+    return (docs.select("doc_id", held.alias("held_out"), model.column(F.col("text")).alias("score"))
+            .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")))

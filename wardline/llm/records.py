@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wardline.llm.common import scratch, text_batches, texts
-from wardline.llm.tokens import END_ID, Encoder
+from wardline.llm.tokens import END_ID, shared_encoder
 
 _MASK = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
@@ -108,7 +108,7 @@ def write_records(docs: DataFrame, path: str | None = None, tokenizer: str | Non
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        enc, zip_ = Encoder(tokenizer, end_id), zstandard.ZstdCompressor(level=1)
+        enc, zip_ = shared_encoder(tokenizer, end_id), zstandard.ZstdCompressor(level=1)
         index: list[tuple[int, int, int]] = []
         at = {"byte": 0, "ids": 0}
         first: list[int | None] = []
