@@ -78,3 +78,10 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     model = learn(docs, table(spark, sf, "labels").where(~held).select("doc_id", "toxic"))
     return (docs.select("doc_id", held.alias("held_out"), model.column(F.col("text")).alias("score"))
             .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")))
+
+
+@query
+def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    from wardline.llm.simhash import hex16, near_duplicates
+
+    return near_duplicates(table(spark, sf, "documents"), k=3, bits=3).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
