@@ -85,3 +85,10 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     from wardline.llm.simhash import hex16, near_duplicates
 
     return near_duplicates(table(spark, sf, "documents"), k=3, bits=3).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    from wardline.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
