@@ -8,6 +8,7 @@ in overlapping bands of diagonals, bands that reach the bound are kept, and a ba
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -183,6 +184,44 @@ def align(p: np.ndarray, docs: list[np.ndarray], first: np.ndarray, wide: int, k
     return out
 
 
+def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in lists of at most `block_chars` characters (a longer item is a list of its own); one empty list if there are none."""
+    block, size = [], 0
+    for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
+        if block and size + len(r["text"]) > block_chars:
+            yield block
+            block, size = [], 0
+        block.append((r["item_id"], r["text"]))
+        size += len(r["text"])
+    yield block
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, q: int = 8, least: int = 20, block_chars: int = 2_000_000) -> DataFrame:
+    """The rows of `docs`, with all their columns, that hold no stretch of a benchmark item (see `contaminated`). A filter on the text alone:
+    nothing is shuffled. Rows with a null text stay."""
+    for block in item_blocks(benchmark, block_chars):
+        hit = _hit(docs.sparkSession.sparkContext.broadcast(block), rate, q, least)
+        docs = docs.where(~hit(docs["text"]))
+    return docs
+
+
+def _hit(items, rate: float, q: int, least: int):
+    """A boolean function of a text column: it holds a stretch of one of the broadcast items."""
+
+    @F.pandas_udf("boolean")
+    def hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(items.value, rate, q, least)
+        for s in batches:
+            found, at = np.zeros(len(s), bool), 0
+            for group in text_batches(s, 1_000_000):
+                for d, *_ in index.search(group):
+                    found[at + d] = True
+                at += len(group)
+            yield pd.Series(found)
+
+    return hit
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, q: int = 8, least: int = 20, block_chars: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, start, end, edits: stretches text[start:end] of a document within rate * length edits of a benchmark item, in
     characters, letter case and kind of white space aside.
@@ -192,17 +231,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, q: in
     items give rows of their own. Other columns are not read.
     """
     spark = docs.sparkSession
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        if blocks[-1] and size + len(r["text"]) > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["item_id"], r["text"]))
-        size += len(r["text"])
     whole = texts(docs)
     out = None
-    for block in blocks:
+    for block in item_blocks(benchmark, block_chars):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):

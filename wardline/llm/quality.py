@@ -161,3 +161,9 @@ def learn(docs: DataFrame, ratings: DataFrame, max_rows: int = 4000, dims: int =
     x = np.stack([np.frombuffer(b, np.float16) for b in got["x"]]).astype(np.float32)
     w, t = fit(x, np.searchsorted(grades, got["grade"].to_numpy()))
     return Ordinal(feats, grades, w, t)
+
+
+def good(docs: DataFrame, ratings: DataFrame, keep: float = KEEP) -> DataFrame:
+    """The rows of `docs`, with all their columns, for which P(grade > lowest grade) reaches `keep`."""
+    model = learn(docs, ratings)
+    return docs.where(model.column(docs["text"])["tail"] >= keep)

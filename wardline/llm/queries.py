@@ -84,7 +84,7 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     from wardline.llm.simhash import hex16, near_duplicates
 
-    return near_duplicates(table(spark, sf, "documents"), k=3, bits=3).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    return near_duplicates(table(spark, sf, "documents"), k=3, bits=3).select("doc_id", hex16(F.col("f")[0]).alias("fingerprint"), "component_id")
 
 
 @query
@@ -92,3 +92,10 @@ def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     from wardline.llm.decontaminate import contaminated
 
     return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)

@@ -46,107 +46,132 @@ def fingerprint(hashes: np.ndarray, part: int = 200_000) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist()))
 
 
-def fingerprints(text: Column, k: int = 5) -> Column:
-    """Signed 64-bit fingerprint of a text column (null and wordless texts: 0)."""
+def remixed(hashes: np.ndarray, i: int) -> np.ndarray:
+    """The i-th family of hashes: the given ones for 0, for others a bijective mix of them."""
+    if i == 0:
+        return hashes
+    h = hashes ^ np.uint64(0x9E3779B97F4A7C15 * i % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
-    @F.pandas_udf("long")
+
+def fingerprints(text: Column, k: int = 5, words: int = 1) -> Column:
+    """`words` signed 64-bit fingerprints of a text column, as an array (null and wordless texts: 0)."""
+
+    @F.pandas_udf("array<long>")
     def run(s: pd.Series) -> pd.Series:
-        out = [fingerprint(shingle_hashes(t, k)) for group in text_batches(s) for t in group]
-        return pd.Series(np.array(out, np.uint64).astype(np.int64))
+        out = []
+        for group in text_batches(s):
+            for t in group:
+                h = shingle_hashes(t, k)
+                out.append(np.array([fingerprint(remixed(h, i)) for i in range(words)], np.uint64).astype(np.int64))
+        return pd.Series(out, dtype=object)
 
     return run(text)
 
 
-def position_keys(bits: int = 3) -> list[tuple[int, ...]]:
-    """Sets of byte positions such that any 8 - bits of the eight positions contain one of them whole."""
-    if bits == 0:
-        return [tuple(range(8))]
-    halves = (range(4), range(4, 8))
-    need = (8 - bits + 1) // 2  # the half with more shared positions has at least so many
-    return [c for h in halves for c in itertools.combinations(h, need)]
+def position_keys(least: int, size: int) -> list[tuple[int, ...]]:
+    """Sets of `size` of the eight byte positions of a word such that any `least` positions hold one of them whole."""
+    groups = max(g for g in range(1, 9) if -(-least // g) >= size)
+    cut = [range(8 * i // groups, 8 * (i + 1) // groups) for i in range(groups)]
+    return [c for g in cut for c in itertools.combinations(g, size)]
 
 
 def _byte(fp: Column, p: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255))
 
 
-def _shared(a: Column, b: Column) -> Column:
-    """How many of the eight positional bytes two fingerprints share."""
-    x = a.bitwiseXOR(b)
+def _shared(x: Column) -> Column:
+    """How many of the eight positional bytes agree, given the two words' exclusive or."""
     return sum((F.when(_byte(x, p) == 0, 1).otherwise(0) for p in range(1, 8)), F.when(_byte(x, 0) == 0, 1).otherwise(0))
 
 
-def links(fps: DataFrame, bits: int = 3, block: int = 256) -> DataFrame:
-    """Edges a < b between distinct fingerprints (column fp) that span every group of fingerprints linked at `bits` or fewer bits.
+def links(nodes: DataFrame, words: int = 1, bits: int = 3, least: int = 5, size: int = 3, block: int = 512) -> DataFrame:
+    """Edges a, b between nodes (columns node, f: array of `words` fingerprints) that span every group linked at `bits` or fewer
+    differing bits in all and at least `least` shared positional bytes.
 
     Posting lists up to `block` long are joined with themselves; each true pair is an edge. A longer list is cut into blocks, every two
     blocks meet in a task of their own, and of their links a spanning forest is kept. So no pair is left out of the comparison, no list meets
-    in one task, and a list of n fingerprints gives O(n * n / block) edges instead of n * n.
+    in one task, and a list of n nodes gives O(n * n / block) edges instead of n * n.
     """
-    need = 8 - bits
-    keys = position_keys(bits)
-    posted = fps.select("fp", F.posexplode(F.array(*[F.concat_ws(".", *[_byte(F.col("fp"), p) for p in ps]) for ps in keys])).alias("t", "k"))
-    posted = posted.select("fp", F.xxhash64("t", "k").alias("key"))
-    size = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    listed = stored(posted.join(size, "key"), "postings")
-    small = listed.where(F.col("n") <= block).select("key", "fp")
-    a, b = small.select("key", F.col("fp").alias("a")), small.select("key", F.col("fp").alias("b"))
-    pairs = (a.join(b, "key").where((F.col("a") < F.col("b")) & (_shared(F.col("a"), F.col("b")) >= need)
-                                    & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b"))
+    keys = [(w, ps) for w in range(words) for ps in position_keys(min(least, 8), size)]
+    entry = F.array(*[F.concat_ws(".", F.lit(w), F.lit("-".join(map(str, ps))), *[_byte(F.col("f")[w], p) for p in ps]) for w, ps in keys])
+    posted = nodes.select("node", "f", F.explode(F.transform(entry, lambda e: F.xxhash64(e))).alias("key"))
+    count = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    listed = stored(posted.join(count, "key"), "postings")
+    small = listed.where(F.col("n") <= block)
+    a, b = (small.select("key", F.col("node").alias(c), *[F.col("f")[w].alias(f"{c}{w}") for w in range(words)]) for c in "ab")
+    x = [F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}")) for w in range(words)]
+    differ = sum((F.bit_count(c) for c in x[1:]), F.bit_count(x[0]))
+    agree = sum((_shared(c) for c in x[1:]), _shared(x[0]))
+    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (differ <= bits) & (agree >= least)).select("a", "b")
     long = listed.where(F.col("n") > block)
     blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), blocks).cast("int")
-    met = (long.select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-           .select("key", "fp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
+    own = F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")
+    met = (long.select("key", "node", "f", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+           .select("key", "node", "f", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf.loc[pdf["own"] == pdf["i"], "fp"].to_numpy()
-        right = pdf.loc[pdf["own"] == pdf["j"], "fp"].to_numpy()
-        return pd.DataFrame(spanning(left, right, bits, need), columns=["a", "b"])
+        left, right = pdf[pdf["own"] == pdf["i"]], pdf[pdf["own"] == pdf["j"]]
+        return pd.DataFrame(spanning(left["node"].to_numpy(), _matrix(left["f"], words), right["node"].to_numpy(), _matrix(right["f"], words), bits, least), columns=["a", "b"])
 
     return pairs.union(met.groupBy("key", "i", "j").applyInPandas(forest, "a long, b long"))
 
 
-def spanning(left: np.ndarray, right: np.ndarray, bits: int, need: int) -> np.ndarray:
-    """A spanning forest of the links between two blocks (or within one, if they are the same)."""
-    nodes = np.unique(np.concatenate([left, right]))
-    parent = list(range(len(nodes)))
+def _matrix(f: pd.Series, words: int) -> np.ndarray:
+    return np.array(f.tolist(), np.int64).reshape(len(f), words).view(np.uint64)
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
+def spanning(left: np.ndarray, lf: np.ndarray, right: np.ndarray, rf: np.ndarray, bits: int, least: int) -> np.ndarray:
+    """A spanning forest of the links between two blocks of nodes (or within one, if they are the same)."""
+    nodes = np.unique(np.concatenate([left, right]))
+    label = np.arange(len(nodes))
+    li, ri = np.searchsorted(nodes, left), np.searchsorted(nodes, right)
     out = []
-    u = nodes.view(np.uint64)
-    l, r = np.searchsorted(nodes, left), np.searchsorted(nodes, right)
-    for i in l.tolist():
-        x = u[i] ^ u[r]
-        near = np.bitwise_count(x) <= bits
-        near &= (x[:, None].view(np.uint8).reshape(len(r), 8) == 0).sum(1) >= need
-        for j in r[near].tolist():
-            p, q = root(i), root(j)
-            if p != q:
-                parent[p] = q
-                out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    for i, f in zip(li.tolist(), lf):
+        x = rf ^ f
+        near = np.flatnonzero(np.bitwise_count(x).sum(1) <= bits)
+        near = near[(x[near].view(np.uint8).reshape(len(near), -1) == 0).sum(1) >= least]
+        groups, first = np.unique(label[ri[near]], return_index=True)
+        for g, j in zip(groups.tolist(), near[first].tolist()):
+            if g != label[i]:
+                label[label == g] = label[i]
+                out.append((nodes[i], nodes[ri[j]]))
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, bits: int = 3) -> DataFrame:
-    """One row per row of `docs`: doc_id, fp (signed), component_id: the smallest doc_id reachable through links of `bits` or fewer
-    differing bits, the document itself included.
+def near_duplicates(docs: DataFrame, k: int = 5, words: int = 1, bits: int = 3, least: int | None = None, size: int | None = None) -> DataFrame:
+    """One row per row of `docs`: doc_id, f (array of `words` signed fingerprints of k-word shingles), component_id: the smallest doc_id
+    reachable through links of `bits` or fewer differing bits, the document itself included.
 
-    Documents with equal fingerprints are one node, however many they are. Null and wordless texts have fingerprint 0 and link like any other. Null
-    ids are kept and are never smallest; a group of null ids only has a null component. Repeated ids stay rows of their own.
+    `least` is the number of positional bytes that linked fingerprints share; if not given, the number that is certain, 8 * words - bits.
+    Posting lists are keyed by `size` positions at once (if not given, 3 for least >= 5, else 2).
+    Documents with equal fingerprints are one node, however many they are; with several words a node's name is a 64-bit hash of them. Null and
+    wordless texts have fingerprint 0 and link like any other. Null ids are never smallest; a group of null ids only has a null
+    component. Repeated ids stay rows of their own. Other columns are not read.
     """
-    own = stored(texts(docs).select("doc_id", fingerprints(F.col("text"), k).alias("fp")), "fingerprints")
-    groups = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comp = components(links(groups.select("fp"), bits))
-    joined = groups.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    label = joined.groupBy("c").agg(F.min("least").alias("component_id"))
-    return own.join(joined.select("fp", "c").join(label, "c").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    least = max(1, 8 * words - bits) if least is None else least
+    size = size or (3 if least >= 5 else min(2, least))
+    node = F.col("f")[0] if words == 1 else F.xxhash64("f")
+    own = stored(texts(docs).select("doc_id", fingerprints(F.col("text"), k, words).alias("f")).withColumn("node", node), "fingerprints")
+    groups = own.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("f").alias("f"))
+    comp = components(links(groups.select("node", "f"), words, bits, least, size))
+    joined = groups.select("node", "low").join(comp, "node", "left").select("node", "low", F.coalesce("component", "node").alias("c"))
+    label = joined.groupBy("c").agg(F.min("low").alias("component_id"))
+    return own.join(joined.select("node", "c").join(label, "c").select("node", "component_id"), "node").select("doc_id", "f", "component_id")
 
 
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, words: int = 3, bits: int = 36, least: int = 2, size: int = 2) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each group the document with the smallest id stays, with all its columns.
+
+    192 bits of five-word shingles at 36 differing bits or fewer: texts whose sets of shingles overlap by 0.8 (Jaccard) differ in about 29 of
+    192 bits. Rows of equal id and text count once. Rows with a null id stay only in groups without any id.
+    """
+    kept = near_duplicates(docs, k, words, bits, least, size).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return left.dropDuplicates(["doc_id", "text"])

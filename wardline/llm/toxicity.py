@@ -174,3 +174,9 @@ def learn(docs: DataFrame, labels: DataFrame, groups=GROUPS, max_rows: int = 12_
             delta.append(d)
     w = fit(x, np.array([r["toxic"] for r in flat], np.float64), np.array(delta, np.float32).reshape(-1, len(kept)))
     return Toxicity(float(w[-1]), {f: float(v) for f, v in zip(kept, w[:-1]) if abs(v) > 1e-6})
+
+
+def civil(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text scores under the threshold."""
+    model = learn(docs, labels.select("doc_id", "toxic"))
+    return docs.where(model.column(docs["text"]) < threshold)
