@@ -11,12 +11,11 @@ import numpy as np
 VOCAB = "byte_bpe_50k.json"
 END_ID = 0
 #: A byte-level BPE splits text into words before it merges, and gives the last space before a visible character to the word after it.
-#: Cutting there, around a line end between visible characters, or between a letter and . or , at the end leaves all ids as they are.
+#: Cutting there, around a line end between visible characters, or between letters and other signs at the end leaves all ids as they are.
 _CUT = re.compile(r" (?=[!-~¡-ɏ])")
 _ODD = re.compile(r" (?![!-~¡-ɏ])")
 _LINE = re.compile(r"(?<=[!-~¡-ɏ])\n(?=[!-~¡-ɏ])")
-_STOP = re.compile(r"[A-Za-z][.,]\Z")
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+\Z")
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
 
 def vocabulary_path(name: str = VOCAB) -> str:
@@ -31,14 +30,33 @@ def _byte_alphabet() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
 
 
+class _Known(dict):
+    """Ids of chunks that stand after `prefix`, as bytes; unknown ones are encoded when they are asked for. Two generations of at
+    most `most` chunks are kept, so chunks that keep coming stay."""
+
+    def __init__(self, encode, prefix: str, most: int):
+        super().__init__()
+        self.encode, self.prefix, self.most, self.old = encode, prefix, most, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = self.old.get(chunk)
+        if got is None:
+            got = self.encode(self.prefix, chunk)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = got
+        return got
+
+
 class Encoder:
     """encode(texts) gives per text the ids of the whole text as uint16 (uint32 for vocabularies over 65,536), end id included.
 
     Ids equal Tokenizer.encode(text, add_special_tokens=False) of the byte-level tokenizer at `path`; strings of special tokens
-    are ordinary text. Empty texts give the end id alone. Up to twice `max_chunks` recent chunks are remembered.
+    are ordinary text. Empty texts give the end id alone. Up to about twice `max_chunks` recent chunks are remembered.
     """
 
-    def __init__(self, path: str | None = None, end_id: int = END_ID, max_chunks: int = 250_000):
+    def __init__(self, path: str | None = None, end_id: int = END_ID, max_chunks: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,64 +64,30 @@ class Encoder:
         self.tok.encode_special_tokens = True
         small = max(self.tok.get_vocab_size(), end_id + 1) <= 65_536
         self.kind, self.code = (np.dtype("<u2"), "H") if small else (np.dtype("<u4"), "I")
-        self.end, self.max_chunks = np.array([end_id], self.kind).tobytes(), max_chunks
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.end = np.array([end_id], self.kind).tobytes()
         self.alphabet, self.model = _byte_alphabet(), self.tok.model
-
-    def _batch(self, chunks: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _word(self, chunk: str) -> bytes:
-        """A chunk that is one word for the splitter: letters, with a space before them or not."""
-        shown = chunk.encode().decode("latin-1").translate(self.alphabet)
-        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
-
-    def _known(self, chunks) -> dict[str, bytes]:
-        """Ids of chunks, from memory or encoded now."""
-        out: dict[str, bytes] = {}
-        rest: list[str] = []
-        young, old = self.young, self.old
-        for c in chunks:
-            got = young.get(c)
-            if got is None:
-                got = old.get(c)
-                if got is None:
-                    rest.append(c)
-                    continue
-                young[c] = got
-            out[c] = got
-        if rest:
-            cut = {c: [*_LINE.split(c)] for c in rest if "\n" in c}
-            cut = {c: [x for p in ps for x in (p, "\n")][:-1] for c, ps in cut.items() if len(ps) > 1}
-            cut |= {c: [c[:-1], c[-1]] for c in rest if c not in cut and _STOP.search(c)}
-            parts = self._known({p for ps in cut.values() for p in ps if p}) if cut else {}
-            whole = [c for c in rest if c not in cut]
-            slow = []
-            for c in whole:
-                if _LETTERS.match(c, c[:1] == " "):
-                    out[c] = self._word(c)
-                else:
-                    slow.append(c)
-            for i in range(0, len(slow), 20_000):
-                out.update(zip(slow[i:i + 20_000], self._batch(slow[i:i + 20_000])))
-            for c, ps in cut.items():
-                out[c] = b"".join([parts[p] for p in ps if p])
-            for c in rest:
-                young[c] = out[c]
-            if len(young) > self.max_chunks:
-                self.old, self.young = young, {}
-        return out
+        self.after_space, self.bare = _Known(self._fresh, " ", max_chunks), _Known(self._fresh, "", max_chunks // 8)
+
+    def _fresh(self, prefix: str, chunk: str) -> bytes:
+        plain = _PLAIN.match(chunk)
+        if plain and plain[2]:
+            return (self.after_space if prefix else self.bare)[plain[1]] + self.bare[plain[2]]
+        if plain:  # one word for the splitter: only the merges are left to do
+            shown = (prefix + chunk).encode().decode("latin-1").translate(self.alphabet)
+            return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        lines = _LINE.split(chunk) if "\n" in chunk else [chunk]
+        if len(lines) > 1:
+            head = (self.after_space if prefix else self.bare)[lines[0]]
+            return head + b"".join([self.bare["\n"] + self.bare[x] for x in lines[1:]])
+        return array(self.code, self.tok.encode(prefix + chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, items: list[str]) -> list[np.ndarray]:
-        parts = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in items]
-        distinct: set[str] = set()
-        for ps in parts:
-            distinct.update(ps)
-        ids = self._known([f" {p}" for p in distinct])
-        ids = {c[1:]: v for c, v in ids.items()}
-        first = self._known({ps[0] for ps in parts})
-        return [np.frombuffer(b"".join((first[ps[0]], *map(ids.__getitem__, ps[1:]), self.end)), self.kind) for ps in parts]
+        out = []
+        of = self.after_space.__getitem__
+        for t in items:
+            parts = iter(_CUT.split(t) if _ODD.search(t) else t.split(" "))
+            out.append(np.frombuffer(b"".join((self.bare[next(parts)], *map(of, parts), self.end)), self.kind))
+        return out
 
 
 _SHARED: dict[tuple, Encoder] = {}
