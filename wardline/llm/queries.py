@@ -99,3 +99,10 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf)
+
+
+@query
+def op2_backoff_lm(spark: SparkSession, sf: str) -> DataFrame:
+    from wardline.llm.lm import score
+
+    return score(table(spark, sf, "documents"))
