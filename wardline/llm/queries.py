@@ -106,3 +106,10 @@ def op2_backoff_lm(spark: SparkSession, sf: str) -> DataFrame:
     from wardline.llm.lm import score
 
     return score(table(spark, sf, "documents"))
+
+
+@query
+def op3_nn_descent(spark: SparkSession, sf: str) -> DataFrame:
+    from wardline.llm.neardup_vectors import near_duplicates
+
+    return near_duplicates(table(spark, sf, "embeddings"))
