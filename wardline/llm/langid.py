@@ -130,6 +130,6 @@ def learn(train: DataFrame, dim: int = 1024, seed: int = 11) -> Profiles:
     rows = (train.select("text", "lang").where("lang is not null and text is not null").mapInPandas(run, "lang string, at int, v double")
             .groupBy("lang", "at").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("v"))
             .orderBy("lang").collect())
-    m = np.array([[x["v"] for x in r["v"]] for r in rows], np.float64).reshape(len(rows), -1)
+    m = np.array([[x["v"] for x in r["v"]] for r in rows], np.float64).reshape(len(rows), dim)
     m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) if len(rows) else np.zeros((0, dim))
     return Profiles(enc, [r["lang"] for r in rows], m)

@@ -132,7 +132,7 @@ def spanning(left: np.ndarray, lf: np.ndarray, right: np.ndarray, rf: np.ndarray
     for i, f in zip(li.tolist(), lf):
         x = rf ^ f
         near = np.flatnonzero(np.bitwise_count(x).sum(1) <= bits)
-        near = near[(x[near].view(np.uint8).reshape(len(near), -1) == 0).sum(1) >= least]
+        near = near[(x[near].view(np.uint8).reshape(len(near), 8 * x.shape[1]) == 0).sum(1) >= least]
         groups, first = np.unique(label[ri[near]], return_index=True)
         for g, j in zip(groups.tolist(), near[first].tolist()):
             if g != label[i]:
