@@ -143,3 +143,25 @@ def test_nonce_stream_drops_copies(spark, folder):
     q = nonce_stream(src, "nonce", "ts").writeStream.format("parquet").option("path", f"{folder}/o").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r[0] for r in spark.read.parquet(f"{folder}/o").select("nonce").collect()) == ["a", "b"]
+
+
+def test_decisions_are_stored_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from wardline.sources import tables as TB
+
+    path = str(tmp_path / "decisions")
+    rows = lambda *r: spark.createDataFrame(list(r), "event_id long, ts string, decision string").withColumn("ts", F.to_timestamp("ts"))
+    TB.append_new_decisions(rows((1, "2024-01-01", "ALLOW"), (2, None, "ALLOW"), (3, "2024-01-05", "BLOCK"), (3, "2024-01-04", "STEP_UP")), path, 4)
+    TB.append_new_decisions(rows((1, "2024-01-02", "BLOCK"), (2, None, "ALLOW"), (4, "2024-01-02", "ALLOW"), (None, "2024-01-02", "ALLOW")), path, 4)
+    TB.append_new_decisions(rows((4, "2023-01-01", "BLOCK")), path, 4)
+    got = {r["event_id"]: r["decision"] for r in spark.read.parquet(path).collect()}
+    assert got == {1: "ALLOW", 2: "ALLOW", 3: "STEP_UP", 4: "ALLOW"} and spark.read.parquet(path).count() == 4
+
+
+def test_label_split_without_positives(spark):
+    from wardline.operators import splits as S
+
+    df = spark.createDataFrame([(1, 0), (2, 0)], "s long, y int").selectExpr("timestamp_seconds(s) as ts", "y")
+    before, after, _ = S.split_label_quantile(df, "ts", "y")
+    assert before.count() == 2 and after.count() == 0

@@ -175,7 +175,7 @@ def test_stream_equals_batch_and_late_is_set_aside(spark, sf):
     assert got.filter("decision = 'LATE'").count() == 0
     assert got.select(*cols).exceptAll(batch.select(*cols)).count() == 0
     # a replayed micro-batch adds nothing
-    TB.append_new_decisions(got.drop("day").limit(100), f"{root}/decisions")
+    TB.append_new_decisions(got.drop("bucket").limit(100), f"{root}/decisions")
     assert spark.read.parquet(f"{root}/decisions").count() == events.count()
     # an event older than its identity's last one is reported as LATE and changes nothing
     old = staged.orderBy("ts").limit(1).withColumns({"event_id": F.lit(10**9).cast("long"), "ts": F.lit(T0 - timedelta(days=400))})

@@ -36,7 +36,7 @@ def long_scores(df: DataFrame, arms: list[str], keep: list[str]) -> DataFrame:
 
 
 def evaluate(scores: DataFrame, out: str, neg_rate: float = 1.0, amount: str | None = None, probability: bool = True,
-             reps: int = 1000, neg_cap: int | None = None, flag: str | None = None) -> dict[str, DataFrame]:
+             reps: int = 1000, flag: str | None = None) -> dict[str, DataFrame]:
     """The whole protocol for a long score table (variant, y, score, ...): one curve, then metrics from it."""
     by = ["variant"]
     curve = _stored(M.roc_curve(scores, by, neg_rate, amount), f"{out}/curve")
@@ -50,7 +50,7 @@ def evaluate(scores: DataFrame, out: str, neg_rate: float = 1.0, amount: str | N
     if flag:
         parts["baseline_lift"] = M.baseline_lift(scores, curve, by, flag)
     if reps:
-        parts["bootstrap"] = BS.bootstrap_ci(scores, reps, neg_rate=neg_rate, neg_cap=neg_cap)
+        parts["bootstrap"] = BS.bootstrap_ci(scores, reps, neg_rate=neg_rate)
     parts = {k: _stored(v, f"{out}/{k}") for k, v in parts.items()}
     ci = None
     if reps:
@@ -119,7 +119,7 @@ def logins_job(spark: SparkSession, path: str, out: str, neg_cap: int | None = N
     scored = SV.score(SV.fit(train, LOGIN + ["ip"], "y", "gbt", seed, balance=balance, **params), scored, LOGIN + ["ip"], "score_ip")
     scored = scored.withColumns({"score_ip_flag": F.col("ip").cast("double"), "rule_flag": F.col("ip")})
     scores = _stored(long_scores(scored, ["noip", "ip", "ip_flag"], ["row_id", "y", "rule_flag"]), f"{out}/scores")
-    return evaluate(scores, f"{out}/evaluation", neg_rate, reps=reps, neg_cap=200_000, flag="rule_flag")
+    return evaluate(scores, f"{out}/evaluation", neg_rate, reps=reps, flag="rule_flag")
 
 
 def keystroke_job(spark: SparkSession, path: str, out: str, enrol: int = 200, impostor: int = 5, reps: int = 1000) -> dict[str, DataFrame]:

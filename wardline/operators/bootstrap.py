@@ -3,7 +3,7 @@
 Rows are first combined to cells of equal score. A cell of n equal rows drawn with Poisson(1) weights has
 weight Poisson(n), so replicates work on cells. Cells are cut into score slices; each slice yields its
 replicate sums, earlier slices give the carry, and a second visit adds the slice's share of every metric.
-Weights are a hash of (cell, replicate, seed): the same on every visit, retry and machine.
+Weights come from a generator seeded by the cell's hash: the same on every visit, retry and machine.
 """
 
 from __future__ import annotations
@@ -13,59 +13,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wardline.operators import ordered as O
+from wardline.operators.metrics import missing_last
 
 METRICS = ["roc_auc", "pr_auc", "recall_1pct", "recall_2pct", "recall_5pct"]
 
 
-def _uniform(cell: np.ndarray, reps: int, seed: int, salt: int) -> np.ndarray:
-    """Hash (cell, replicate) to uniforms in (0, 1) by a 64-bit mixing function."""
-    with np.errstate(over="ignore"):
-        b = (np.arange(reps, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        x = cell.astype(np.int64).view(np.uint64)[:, None] ^ b[None, :]
-        x = x + np.uint64((seed * 2 + salt) * 0xD1B54A32D192ED03 % 2**64)
-        for shift, mul in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(mul)
-        x = x ^ (x >> np.uint64(31))
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-
-
 def poisson(cell: np.ndarray, lam: np.ndarray, reps: int, seed: int, salt: int) -> np.ndarray:
-    """Poisson(lam) per row and replicate: inverse CDF for small means, rounded normal above 30."""
+    """Poisson(lam) per row and replicate, drawn from a generator that the cell's hash seeds."""
     out = np.zeros((len(cell), reps))
-    small = lam <= 30
-    if small.any():
-        u, m = _uniform(cell[small], reps, seed, salt), lam[small][:, None]
-        p = np.exp(-m) * np.ones((1, reps))
-        cum, w, k = p.copy(), np.zeros_like(u), 0
-        while k < 200 and (u > cum).any():
-            k += 1
-            w += u > cum
-            p = p * (m / k)
-            cum = cum + p
-        out[small] = w
-    if (~small).any():
-        c, m = cell[~small], lam[~small][:, None]
-        z = np.sqrt(-2 * np.log(_uniform(c, reps, seed, salt))) * np.cos(2 * np.pi * _uniform(c, reps, seed, salt + 101))
-        out[~small] = np.maximum(0.0, np.rint(m + np.sqrt(m) * z))
+    for i in np.flatnonzero(lam > 0):
+        out[i] = np.random.default_rng([seed, salt, int(cell[i]) % 2**64]).poisson(lam[i], reps)
     return out
 
 
-def _replicates(cells: DataFrame, reps: int, seed: int, neg_rate: float, neg_cap: int | None, slice_rows: int) -> DataFrame:
+def _replicates(cells: DataFrame, reps: int, seed: int, neg_rate: float, slice_rows: int) -> DataFrame:
     """(variant, b, metrics) from cells (variant, score, cell, pos, neg)."""
-    totals = cells.groupBy("variant").agg(F.sum("neg").alias("_all_neg"))
-    cells = cells.join(totals, "variant")
-    keep = F.least(F.lit(1.0), F.lit(float(neg_cap)) / F.col("_all_neg")) if neg_cap else F.lit(1.0)
-    cells = cells.withColumn("keep", keep).drop("_all_neg")
     s = O.probe(cells, ["variant"], -F.col("score"), slice_rows)
     cells = O.with_slice(cells, s, -F.col("score")).select(
         "variant", F.col("_slice").alias("slice"), "score", "cell", F.col("pos").cast("double").alias("pos"),
-        F.col("neg").cast("double").alias("neg"), "keep",
+        F.col("neg").cast("double").alias("neg"),
     )
 
     def weights(pdf: pd.DataFrame):
         c = pdf["cell"].to_numpy()
         pos = poisson(c, pdf["pos"].to_numpy(), reps, seed, 1)
-        neg = poisson(c, (pdf["neg"] * pdf["keep"]).to_numpy(), reps, seed, 2)
+        neg = poisson(c, pdf["neg"].to_numpy(), reps, seed, 2)
         return pos, neg
 
     def sums(key, batches):
@@ -93,7 +65,7 @@ def _replicates(cells: DataFrame, reps: int, seed: int, neg_rate: float, neg_cap
         tp, fp = start["tp0"].to_numpy(), start["fp0"].to_numpy()
         P, N = np.maximum(start["p"].to_numpy(), 1e-300), np.maximum(start["n"].to_numpy(), 1e-300)
         rows = rows.sort_values("score", ascending=False, kind="mergesort").reset_index(drop=True)
-        w_neg = 1.0 / (neg_rate * float(rows["keep"].iloc[0])) if len(rows) else 1.0
+        w_neg = 1.0 / neg_rate
         auc, ap = np.zeros(reps), np.zeros(reps)
         rec = {t: np.where(fp / N <= t, tp / P, 0.0) for t in (0.01, 0.02, 0.05)}
         score = rows["score"].to_numpy()
@@ -137,25 +109,23 @@ def _interval(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def bootstrap_ci(scores: DataFrame, reps: int = 1000, seed: int = 42, neg_rate: float = 1.0, neg_cap: int | None = None,
-                 slice_rows: int = 20_000) -> DataFrame:
-    """Intervals of AUC, AP and recall at 1 / 2 / 5 % per variant (columns variant, y, score).
-
-    ``neg_cap`` draws that many negatives per replicate and reweights them in AP.
-    """
+def bootstrap_ci(scores: DataFrame, reps: int = 1000, seed: int = 42, neg_rate: float = 1.0, slice_rows: int = 20_000) -> DataFrame:
+    """Intervals of AUC, AP and recall at 1 / 2 / 5 % per variant (columns variant, y, score)."""
+    scores = scores.withColumn("score", missing_last(F.col("score")))
     cells = scores.groupBy("variant", "score").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     cells = cells.withColumn("cell", F.xxhash64("variant", "score"))
-    return _interval(_long(_replicates(cells, reps, seed, neg_rate, neg_cap, slice_rows), ["variant", "b"]), ["variant", "metric"])
+    return _interval(_long(_replicates(cells, reps, seed, neg_rate, slice_rows), ["variant", "b"]), ["variant", "metric"])
 
 
 def paired_bootstrap(pairs: DataFrame, old: str, new: str, reps: int = 1000, seed: int = 42, neg_rate: float = 1.0,
                      slice_rows: int = 20_000) -> DataFrame:
     """Intervals of (new - old) on the same rows: both scores share the weight of their common cell."""
+    pairs = pairs.withColumns({c: missing_last(F.col(c)) for c in (old, new)})
     cells = pairs.groupBy(old, new).agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     cells = cells.withColumn("cell", F.xxhash64(old, new))
     both = F.array(F.struct(F.lit("old").alias("variant"), F.col(old).alias("score")), F.struct(F.lit("new").alias("variant"), F.col(new).alias("score")))
     cells = cells.select(F.explode(both).alias("_v"), "cell", "pos", "neg").select("_v.variant", "_v.score", "cell", "pos", "neg")
-    long = _long(_replicates(cells, reps, seed, neg_rate, None, slice_rows), ["variant", "b"])
+    long = _long(_replicates(cells, reps, seed, neg_rate, slice_rows), ["variant", "b"])
     sign = F.when(F.col("variant") == "new", F.col("value")).otherwise(-F.col("value"))
     return _interval(long.groupBy("b", "metric").agg(F.sum(sign).alias("value")), ["metric"])
 

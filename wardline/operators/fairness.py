@@ -57,14 +57,17 @@ def score_quantile(df: DataFrame, column: str, q: float) -> float | None:
 
 
 def parity_cost(scores: DataFrame, cohort: str, safe, hot, threshold: float) -> DataFrame:
-    """Recall of the hot cohort at the global threshold and at the one that equals the safe cohort's rate."""
+    """Recall of the hot cohort at the global threshold and at the one that equals the safe cohort's rate.
+
+    Without rows in the safe cohort there is no rate to match: rate, threshold and recall at parity are null."""
     share = scores.filter(F.col(cohort) == safe).agg(F.avg((F.col("score") >= threshold).cast("double"))).first()[0]
     group = scores.filter(F.col(cohort) == hot)
-    after = exact_quantile(group, F.col("score"), 1 - share)
+    after = None if share is None else exact_quantile(group, F.col("score"), 1 - share)
     hit = lambda t: F.count_if((F.col("score") >= t) & (F.col("y") == 1)) / F.greatest(F.count_if(F.col("y") == 1), F.lit(1))
     return group.agg(
-        F.lit(float(share)).alias("safe_rate"), hit(threshold).alias("recall_global"),
-        F.lit(after).alias("parity_threshold"), hit(after).alias("recall_parity"),
+        F.lit(share).cast("double").alias("safe_rate"), hit(threshold).alias("recall_global"),
+        F.lit(after).cast("double").alias("parity_threshold"),
+        (F.lit(None).cast("double") if after is None else hit(after)).alias("recall_parity"),
     )
 
 

@@ -16,6 +16,12 @@ def sample_weights(df: DataFrame, neg_rate: float = 1.0, y: str = "y", out: str
     return df.withColumn(out, F.when(F.col(y) == 0, F.lit(1.0 / neg_rate)).otherwise(F.lit(1.0)))
 
 
+def missing_last(score: Column) -> Column:
+    """A null or NaN score ranks below every other score."""
+    c = score.cast("double")
+    return F.when(c.isNull() | F.isnan(c), F.lit(float("-inf"))).otherwise(c)
+
+
 def roc_curve(scores: DataFrame, by: list[str], neg_rate: float = 1.0, amount: str | None = None, y: str = "y",
               score: str = "score", drop_collinear: bool = False, hot_rows: int = O.HOT_ROWS) -> DataFrame:
     """One row per distinct score: cumulative tp / fp / caught from the highest score down, with the totals.
@@ -23,7 +29,9 @@ def roc_curve(scores: DataFrame, by: list[str], neg_rate: float = 1.0, amount: s
     Rows are first combined to score ties inside each task. The running sums are then one window per variant,
     or sliced by score with carries when a variant has more than ``hot_rows`` distinct scores. Each row also
     holds its own step (pos, neg), so area metrics need no further ordering. The (0, 0) start is implied.
+    Null and NaN scores are one tie at minus infinity, the last vertex, whichever way the sums are made.
     """
+    scores = scores.withColumn(score, missing_last(F.col(score)))
     caught = {"amt": F.sum(F.when(F.col(y) == 1, F.col(amount)).otherwise(F.lit(0.0)))} if amount else {}
     ties = scores.groupBy(*by, score).agg(
         F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) == 0).cast("long")).alias("neg"),

@@ -102,9 +102,9 @@ def split_quantile(df: DataFrame, column: str, q: float = 0.8) -> tuple[DataFram
 
 
 def split_label_quantile(df: DataFrame, ts: str, y: str, q: float = 0.6) -> tuple[DataFrame, DataFrame, int]:
-    """Cut at the q-quantile of the positives' times (whole microseconds, rounded down)."""
+    """Cut at the q-quantile of the positives' times (whole microseconds, rounded down); without positives all rows are before it."""
     cut = exact_quantile(df.filter(F.col(y) == 1), X.micros(ts), q)
-    cut = int(math.floor(cut))
+    cut = 2**63 - 1 if cut is None else int(math.floor(cut))
     micros = X.micros(ts)
     return df.filter(micros <= cut), df.filter(micros > cut), cut
 

@@ -26,22 +26,32 @@ def write_leaderboard(df: DataFrame, path: str) -> None:
 
 
 # ---- decisions ------------------------------------------------------------------
-def append_new_decisions(batch: DataFrame, path: str) -> None:
-    """Insert rows whose event_id is not stored yet. Only the days present in the batch are read back."""
+BUCKETS = 256
+
+
+def append_new_decisions(batch: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Insert rows whose event_id is not stored yet: insert-or-ignore on the key event_id, whatever the other columns say.
+
+    The store is partitioned by a hash bucket of event_id, so only the buckets that the batch meets are read back. Within a
+    batch the earliest row per event_id wins. Rows without an event_id have no key and are refused. ``buckets`` belongs to the store.
+    """
     spark = batch.sparkSession
+    keyed = batch.filter(F.col("event_id").isNotNull())
     # several reads of a stateful micro-batch would run it several times
-    rows = batch.dropDuplicates(["event_id"]).withColumn("day", F.to_date("ts")).persist()
+    rows = first_per_event(keyed).withColumn("bucket", F.pmod(F.xxhash64("event_id"), F.lit(buckets)).cast("int")).persist()
     try:
         new = rows
+        kind = batch.schema["event_id"].dataType.simpleString()
         try:
-            stored = spark.read.parquet(path).select("event_id", "day")
-        except AnalysisException:
+            stored = spark.read.schema(f"event_id {kind}, bucket int").parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             stored = None
         if stored is not None:
-            days = [r[0] for r in rows.select("day").distinct().limit(10_000).collect()]
-            scope = stored.filter(F.col("day").isin(*days)) if len(days) < 10_000 else stored
-            new = rows.join(scope.select("event_id"), "event_id", "left_anti")
-        new.write.mode("append").partitionBy("day").parquet(path)
+            met = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+            new = rows.join(stored.filter(F.col("bucket").isin(*met)).select("event_id"), "event_id", "left_anti")
+        new.write.mode("append").partitionBy("bucket").parquet(path)
     finally:
         rows.unpersist()
 
