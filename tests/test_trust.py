@@ -78,7 +78,7 @@ def test_impossible_travel_flags_and_keeps_flagging(spark):
     rows = run(spark, warm(4, step=2) + [event(50, 10, geo="RU-MOW"), event(51, 11, geo="RU-MOW")])
     assert [r["impossible"] for r in rows] == [False] * 4 + [True, True]
     assert rows[-1]["reason_codes"][0] == C.TRAVEL_REASON
-    legacy = run(spark, warm(4, step=2) + [event(50, 10, geo="RU-MOW")], params=T.Params.legacy())
+    legacy = run(spark, warm(4, step=2) + [event(50, 10, geo="RU-MOW")], params=T.Params.named("before"))
     assert not legacy[-1]["impossible"]
 
 
@@ -100,7 +100,7 @@ def test_recovery_is_rate_limited(spark):
     rows = run(spark, down + benign)
     low = rows[1]["trust"]
     assert low < rows[-1]["trust"] <= low + C.RECOVERY_CAP
-    free = run(spark, down + benign, params=T.Params.legacy())
+    free = run(spark, down + benign, params=T.Params.named("before"))
     assert free[-1]["trust"] > low + C.RECOVERY_CAP
 
 
@@ -116,7 +116,7 @@ def test_creeping_risk_goes_to_review_until_verified(spark):
     rows = run(spark, warm(10) + ramp)
     first = next(i for i, r in enumerate(rows) if r["drift_review"])
     assert rows[first]["risk_band"] == "DRIFT_REVIEW" and rows[first]["reason_codes"][0] == C.DRIFT_REASON
-    legacy = run(spark, warm(10) + ramp, params=T.Params.legacy())
+    legacy = run(spark, warm(10) + ramp, params=T.Params.named("before"))
     assert not any(r["drift_review"] for r in legacy)
     when = rows[first]["ts"] + timedelta(minutes=1)
     calm = [event(900, 100 + 26 * 70, ml=0.05)]
@@ -226,3 +226,28 @@ def test_event_validation(spark):
     assert good.count() == 1 and good.first()["is_new_beneficiary"] is False
     assert sorted(r["problem"] for r in bad.collect()) == sorted(
         ["unknown_field", "hour_of_day", "channel", "missing_field", "wrong_type", "malformed", "malformed"])
+
+
+def test_null_geo_and_running_statistics(spark):
+    import random
+
+    import numpy as np
+
+    ds = run(spark, [event(1, 0, geo=None), event(2, 60, geo="IN-DEL"), event(3, 120, geo=None)])
+    assert len(ds) == 3
+    a, r = T.Amounts(), random.Random(3)
+    seen = []
+    for i in range(900):
+        x = r.lognormvariate(8, 2)
+        seen = (seen + [x])[-200:]
+        a.add(x)
+        if i in (3, 150, 199, 200, 399, 400, 899):
+            want = min(x / 100000, 1.0) if len(seen) < 5 else min(abs(5.0 - np.mean(seen)) / (3 * max(np.std(seen), 1.0)), 1.0)
+            assert abs(a.deviation(x if len(seen) < 5 else 5.0) - want) < 1e-9
+    h = T.Hours([23, 1])
+    assert (h.distance(23), h.distance(0), h.distance(12), T.Hours().distance(3)) == (0, 1, 11, 6)
+    s = T.State()
+    s.devices.add("d")
+    s.hours.add(5)
+    s.amounts.add(9.0)
+    assert T.State.load(s.dump()).dump() == s.dump()

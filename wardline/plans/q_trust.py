@@ -42,7 +42,7 @@ def trust_explained(spark, sf):
 
 @query("trust_decisions_legacy", "L13", f"with recursive {trust_sql(drift=False, cap=10**9, prior=False, travel=False)} select band as risk_band, decision, count(*) as events from d group by all")
 def trust_decisions_legacy(spark, sf):
-    d = decisions(spark, sf, fold.Params.legacy(require_model=False))
+    d = decisions(spark, sf, fold.Params.named("before", require_model=False))
     return d.groupBy("risk_band", "decision").agg(F.count(F.lit(1)).alias("events"))
 
 

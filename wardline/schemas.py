@@ -78,7 +78,6 @@ ABSOLUTE_AMOUNT = 100_000.0
 START_TRUST = 700
 RECOVERY_CAP = 120
 RECOVERY_WINDOW = 3600.0
-RISK_WINDOW = 16
 COLD_FACTOR = 0.5
 COLD_MAX_AMOUNT = 25_000.0
 TRAVEL_SECONDS = 3600.0
