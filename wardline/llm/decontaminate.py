@@ -12,11 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import text_batches, texts
 
+#: Characters searched at a time; their hashes fit a processor's cache.
+GROUP = 250_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOWER: list[np.ndarray] = []
 
@@ -124,63 +127,66 @@ class Index:
         starts = np.cumsum(lens) - lens
         c = np.concatenate([np.append(x, np.uint32(0)) for x in each])
         d, it, first = self.candidates(c, np.repeat(np.arange(len(each)), lens), starts)
+        best: dict[tuple[int, int], set] = defaultdict(set)
+        for doc, i, (edits, a, b) in zip(d.tolist(), it.tolist(), align([self.text[i] for i in it], [each[x] for x in d], first, 2 * (2 * self.k[it] + 1), self.k[it])):
+            if edits <= self.k[i]:
+                best[doc, i].add((edits, a, b))
         out = []
-        for i in np.unique(it):
-            mine = it == i
-            k, m = int(self.k[i]), int(self.m[i])
-            best: dict[int, list] = defaultdict(list)
-            for doc, (edits, a, b) in zip(d[mine].tolist(), align(self.text[i], [each[x] for x in d[mine]], first[mine], 2 * (2 * k + 1), k)):
-                if edits <= k:
-                    best[doc].append((edits, a, b))
-            for doc, hits in best.items():
-                kept: list[tuple[int, int, int]] = []
-                for edits, a, b in sorted(set(hits)):
-                    if all(b <= x or y <= a for _, x, y in kept):
-                        kept.append((edits, a, b))
-                out += [(doc, self.ids[i], a, b, e) for e, a, b in kept]
+        for (doc, i), hits in best.items():
+            kept: list[tuple[int, int, int]] = []
+            for edits, a, b in sorted(hits):
+                if all(b <= x or y <= a for _, x, y in kept):
+                    kept.append((edits, a, b))
+            out += [(doc, self.ids[i], a, b, e) for e, a, b in kept]
         return out
 
 
-def _edge(p: np.ndarray, rows: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Banded edit distance of p against each row, over all ends. rows[:, j + i] faces p[i] on diagonal j (0 <= j < span); an alignment may
-    begin on any diagonal. Returns the least edits and the diagonal on which they end (the first)."""
+def _rows(p: np.ndarray, m: np.ndarray, text: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Banded edit distances, many alignments at a time: text[r, j + i] faces p[r, i] on diagonal j, d holds the distances before the first
+    character of each p. Rows are ordered by falling length m, so those whose p has ended are the last."""
+    span = d.shape[1]
     idx = np.arange(span, dtype=np.int32)
-    d = np.zeros((len(rows), span), np.int32)
-    for i in range(len(p)):
-        new = d + (rows[:, i:i + span] != p[i])
-        np.minimum(new[:, :-1], d[:, 1:] + 1, out=new[:, :-1])  # a character of p is left out
-        d = np.minimum.accumulate(new - idx, axis=1) + idx  # characters of the text are left out
-    return d.min(1), d.argmin(1)
-
-
-def align(p: np.ndarray, docs: list[np.ndarray], first: np.ndarray, wide: int, k: int, block: int = 256) -> list[tuple[int, int, int]]:
-    """(edits, start, end) of the best stretch of each document whose alignment with p stays in diagonals first - k .. first + wide + k."""
-    out, m = [], len(p)
-    span = wide + 2 * k + 1
+    for i in range(p.shape[1]):
+        n = int(np.searchsorted(-m, -i))  # rows with m > i
+        old = d[:n]
+        new = old + (text[:n, i:i + span] != p[:n, i, None])
+        np.minimum(new[:, :-1], old[:, 1:] + 1, out=new[:, :-1])  # a character of p is left out
+        new -= idx
+        d[:n] = np.minimum.accumulate(new, axis=1) + idx  # characters of the text are left out
+    return d
+
+
+def align(items: list[np.ndarray], docs: list[np.ndarray], first: np.ndarray, wide: np.ndarray, k: np.ndarray, block: int = 256) -> list[tuple[int, int, int]]:
+    """(edits, start, end) of the best stretch of each document whose alignment with its item stays in diagonals first - k ..
+    first + wide + k at least."""
+    out: list = [None] * len(docs)
+    size = np.array([len(p) for p in items], np.int64)
+    order = np.argsort(-size, kind="stable")
     for lo in range(0, len(docs), block):
-        base = (first[lo:lo + block] - k).astype(np.int64)
-        rows = np.zeros((len(base), span + m), np.uint32)
-        for r, (x, b) in enumerate(zip(docs[lo:lo + block], base.tolist())):
-            a, z = max(b, 0), min(len(x), b + span + m)
+        own = order[lo:lo + block]
+        m, n, top = size[own], len(own), int(k[own].max())
+        longest, span = int(m[0]), int((wide[own] + 2 * k[own]).max()) + 1
+        base = first[own] - k[own]
+        p = np.zeros((n, longest), np.uint32)
+        text = np.zeros((n, span + longest), np.uint32)
+        for r, (j, b) in enumerate(zip(own.tolist(), base.tolist())):
+            p[r, :m[r]] = items[j]
+            a, z = max(b, 0), min(len(docs[j]), b + span + int(m[r]))
             if a < z:
-                rows[r, a - b:z - b] = x[a:z]
-        edits, last = _edge(p, rows, span)
-        end = last + m  # in the row
-        # the same backwards from the end: the best start
-        back = np.full((len(base), 2 * k + 1 + m), 0, np.uint32)
+                text[r, a - b:z - b] = docs[j][a:z]
+        d = _rows(p, m, text, np.zeros((n, span), np.int32))
+        edits, end = d.min(1), d.argmin(1) + m
+        # the same backwards from the end, anchored there: the best start
+        back, turned = np.zeros((n, 2 * top + 1 + longest), np.uint32), np.zeros_like(p)
         for r, e in enumerate(end.tolist()):
-            x = rows[r, max(0, e - m - k):e][::-1]
-            back[r, k:k + len(x)] = x
-        width = 2 * k + 1
-        idx = np.arange(width, dtype=np.int32)
-        d = np.where(idx >= k, idx - k, 1 << 20).astype(np.int32)[None, :].repeat(len(base), 0)  # anchored: nothing before the end is free
-        for c, i in zip(p[::-1], range(m)):
-            new = d + (back[:, i:i + width] != c)
-            np.minimum(new[:, :-1], d[:, 1:] + 1, out=new[:, :-1])
-            d = np.minimum.accumulate(new - idx, axis=1) + idx
-        size = m + d.argmin(1) - k
-        for e, b, z, n, x in zip(edits.tolist(), base.tolist(), end.tolist(), size.tolist(), docs[lo:lo + block]):
-            out.append((e, max(0, b + z - n), min(len(x), b + z)))
+            x = text[r, max(0, e - int(m[r]) - top):e][::-1]
+            back[r, top:top + len(x)] = x
+            turned[r, :m[r]] = p[r, :m[r]][::-1]
+        idx = np.arange(2 * top + 1)
+        d = _rows(turned, m, back, np.where(idx >= top, idx - top, 1 << 20).astype(np.int32)[None, :].repeat(n, 0))
+        length = m + d.argmin(1) - top
+        for j, e, b, z, w in zip(own.tolist(), edits.tolist(), base.tolist(), end.tolist(), length.tolist()):
+            out[j] = (e, max(0, b + z - w), min(len(docs[j]), b + z))
     return out
 
 
@@ -213,7 +219,7 @@ def _hit(items, rate: float, q: int, least: int):
         index = Index(items.value, rate, q, least)
         for s in batches:
             found, at = np.zeros(len(s), bool), 0
-            for group in text_batches(s, 1_000_000):
+            for group in text_batches(s, GROUP):
                 for d, *_ in index.search(group):
                     found[at + d] = True
                 at += len(group)
@@ -238,13 +244,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, q: in
 
         def run(batches, sent=sent):
             index = Index(sent.value, rate, q, least)
-            for pdf in batches:
-                ids, at = pdf["doc_id"].tolist(), 0
-                for group in text_batches(pdf["text"], 1_000_000):
-                    rows = [(ids[at + d], *rest) for d, *rest in index.search(group)]
-                    at += len(group)
-                    yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "edits"])
-
-        found = whole.mapInPandas(run, "doc_id long, item_id long, start long, end long, edits long")
+            for b in batches:
+                for lo in range(0, b.num_rows, 500):
+                    part = b.slice(lo, 500)
+                    ids, at = part.column("doc_id").to_pylist(), 0
+                    for group in text_batches(part.column("text").to_pylist(), GROUP):
+                        cols = list(zip(*((ids[at + d], *rest) for d, *rest in index.search(group)))) or [()] * 5
+                        at += len(group)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "start", "end", "edits"])
+
+        found = whole.mapInArrow(run, "doc_id long, item_id long, start long, end long, edits long")
         out = found if out is None else out.union(found)
     return out
