@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardline import schemas as C
 
@@ -210,15 +210,12 @@ def counterfactual(attr: Column, amount: Column, amount_ref: Column) -> Column:
     top, name = attr[0]["phi"], attr[0]["name"]
     text = F.create_map(*[F.lit(x) for kv in C.COUNTERFACTUAL_TEXT.items() for x in kv])
     has_amount = amount.isNotNull() & (amount != 0)
-    usual = F.concat(
-        F.lit("Would have scored materially lower if the amount were closer to ≈ ₹"),
-        F.format_number(amount_ref.cast("long"), 0), F.lit(" (this identity's typical range)."),
-    )
-    vague = F.lit("Would have scored lower if the amount were closer to this identity's normal range.")
+    say = {k: F.lit(v) for k, v in C.COUNTERFACTUAL_SENTENCES.items()}
+    usual = F.concat(say["usual_before"], F.format_number(amount_ref.cast("long"), 0), say["usual_after"])
     return (
-        F.when(top <= 0, F.lit("No single factor dominated; behaviour was broadly consistent."))
-        .when((name == "amount_zscore") & has_amount, F.when(amount_ref > 0, usual).otherwise(vague))
-        .otherwise(F.concat(F.lit("Would have scored lower if "), F.element_at(text, name), F.lit(".")))
+        F.when(top <= 0, say["none"])
+        .when((name == "amount_zscore") & has_amount, F.when(amount_ref > 0, usual).otherwise(say["vague"]))
+        .otherwise(F.concat(say["lower_if"], F.element_at(text, name), F.lit(".")))
     )
 
 
@@ -247,3 +244,13 @@ def laplace(u: Column, scale: float) -> Column:
 def hash_fraction(key: Column, seed: int) -> Column:
     """Deterministic uniform in [0, 1) with 1e-6 steps, stable under re-partitioning and retries."""
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / F.lit(1_000_000.0)
+
+
+def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """A 64-bit id per row: the hash of its values and of its number among equal rows, so that repeated log rows keep apart.
+
+    Equal rows are interchangeable, so the ids do not depend on how the table is dealt out.
+    """
+    same = Window.partitionBy("_h").orderBy("_h")
+    out = df.withColumn("_h", F.xxhash64(*df.columns)).withColumn("_n", F.row_number().over(same))
+    return out.withColumn(name, F.xxhash64("_h", "_n")).drop("_h", "_n")

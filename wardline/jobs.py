@@ -64,7 +64,7 @@ def evaluate(scores: DataFrame, out: str, neg_rate: float = 1.0, amount: str | N
 def payments_job(spark: SparkSession, path: str, out: str, cut: int = 600, neg_cap: int = 2_000_000, seed: int = 42, reps: int = 1000, **params):
     """Mobile-money fraud: causal features, cut by step, full and behaviour-only detectors, amount-based cost."""
     raw = R.read_payments(spark, path)
-    df = raw.withColumns({"row_id": F.xxhash64(*raw.columns), "ts": F.timestamp_seconds(F.col("step").cast("long") * 3600)})
+    df = X.with_row_id(raw).withColumns({"ts": F.timestamp_seconds(F.col("step").cast("long") * 3600)})
     df = H.causal_index(df, "nameOrig", "ts", "row_id", "orig_txn_idx")
     df = H.causal_index(df, "nameDest", "ts", "row_id", "dest_in_deg")
     df = X.balance_features(df).withColumns({
@@ -102,8 +102,8 @@ def logins_job(spark: SparkSession, path: str, out: str, neg_cap: int | None = N
                balance: bool = True, **params):
     """Account takeover among successful logins: label-anchored time split, train-only frequency codes, IP-feed ablation."""
     df = S.login_population(R.read_logins(spark, path), "clamped" if neg_rate < 1 else "success")
-    df = df.withColumns({
-        "row_id": F.xxhash64(*df.columns), "y": F.col("takeover").cast("int"), "ip": F.col("attack_ip").cast("int"), "hour": F.hour("ts"),
+    df = X.with_row_id(df).withColumns({
+        "y": F.col("takeover").cast("int"), "ip": F.col("attack_ip").cast("int"), "hour": F.hour("ts"),
         "rtt": X.log_rtt(F.col("rtt_ms")), "device_type": F.coalesce("device_type", F.lit("unknown")),
         "browser": X.family(F.col("browser_full")), "os": X.family(F.col("os_full")),
     })
@@ -166,8 +166,8 @@ def compare_reports(reports: dict[str, DataFrame]) -> DataFrame:
 def login_events(logins: DataFrame) -> DataFrame:
     """Login rows as identity events (coarse device fingerprint, country as location, no amount)."""
     no = F.lit(False)
-    return logins.select(
-        F.xxhash64(*logins.columns).alias("event_id"), "ts", F.col("user_id").cast("string").alias("identity_id"), F.lit("login").alias("event_type"),
+    return X.with_row_id(logins, "event_id").select(
+        "event_id", "ts", F.col("user_id").cast("string").alias("identity_id"), F.lit("login").alias("event_type"),
         F.lit("internet_banking").alias("channel"), X.device_key(F.col("device_type"), F.col("browser_full"), F.col("os_full")).alias("device_id"),
         F.col("country").alias("geo"), F.hour("ts").alias("hour_of_day"), F.lit(None).cast("double").alias("amount"),
         no.alias("is_new_beneficiary"), no.alias("recovery_contact_changed"),
@@ -200,7 +200,7 @@ def privacy_job(replay: DataFrame, out: str, secret: bytes, noise_multiplier: fl
 def travel_job(spark: SparkSession, path: str) -> DataFrame:
     """How many takeovers with an earlier login show impossible travel, and how many genuine logins do."""
     ok = S.login_population(R.read_logins(spark, path), "success").withColumn("takeover", F.col("takeover").cast("int"))
-    ok = ok.withColumn("row_id", F.xxhash64(*ok.columns))
+    ok = X.with_row_id(ok)
     return H.travel_lift(H.impossible_travel(ok, "user_id", "ts", "row_id"))
 
 

@@ -29,18 +29,17 @@ def mean_path(n: float) -> float:
 
 
 def tree_samples(df: DataFrame, cols: list[str], row_id: str, trees: int, size: int, seed: int) -> DataFrame:
-    """``size`` rows per tree (fewer if the table is smaller), drawn by hash and without replacement."""
+    """``size`` rows per tree (fewer if the table is smaller), drawn by hash and without replacement.
+
+    Every tree draws for itself: a row enters a tree with a chance that gives about 2 * size + 50 rows, of which the first ``size`` in hash
+    order stay. One rule for tables of any size.
+    """
     n = df.count()
-    h = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(2**31)) / float(2**31)
+    h = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(2**53)) / float(2**53)
     base = df.select(row_id, *[F.col(c).cast("double").alias(c) for c in cols])
-    if n >= 4 * trees * size:
-        # plenty of rows: each drawn row serves one tree
-        p = 2.0 * trees * size / n
-        drawn = base.filter(h(row_id, F.lit("draw")) < p).withColumn("tree", F.floor(h(row_id, F.lit("tree")) * trees).cast("int"))
-    else:
-        p = min(1.0, 2.0 * size / max(n, 1) + 0.02)
-        picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: h(row_id, t) < p)
-        drawn = base.withColumn("tree", F.explode(picks))
+    p = min(1.0, (2.0 * size + 50) / max(n, 1))
+    picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: h(row_id, t) < p)
+    drawn = base.withColumn("tree", F.explode(picks))
     w = Window.partitionBy("tree").orderBy(F.xxhash64(row_id, "tree", F.lit(seed + 1)), row_id)
     return drawn.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= size).drop("_r")
 

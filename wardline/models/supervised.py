@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -15,7 +16,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from wardline.functions import expr as X
 from wardline.operators import metrics as M
-from wardline.operators.splits import take_by_hash
 from wardline.session import checkpoint_dir, materialize
 
 MAX_CATEGORIES = 256
@@ -98,47 +98,74 @@ def _metrics(spark, rows: list[tuple], names: str) -> DataFrame:
     return spark.createDataFrame(rows, names)
 
 
+def side_by_side(one: Callable, items, parallelism: int = 4) -> list:
+    """Results of ``one`` for all items, in order; a few fits share the cluster at a time."""
+    with ThreadPool(parallelism) as pool:
+        return pool.map(one, list(items))
+
+
 # ---- comparison -----------------------------------------------------------------
 def bake_off(train: DataFrame, val: DataFrame, cols: list[str], y: str, families: dict[str, dict], seed: int = 42) -> DataFrame:
     """Validation metrics per family (incumbent against alternatives), best AP first."""
-    parts = []
-    for name, p in families.items():
+    train, val = materialize(train), materialize(val)
+
+    def one(item):
+        name, p = item
         m = fit(train, cols, y, p.get("family", name), seed, balance=p.get("balance", False), **p.get("params", {}))
-        parts.append(ranking(score(m, val, cols), y).withColumn("family", F.lit(name)))
+        return ranking(score(m, val, cols), y).withColumn("family", F.lit(name))
+
+    parts = side_by_side(one, families.items())
     return M.rank_by(reduce(DataFrame.unionByName, parts), "pr_auc", ["family"]).select("family", "pr_auc", "roc_auc", "ks", "rank")
 
 
 def search(train: DataFrame, val: DataFrame, cols: list[str], y: str, space: dict[str, list], n: int, seed: int = 42, family: str = "gbt") -> DataFrame:
     """Trial table of a seeded random search with validation AP as the objective."""
     rng = random.Random(seed)
-    rows = []
-    for trial in range(n):
-        p = {k: rng.choice(v) for k, v in sorted(space.items())}
-        r = ranking(score(fit(train, cols, y, family, seed, **p), val, cols), y).first()
-        rows.append((trial, str(sorted(p.items())), float(r["pr_auc"]), float(r["roc_auc"])))
+    train, val = materialize(train), materialize(val)
+    trials = [(trial, {k: rng.choice(v) for k, v in sorted(space.items())}) for trial in range(n)]
+
+    def one(item):
+        r = ranking(score(fit(train, cols, y, family, seed, **item[1]), val, cols), y).first()
+        return item[0], str(sorted(item[1].items())), float(r["pr_auc"]), float(r["roc_auc"])
+
+    rows = side_by_side(one, trials)
     df = _metrics(train.sparkSession, rows, "trial int, params string, pr_auc double, roc_auc double")
     return M.rank_by(df, "pr_auc", ["trial"])
 
 
 def seed_sweep(train: DataFrame, test: DataFrame, cols: list[str], y: str, seeds: list[int], **params) -> DataFrame:
     """Metric spread over seeds: mean, population std, min and max."""
-    rows = []
-    for s in seeds:
+    train, test = materialize(train), materialize(test)
+
+    def one(s):
         r = ranking(score(fit(train, cols, y, "gbt", s, subsamplingRate=0.8, **params), test, cols), y).first()
-        rows += [(s, k, float(r[k])) for k in ("pr_auc", "roc_auc")]
+        return [(s, k, float(r[k])) for k in ("pr_auc", "roc_auc")]
+
+    rows = [x for part in side_by_side(one, seeds) for x in part]
     return M.seed_summary(_metrics(train.sparkSession, rows, "seed int, metric string, value double"), ["metric"])
 
 
-def permutation_importance(model, df: DataFrame, cols: list[str], y: str, row_id: str, repeats: int = 3, sample: int = 50_000, seed: int = 42) -> DataFrame:
-    """AP lost when one column is shuffled on a hash sample of at most ``sample`` rows, averaged over repeats."""
-    base = materialize(take_by_hash(df.select(row_id, y, *cols), row_id, sample, seed))
-    ranks = lambda salt: F.row_number().over(Window.orderBy(F.xxhash64(row_id, F.lit(salt)), row_id))  # noqa: E731  (sample rows only)
+def hash_ranks(df: DataFrame, row_id: str, salt: int, name: str, bucket_rows: int = 100_000) -> DataFrame:
+    """Number all rows 1 .. n in a seeded hash order: a rank within hash buckets of bounded size, and the rows in the buckets before."""
+    n = df.count()
+    span = -(-(2**53) // max(1, -(-n // bucket_rows)))
+    h = F.pmod(F.xxhash64(row_id, F.lit(salt)), F.lit(2**53))
+    df = df.withColumn("_h", h).withColumn("_b", F.floor(F.col("_h") / span))
+    sizes = df.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))  # one row per bucket
+    before = sizes.select("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", row_id))
+    return df.withColumn("_r", rank).join(before, "_b").withColumn(name, F.col("_r") + F.col("_s")).drop("_h", "_b", "_r", "_s")
+
+
+def permutation_importance(model, df: DataFrame, cols: list[str], y: str, row_id: str, repeats: int = 3, seed: int = 42) -> DataFrame:
+    """AP lost when one column is shuffled over all rows, averaged over repeats."""
+    base = materialize(df.select(row_id, y, *cols))
     full = float(ranking(score(model, base, cols), y).first()["pr_auc"])
     rows = []
     for i, c in enumerate(cols):
         for r in range(repeats):
-            left = base.drop(c).withColumn("_k", ranks(seed))
-            right = base.select(row_id, c).withColumn("_k", ranks(seed + 1 + i * repeats + r)).drop(row_id)
+            left = hash_ranks(base.drop(c), row_id, seed, "_k")
+            right = hash_ranks(base.select(row_id, c), row_id, seed + 1 + i * repeats + r, "_k").drop(row_id)
             ap = float(ranking(score(model, left.join(right, "_k").drop("_k"), cols), y).first()["pr_auc"])
             rows.append((c, full - ap))
     imp = _metrics(df.sparkSession, rows, "feature string, drop double").groupBy("feature").agg(F.avg("drop").alias("importance"))
@@ -150,19 +177,21 @@ def leakage_audit(train: DataFrame, test: DataFrame, cols: list[str], y: str, su
     num, _ = split_types(train, cols)
     top = M.label_correlation(train, num, y).orderBy(F.desc(F.abs("r")), "feature").first()["feature"]
     arms = {"all": cols, f"without_{top}": [c for c in cols if c != top], "without_suspects": [c for c in cols if c not in suspects]}
-    parts = []
-    for name, use in arms.items():
-        m = ranking(score(fit(train, use, y, "gbt", seed, **params), test, use), y)
-        parts.append(m.select(F.lit(name).alias("arm"), "pr_auc", "roc_auc"))
+    train, test = materialize(train), materialize(test)
+
+    def one(arm):
+        m = ranking(score(fit(train, arm[1], y, "gbt", seed, **params), test, arm[1]), y)
+        return m.select(F.lit(arm[0]).alias("arm"), "pr_auc", "roc_auc")
+
+    parts = side_by_side(one, arms.items())
     return reduce(DataFrame.unionByName, parts)
 
 
 def grouped_oof(df: DataFrame, cols: list[str], y: str, group: str, k: int = 5, seed: int = 42, **params) -> DataFrame:
     """Out-of-fold scores; a group (user) is never in both the fitting and the scored side."""
     df = df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(k)).cast("int"))
-    parts = [
-        score(fit(df.filter(F.col("fold") != i), cols, y, "gbt", seed, **params), df.filter(F.col("fold") == i), cols) for i in range(k)
-    ]
+    df = materialize(df)
+    parts = side_by_side(lambda i: score(fit(df.filter(F.col("fold") != i), cols, y, "gbt", seed, **params), df.filter(F.col("fold") == i), cols), range(k))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -207,11 +207,6 @@ def cold_prior(df: DataFrame) -> DataFrame:
     return df.withColumns({"new_device": F.col("new_device") * f, "new_geo": F.col("new_geo") * f})
 
 
-def replay_order(df: DataFrame, entity: str, ts: str, row_id: str) -> DataFrame:
-    """Rows grouped by entity and time-ordered inside each task; no global sort."""
-    return df.repartition(entity).sortWithinPartitions(entity, ts, row_id)
-
-
 def replay_head(df: DataFrame, entity: str, ts: str, row_id: str, limit: int) -> DataFrame:
     """The first ``limit`` rows of the replay order (a take-ordered, so each task sends at most ``limit``)."""
     return df.orderBy(entity, ts, row_id).limit(limit)

@@ -41,14 +41,6 @@ def userday_transfers(df: DataFrame, activity: str | None, name: str) -> DataFra
     )
 
 
-def median_mad(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Per-key medians and median absolute deviations (rows are user-days, so a key has few distinct values)."""
-    med = df.groupBy(key).agg(*[F.median(c).alias(f"med_{c}") for c in cols])
-    both = df.join(med, key)
-    mad = both.groupBy(key).agg(*[F.median(F.abs(F.col(c) - F.col(f"med_{c}"))).alias(f"mad_{c}") for c in cols])
-    return med.join(mad, key)
-
-
 def robust_deviation(df: DataFrame, key: str, cols: list[str], causal: bool = False, order: str = "day") -> DataFrame:
     """dev_<c> = max(0, (x - median) / (1.4826 * mad)); zero spread gives 0.
 

@@ -87,7 +87,7 @@ def standard_scale(spark, sf):
 def iforest_scores(spark, sf):
     ud = materialize(deviations(spark, sf).withColumn("row_id", F.xxhash64("user", "day")))
     cols = [f"dev_{c}" for c in MEASURES]
-    nodes = IF.iforest_fit(ud, cols, "row_id", trees=100)
+    nodes = IF.iforest_fit(ud, cols, "row_id", trees=400)
     return IF.iforest_score(ud, nodes, cols).select("user", "day", _R("score"))
 
 
@@ -102,6 +102,8 @@ def serving_risk(spark, sf):
     return IF.serving_risk(scored).select("event_id", _R("score"), _R("ml_risk"))
 
 
+#: Boosting rounds of the registered queries; the jobs take 100, the detectors' default.
+ROUNDS = 20
 _COLS = ["amount", "oldbalanceOrg", "newbalanceOrig", "hour", "dest_kind"]
 
 
@@ -120,40 +122,40 @@ def _split(spark, sf):
 @query("gbt_scores", "J1")
 def gbt_scores(spark, sf):
     train, test = _split(spark, sf)
-    out = SV.gbt_fit_score(train, test, {"full": _COLS, "amount_only": ["amount"]}, "y", maxIter=5)
+    out = SV.gbt_fit_score(train, test, {"full": _COLS, "amount_only": ["amount"]}, "y", maxIter=ROUNDS)
     return out.select("row_id", "y", _R("score_full"), _R("score_amount_only"))
 
 
 @query("bake_off", "J11,F4")
 def bake_off(spark, sf):
     train, val = _split(spark, sf)
-    families = {"gbt": {"params": {"maxIter": 5}}, "forest": {"params": {"numTrees": 10, "maxDepth": 5}}, "logistic": {"balance": True, "params": {"maxIter": 20}}}
+    families = {"gbt": {"params": {"maxIter": ROUNDS}}, "forest": {}, "logistic": {"balance": True}}
     return SV.bake_off(train, val, _COLS, "y", families)
 
 
 @query("hyper_search", "J12")
 def hyper_search(spark, sf):
     train, val = _split(spark, sf)
-    return SV.search(train, val, _COLS, "y", {"maxDepth": [3, 4, 5], "maxIter": [3, 5]}, 3)
+    return SV.search(train, val, _COLS, "y", {"maxDepth": [3, 4, 5], "maxIter": [10, 20, ROUNDS], "stepSize": [0.05, 0.1, 0.2]}, 8)
 
 
 @query("seed_sweep", "J10,D14")
 def seed_sweep(spark, sf):
     train, test = _split(spark, sf)
-    return SV.seed_sweep(train, test, _COLS, "y", [1, 2, 3], maxIter=3)
+    return SV.seed_sweep(train, test, _COLS, "y", [1, 2, 3, 4, 5], maxIter=ROUNDS)
 
 
 @query("permutation_importance", "J8,F6")
 def permutation_importance(spark, sf):
     train, test = _split(spark, sf)
-    m = SV.fit(train, _COLS, "y", maxIter=3)
-    return SV.permutation_importance(m, test, _COLS, "y", "row_id", repeats=1)
+    m = SV.fit(train, _COLS, "y", maxIter=ROUNDS)
+    return SV.permutation_importance(m, test, _COLS, "y", "row_id")
 
 
 @query("leakage_audit", "J9")
 def leakage_audit(spark, sf):
     train, test = _split(spark, sf)
-    return SV.leakage_audit(train, test, _COLS, "y", ["oldbalanceOrg", "newbalanceOrig"], maxIter=3)
+    return SV.leakage_audit(train, test, _COLS, "y", ["oldbalanceOrg", "newbalanceOrig"], maxIter=ROUNDS)
 
 
 @query("calibrate", "J13")
@@ -163,7 +165,7 @@ def calibrate(spark, sf):
 
 @query("grouped_oof", "J14")
 def grouped_oof(spark, sf):
-    return SV.grouped_oof(labelled_payments(spark, sf), _COLS, "y", "user", k=3, maxIter=3).select("row_id", "y", "fold", _R("score"))
+    return SV.grouped_oof(labelled_payments(spark, sf), _COLS, "y", "user", k=5, maxIter=ROUNDS).select("row_id", "y", "fold", _R("score"))
 
 
 @query(
@@ -182,15 +184,15 @@ def keep_or_replace(spark, sf):
 # ---- bootstrap ------------------------------------------------------------------
 @query("bootstrap_ci", "K12")
 def bootstrap_ci(spark, sf):
-    return BS.bootstrap_ci(V.score_variants(spark, sf), reps=200)
+    return BS.bootstrap_ci(V.score_variants(spark, sf), reps=1000)
 
 
 @query("paired_bootstrap", "K13")
 def paired_bootstrap(spark, sf):
     s = V.scores(spark, sf).withColumn("alt", ((F.col("row_id") * 104729) % 800 + 150 * F.col("y")) / 1000.0)
-    return BS.paired_bootstrap(s, "score", "alt", reps=100)
+    return BS.paired_bootstrap(s, "score", "alt", reps=1000)
 
 
 @query("bootstrap_users", "K15")
 def bootstrap_users(spark, sf):
-    return BS.bootstrap_users(user_eer(spark, sf), "user_id", reps=500)
+    return BS.bootstrap_users(user_eer(spark, sf), "user_id", reps=1000)

@@ -56,6 +56,13 @@ CLIENT_MESSAGE = {
     "STEP_UP": "Additional verification is required to continue.",
     "BLOCK": "This request could not be completed. Please contact support.",
 }
+COUNTERFACTUAL_SENTENCES = {
+    "usual_before": "Would have scored materially lower if the amount were closer to ≈ ₹",
+    "usual_after": " (this identity's typical range).",
+    "vague": "Would have scored lower if the amount were closer to this identity's normal range.",
+    "none": "No single factor dominated; behaviour was broadly consistent.",
+    "lower_if": "Would have scored lower if ",
+}
 COUNTERFACTUAL_TEXT = {
     "new_device": "the device were already recognised for this identity",
     "new_geo": "the login came from a known location",
@@ -109,6 +116,7 @@ EVENT = _struct(
 )
 REQUIRED = ["event_id", "ts", "identity_id", "event_type", "channel", "device_id", "geo", "hour_of_day"]
 
+# ---- fixed values: column names of the source files ----------------------------
 PAYMENTS = _struct(
     step=I, type=S, amount=D, nameOrig=S, oldbalanceOrg=D, newbalanceOrig=D, nameDest=S, oldbalanceDest=D,
     newbalanceDest=D, isFraud=T.ByteType(), isFlaggedFraud=T.ByteType(),
