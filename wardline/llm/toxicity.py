@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import texts
+from wardline.llm.common import bound_batches, stored, texts
 
 #: From this score on a text is toxic.
 THRESHOLD = 0.3
@@ -123,11 +123,12 @@ def fit(x: np.ndarray, y: np.ndarray, delta: np.ndarray, l2: float = 2e-4, swap:
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, groups=GROUPS, max_rows: int = 12_000, max_features: int = 600, z: float = 4.0, seed: int = 9) -> Toxicity:
+def learn(docs: DataFrame, labels: DataFrame, groups=GROUPS, max_rows: int = 8_000, max_features: int = 600, z: float = 4.0, seed: int = 9) -> Toxicity:
     """Fit on documents labelled in `labels` (doc_id, toxic 0/1). About `max_rows` of them, drawn by a hash of the id, are used: the bound of
     what is broadcast and sent to the driver. Equal texts count once. Features whose share differs between the classes by `z` standard errors
     are kept, the `max_features` strongest. Null labels and ids are left out; of several labels of one document the highest counts.
     Without both labels the score is the share of the one label, smoothed: 0.5 when there is none."""
+    bound_batches(docs.sparkSession)
     rated = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = rated.count()
     part = min(1.0, max_rows / max(n, 1))
@@ -145,8 +146,6 @@ def learn(docs: DataFrame, labels: DataFrame, groups=GROUPS, max_rows: int = 12_
                 come.append([sorted({f for w in b for f in word_features(w)}) for _, b in pairs])
             yield pd.DataFrame({"h": pdf["h"], "toxic": pdf["toxic"], "feats": feats, "gone": gone, "come": come})
 
-    from wardline.llm.common import stored
-
     rows = stored(sample.mapInPandas(describe, "h long, toxic int, feats array<long>, gone array<array<long>>, come array<array<long>>"), "toxicity-sample")
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
@@ -161,12 +160,16 @@ def learn(docs: DataFrame, labels: DataFrame, groups=GROUPS, max_rows: int = 12_
     kept = sorted(r["f"] for r in seen.select("f", strength.alias("s")).where(F.abs("s") >= z).orderBy(F.desc(F.abs("s")), "f").limit(max_features).collect())
     if not kept:
         return Toxicity(base, {})
-    only = F.array(*[F.lit(f) for f in kept])
-    flat = rows.select("toxic", F.filter("feats", lambda f: F.array_contains(only, f)).alias("feats"), "gone", "come").orderBy("h").collect()
     place = {f: i for i, f in enumerate(kept)}
+
+    def known(batches):
+        for pdf in batches:
+            yield pdf.assign(feats=[[place[f] for f in x if f in place] for x in pdf["feats"]])
+
+    flat = rows.mapInPandas(known, rows.schema).select("toxic", "feats", "gone", "come").orderBy("h").collect()
     x, delta = np.zeros((len(flat), len(kept)), np.float32), []
     for i, r in enumerate(flat):
-        np.add.at(x[i], [place[f] for f in r["feats"]], 1)
+        np.add.at(x[i], r["feats"], 1)
         for a, b in zip(r["gone"], r["come"]):
             d = np.zeros(len(kept), np.float32)
             np.add.at(d, [place[f] for f in b if f in place], 1)
