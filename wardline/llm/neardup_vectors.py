@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from wardline.llm.common import stored
+from wardline.llm.common import bound_batches, stored
 from wardline.llm.components import components
 
 
@@ -127,7 +127,7 @@ def descend(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return nearest(lists.union(found), k)
 
 
-def compare_groups(nodes: DataFrame, groups: DataFrame, least: float, block: int = 512) -> DataFrame:
+def compare_groups(nodes: DataFrame, groups: DataFrame, least: float, block: int = 128) -> DataFrame:
     """node, linked: the rows in nodes linked with each node of `groups` (node, component), itself left out. All nodes of a component meet,
     in pairs of blocks; only counts leave a task."""
     size = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
@@ -189,6 +189,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, k: int = 12, tables
     different length do not link. Null, empty and zero vectors and those with null or non-finite components link with nothing. Repeated
     vectors and ids are rows of their own. Null ids are never smallest; a null id alone has a null component and is kept.
     """
+    bound_batches(vectors.sparkSession)
     rows = stored(units(vectors), "units")
     grouped = rows.where("u is not null").groupBy("u").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("w"))
     nodes = stored(grouped.select(F.monotonically_increasing_id().alias("node"), "u", "low", "w"), "vector-nodes")
