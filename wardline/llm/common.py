@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 from wardline.session import checkpoint_dir
 
 
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Arrow batches of at most about `size` bytes from now on: rows hold whole texts, and a task has a batch several times in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def texts(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns an operator reads, by name: doc_id, text (null becomes empty) and those of `keep`. Other columns are left behind,
     so that their names cannot clash with what an operator adds."""
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"), *keep)
 
 

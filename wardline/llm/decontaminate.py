@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import text_batches, texts
+from wardline.llm.common import bound_batches, text_batches, texts
 
 #: Characters searched at a time; their hashes fit a processor's cache.
 GROUP = 250_000
@@ -205,6 +205,7 @@ def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[i
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, q: int = 8, least: int = 20, block_chars: int = 2_000_000) -> DataFrame:
     """The rows of `docs`, with all their columns, that hold no stretch of a benchmark item (see `contaminated`). A filter on the text alone:
     nothing is shuffled. Rows with a null text stay."""
+    bound_batches(docs.sparkSession)
     for block in item_blocks(benchmark, block_chars):
         hit = _hit(docs.sparkSession.sparkContext.broadcast(block), rate, q, least)
         docs = docs.where(~hit(docs["text"]))

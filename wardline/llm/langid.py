@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import text_batches
+from wardline.llm.common import bound_batches, text_batches
 
 UNKNOWN = "und"
 _BLOCK = 8192
@@ -111,6 +111,7 @@ def learn(train: DataFrame, dim: int = 1024, seed: int = 11) -> Profiles:
     Each task bundles its rows by language; the bundles are added up by (language, position), so what reaches the driver is languages x dim
     numbers however large the input is. No rows: no languages, and every text is `und`.
     """
+    bound_batches(train.sparkSession)
     enc = Encoder(dim, seed)
 
     def run(batches):

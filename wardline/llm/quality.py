@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.llm.common import bound_batches
+
 #: A text is kept where P(grade > lowest) reaches this.
 KEEP = 0.4
 _RUN = re.compile(r"(.)\1+")
@@ -140,6 +142,7 @@ def learn(docs: DataFrame, ratings: DataFrame, max_rows: int = 4000, dims: int =
     """Fit on documents rated in `ratings` (doc_id, grade). At most about `max_rows` of them, drawn by a hash of the id, are used: the bound of
     what is broadcast and of what reaches the driver. Null grades and null ids are left out; of several ratings of one document
     the lowest counts. One grade or none: no weights, everything is expected to have that grade."""
+    bound_batches(docs.sparkSession)
     rated = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     n = rated.count()
     part = min(1.0, max_rows / max(n, 1))
