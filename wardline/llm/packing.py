@@ -28,18 +28,18 @@ class Bm25:
     def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
         self.n = len(docs)
         lens = np.array([len(d) for d in docs], np.float64)
-        flat = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
-        key, tf = np.unique(flat * max(self.n, 1) + np.repeat(np.arange(self.n), lens.astype(np.int64)), return_counts=True)
-        term, self.doc = np.divmod(key, max(self.n, 1))
-        self.terms, self.begin = np.unique(term, return_index=True)
-        self.end = np.append(self.begin[1:], len(term))
-        df = self.end - self.begin
+        found = [np.unique(d, return_counts=True) for d in docs]
+        of = np.concatenate([t for t, _ in found]) if docs else np.zeros(0, np.uint16)
+        doc = np.repeat(np.arange(self.n), [len(t) for t, _ in found])
+        order = np.argsort(of, kind="stable")
+        self.doc, tf = doc[order], (np.concatenate([c for _, c in found]) if docs else of)[order]
+        self.terms, self.begin, df = np.unique(of[order], return_index=True, return_counts=True)
+        self.end = self.begin + df
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         norm = k1 * (1 - b + b * lens / max(lens.mean() if self.n else 1.0, 1e-9))
         self.weight = np.repeat(idf, df) * tf * (k1 + 1) / (tf + norm[self.doc])
-        by_doc = np.argsort(self.doc, kind="stable")
-        self._of = np.repeat(np.arange(len(self.terms)), df)[by_doc]
-        self._at = np.searchsorted(self.doc[by_doc], np.arange(self.n + 1))
+        self._of = np.searchsorted(self.terms, of)
+        self._at = np.searchsorted(doc, np.arange(self.n + 1))
 
     def _match(self, terms: np.ndarray) -> np.ndarray:
         """Scores for terms given by their place in the index."""
@@ -69,9 +69,9 @@ def fill(docs: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]
     for seed in np.argsort(-size, kind="stable"):  # the longest rests first: they need the least to be filled
         while size[seed] > 0:
             seq, room = [], window
-            ranked, k = None, -1
+            score = None
             nxt = seed
-            while room and nxt is not None:
+            while True:
                 n = int(min(room, size[nxt]))
                 seq.append((int(nxt), int(start[nxt]), n))
                 start[nxt] += n
@@ -79,10 +79,12 @@ def fill(docs: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]
                 room -= n
                 if not room:
                     break
-                if ranked is None:
-                    ranked = np.argsort(-np.where(size > 0, index.like(seed), -1.0), kind="stable")  # ties: the earlier document
-                k = next((j for j in range(k + 1, len(ranked)) if size[ranked[j]] > 0), None)
-                nxt = None if k is None else ranked[k]
+                if score is None:
+                    score = np.where(size > 0, index.like(seed), -1.0)
+                score[nxt] = -1.0
+                nxt = int(score.argmax())  # ties: the earlier document
+                if score[nxt] < 0:
+                    break
             out.append(seq)
     return out
 
