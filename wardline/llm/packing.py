@@ -40,12 +40,22 @@ class Bm25:
         self.weight = np.repeat(idf, df) * tf * (k1 + 1) / (tf + norm[self.doc])
         self._of = np.searchsorted(self.terms, of)
         self._at = np.searchsorted(doc, np.arange(self.n + 1))
+        # lists of terms that over an eighth of the documents hold, as whole rows: at most eight times the postings
+        often = df * 8 > self.n
+        self._row = np.where(often, np.cumsum(often) - 1, -1)
+        self._rows = np.zeros((int(often.sum()), self.n), np.float32)
+        mine = np.repeat(often, df)
+        self._rows[np.repeat(self._row, df)[mine], self.doc[mine]] = self.weight[mine]
 
     def _match(self, terms: np.ndarray) -> np.ndarray:
         """Scores for terms given by their place in the index."""
+        row = self._row[terms]
+        whole = np.zeros(len(self._rows), np.float32)
+        whole[row[row >= 0]] = 1
+        terms = terms[row < 0]
         size = self.end[terms] - self.begin[terms]
         rows = np.arange(size.sum()) + np.repeat(self.begin[terms] - np.append(0, np.cumsum(size)[:-1]), size)
-        return np.bincount(self.doc[rows], self.weight[rows], self.n)
+        return np.bincount(self.doc[rows], self.weight[rows], self.n) + whole @ self._rows
 
     def like(self, d: int) -> np.ndarray:
         """The score of every document for all terms of document d."""
@@ -89,17 +99,18 @@ def fill(docs: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]
     return out
 
 
-def pack(docs: DataFrame, window: int = 1024, shard_bytes: int = 4 << 20, seed: int = 3, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, window: int = 1024, shard_bytes: int = 4 << 20, shard_docs: int = 2000, seed: int = 3, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Pack all documents; one row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids_crc32 and ids (uint32 LE).
 
     A document is its token ids and the end id. sequence_id is unique over all shards (index shard x 2^32 + number). Sequences hold
     `window` ids but for the last of an index shard, which its writer pads unless its length is a power of two. Ids spread documents over
     index shards, so copies or one source do not gather in one. Null text: the end id alone. Repeated ids and rows are documents of
-    their own. An empty table gives no rows. Other columns are not read.
+    their own. An index shard holds about `shard_bytes` of text and
+    `shard_docs` documents. An empty table gives no rows. Other columns are not read.
     """
     rows = texts(docs).withColumn("tie", F.xxhash64("text"))
-    total = docs.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16)).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_bytes))
+    total = docs.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")), F.count(F.lit(1))).first()
+    shards = max(1, math.ceil((total[0] or 0) / shard_bytes), math.ceil(total[1] / shard_docs))
     key = F.coalesce(F.xxhash64("doc_id", F.lit(seed)), F.col("tie"))
 
     def run(table: pa.Table) -> pa.Table:
