@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardline import schemas as C
@@ -93,8 +93,17 @@ def explain(decisions: DataFrame) -> DataFrame:
 
 
 # ---- streaming ------------------------------------------------------------------
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def state_on_disk(spark: SparkSession) -> None:
+    """Keep stream state in RocksDB beside the executor: identities ever seen may outgrow memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
 def device_stage(stream: DataFrame) -> DataFrame:
-    """Add ``device_sharing`` per event, keyed by device. The state is at most four identities per device."""
+    """Add ``device_sharing`` per event, keyed by device. The state is at most four identities per device. A task holds one device's rows of a micro-batch, which the source's rate limit bounds."""
+    state_on_disk(stream.sparkSession)
     schema = stream.schema
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", device_sharing double"
 
@@ -116,6 +125,7 @@ def device_stage(stream: DataFrame) -> DataFrame:
 
 def trust_stream(rows: DataFrame, params: T.Params = T.Params()) -> DataFrame:
     """Streaming trust decisions over prepared rows (events and outcomes); late events come out as LATE."""
+    state_on_disk(rows.sparkSession)
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         s = T.State.load(state.get[0]) if state.exists else T.State()
