@@ -56,7 +56,7 @@ class Encoder:
     are ordinary text. Empty texts give the end id alone. Up to about twice `max_chunks` recent chunks are remembered.
     """
 
-    def __init__(self, path: str | None = None, end_id: int = END_ID, max_chunks: int = 400_000):
+    def __init__(self, path: str | None = None, end_id: int = END_ID, max_chunks: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -137,14 +137,14 @@ def learn(docs: DataFrame, labels: DataFrame, groups=GROUPS, max_rows: int = 8_0
     names = {n for kind in groups for n in kind}
 
     def describe(batches):
-        for pdf in batches:
+        for pdf in (b.iloc[lo:lo + 100] for b in batches for lo in range(0, len(b), 100)):
             feats, gone, come = [], [], []
             for t in pdf["text"]:
-                feats.append([f for w in distinct_words(t) for f in word_features(w)])
+                feats.append(np.array([f for w in distinct_words(t) for f in word_features(w)], np.int64))
                 pairs = [p for s in _SENTENCE.findall(t) for p in swaps(s, groups)] if names & distinct_words(t) else []
                 gone.append([sorted({f for w in a for f in word_features(w)}) for a, _ in pairs])
                 come.append([sorted({f for w in b for f in word_features(w)}) for _, b in pairs])
-            yield pd.DataFrame({"h": pdf["h"], "toxic": pdf["toxic"], "feats": feats, "gone": gone, "come": come})
+            yield pd.DataFrame({"h": pdf["h"].to_numpy(), "toxic": pdf["toxic"].to_numpy(), "feats": feats, "gone": gone, "come": come})
 
     rows = stored(sample.mapInPandas(describe, "h long, toxic int, feats array<long>, gone array<array<long>>, come array<array<long>>"), "toxicity-sample")
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -164,7 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame, groups=GROUPS, max_rows: int = 8_0
 
     def known(batches):
         for pdf in batches:
-            yield pdf.assign(feats=[[place[f] for f in x if f in place] for x in pdf["feats"]])
+            yield pdf.assign(feats=[[place[f] for f in x.tolist() if f in place] for x in pdf["feats"]])
 
     flat = rows.mapInPandas(known, rows.schema).select("toxic", "feats", "gone", "come").orderBy("h").collect()
     x, delta = np.zeros((len(flat), len(kept)), np.float32), []
