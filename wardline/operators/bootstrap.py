@@ -131,7 +131,7 @@ def paired_bootstrap(pairs: DataFrame, old: str, new: str, reps: int = 1000, see
 
 
 def bootstrap_users(eer: DataFrame, user: str, value: str = "eer", reps: int = 1000, seed: int = 42) -> DataFrame:
-    """Interval of the mean over users; tasks send one partial sum per replicate."""
+    """Interval of the mean over users; tasks send one partial sum per replicate. A replicate that draws no user has no mean."""
     src = eer.select(F.xxhash64(user).alias("cell"), F.col(value).cast("double").alias("v"))
 
     def run(batches):
@@ -140,5 +140,5 @@ def bootstrap_users(eer: DataFrame, user: str, value: str = "eer", reps: int = 1
                 w = poisson(pdf["cell"].to_numpy(), np.ones(len(pdf)), reps, seed, 1)
                 yield pd.DataFrame({"b": np.arange(reps), "s": w.T @ pdf["v"].to_numpy(), "w": w.sum(0)})
 
-    sums = src.mapInPandas(run, "b int, s double, w double").groupBy("b").agg((F.sum("s") / F.sum("w")).alias("value"))
+    sums = src.mapInPandas(run, "b int, s double, w double").groupBy("b").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("value"))
     return _interval(sums.withColumn("metric", F.lit("mean_eer")), ["metric"])
