@@ -39,21 +39,20 @@ def codes(text: str) -> np.ndarray:
     return _LOWER[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
+def _grams(c: np.ndarray, n: int) -> np.ndarray:
+    if n == 1:
+        return c.astype(np.uint64) + np.uint64(7)
+    left = _grams(c, n // 2)
+    right = left if n % 2 == 0 else _grams(c, n - n // 2)
+    power = np.uint64(pow(int(_BASE), n - n // 2, 1 << 64))
+    return left[:len(c) - n + 1] * power + right[n // 2:n // 2 + len(c) - n + 1]
+
+
 def gram_hashes(c: np.ndarray, q: int) -> np.ndarray:
     """A 64-bit hash of each q-gram, put together from those of its halves."""
     if len(c) < q:
         return np.zeros(0, np.uint64)
-    known = {1: c.astype(np.uint64) + np.uint64(7)}
-
-    def grams(n: int) -> np.ndarray:
-        if n not in known:
-            left = grams(n // 2)
-            right = grams(n - n // 2)
-            power = np.uint64(pow(int(_BASE), n - n // 2, 1 << 64))
-            known[n] = left[:len(c) - n + 1] * power + right[n // 2:]
-        return known[n]
-
-    h = grams(q)
+    h = _grams(c, q)
     return h ^ (h >> np.uint64(29))
 
 
