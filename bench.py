@@ -15,8 +15,10 @@ HEADLINE = [
     "frequency_encoding", "temporal_split_quantile", "roc_curve", "threshold_free", "operating_points", "calibration", "cost_amount",
     "per_user_eer", "leaderboard", "disparate_impact", "keystroke_scaled_manhattan", "standard_scale", "pseudonymize",
     "idempotency_status", "assertion_status", "chain_round_trip", "head_checkpoint", "vault_round_trip", "identity_means",
-    "dp_export", "bootstrap_ci", "iforest_scores",
+    "dp_export", "bootstrap_ci", "iforest_scores", "gbt_scores", "serving_risk", "calibrate",
 ]
+#: Timed a second time, when code is generated and compiled.
+WARM = ["replay_features", "trust_decisions", "roc_curve", "operating_points", "calibration", "leaderboard", "keystroke_scaled_manhattan", "standard_scale"]
 
 
 def main() -> None:
@@ -32,17 +34,17 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE
     spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").count().write.format("noop").mode("overwrite").save()
-    seconds, rates = {}, {}
-    for name in names:
+    seconds, warm, rates = {}, {}, {}
+    for name, into in [*((n, seconds) for n in names), *((n, warm) for n in WARM if n in names)]:
         t0 = time.time()
         QUERIES[name].run(spark, sf).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.time() - t0, 3)
+        into[name] = round(time.time() - t0, 3)
     events = spark.read.parquet(f"{sf}/events.parquet").count()
     for name in ("replay_features", "trust_decisions"):
         if name in seconds:
             rates[f"{name}_events_per_sec"] = round(events / seconds[name], 1)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
-                      "sf": os.path.basename(sf.rstrip("/")), "rates": rates}))
+                      "sf": os.path.basename(sf.rstrip("/")), "rates": rates, "warm": warm}))
 
 
 if __name__ == "__main__":
