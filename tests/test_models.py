@@ -117,3 +117,32 @@ def test_seed_sweep_and_verdicts(spark, labelled):
     v = lambda r: [x["verdict"] for x in SV.keep_or_replace(m, r).orderBy("detector").collect()]
     assert v("ci") == ["replace", "keep_incumbent", "keep_incumbent"] and v("margin") == ["replace", "keep_incumbent", "replace"]
     assert v("lower") == ["keep_incumbent"] * 3
+
+
+def test_selection_and_stability_jobs(spark, labelled, tmp_path):
+    from wardline import jobs
+
+    train, rest = SV.hash_split(labelled, "row_id", 0.6)
+    val, test = SV.hash_split(rest, "row_id", 0.5, seed=8)
+    out = jobs.selection_job(train, val, test, COLS, "y", {"maxDepth": [2, 3], "maxIter": [2, 4]}, str(tmp_path / "sel"), trials=2, reps=30, maxIter=1, maxDepth=1)
+    assert out["trials"].count() == 2 and out["intervals"].count() == 5
+    ci = out["intervals"].filter("metric = 'pr_auc'").first()["ci_low"]
+    assert out["verdict"].first()["verdict"] == ("replace" if ci > 0 else "keep_incumbent")
+    st = jobs.stability_job(train, test, COLS + ["leak"], "y", ["leak"], str(tmp_path / "st"), seeds=(1, 2), maxIter=2)
+    assert st["seeds"].count() == 2 and st["leakage"].count() == 3
+
+
+def test_gate_parity_and_cold_start_jobs(spark, tmp_path):
+    from wardline import jobs
+
+    m = spark.createDataFrame([("auc", 0.9), ("ap", 0.2)], "metric string, value double")
+    e = spark.createDataFrame([("auc", 0.91, 0.02), ("ap", 0.5, 0.1), ("ks", 0.1, 1.0)], "metric string, expected double, tolerance double")
+    c = spark.createDataFrame([("slow", 19, 4), ("never", None, 3), ("later", 2, 5), ("lost", 2, None)], "metric string, old int, new int")
+    got = {r["metric"]: r["passed"] for r in jobs.headline_job(m, e, c, str(tmp_path / "h")).collect()}
+    assert got == {"auc": 1, "ap": 0, "ks": 0, "slow": 1, "never": 1, "later": 0, "lost": 0}
+    rows = lambda *d: spark.createDataFrame([(i, f"u{i % 2}", i, x) for i, x in enumerate(d)], "event_id long, identity_id string, s long, decision string").selectExpr(
+        "event_id", "identity_id", "timestamp_seconds(s) as ts", "decision")
+    f = jobs.cold_start_job(rows("STEP_UP", "STEP_UP", "ALLOW"), rows("ALLOW", "STEP_UP", "BLOCK"), str(tmp_path / "c")).first()
+    assert (f["rate_before"], f["rate_after"]) == (1.0, 0.5)
+    s = spark.createDataFrame([("a", 0.1, 0), ("a", 0.9, 1), ("b", 0.8, 1), ("b", 0.7, 0), ("b", 0.2, 1)], "cohort string, score double, y int")
+    assert jobs.parity_job(s, "cohort", "a", "b", 0.5, str(tmp_path / "p")).first()["safe_rate"] == 0.5

@@ -5,6 +5,7 @@ Each stage hands over a parquet table, so a stage can be rerun alone and later s
 
 from __future__ import annotations
 
+import ast
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -209,3 +210,45 @@ def fairness_job(decisions: DataFrame, cohort: str, min_size: int = 200) -> tupl
     chosen = decisions.withColumn("selected", (F.col("decision") != "ALLOW").cast("int"))
     rates = FA.selection_rates(chosen, cohort, min_size=min_size)
     return rates, FA.disparate_impact(rates)
+
+
+def parity_job(scores: DataFrame, cohort: str, safe, hot, threshold: float, out: str) -> DataFrame:
+    """What it costs the challenged cohort's recall to be challenged as rarely as the safe one."""
+    return _stored(FA.parity_cost(scores, cohort, safe, hot, threshold), f"{out}/parity_cost")
+
+
+def cold_start_job(before: DataFrame, after: DataFrame, out: str) -> DataFrame:
+    """Challenge rate of identities' first events (decision tables) without and with the cold-start prior."""
+    def first(d: DataFrame) -> DataFrame:
+        e = J.first_event(d, "identity_id", "ts", "event_id")
+        return e.withColumn("selected", (F.col("decision") != "ALLOW").cast("int"))
+
+    return _stored(FA.friction_change(first(before), first(after)), f"{out}/cold_start")
+
+
+# ---- model selection ------------------------------------------------------------
+def selection_job(train: DataFrame, val: DataFrame, test: DataFrame, cols: list[str], y: str, space: dict[str, list], out: str, trials: int = 20,
+                  seed: int = 42, reps: int = 1000, **incumbent) -> dict[str, DataFrame]:
+    """Search on the validation rows, then the incumbent against the best trial on the test rows: intervals of the difference and a verdict."""
+    table = _stored(SV.search(train, val, cols, y, space, trials, seed), f"{out}/trials")
+    best = dict(ast.literal_eval(table.orderBy("rank", "trial").first()["params"]))
+    both = SV.score(SV.fit(train, cols, y, "gbt", seed, **incumbent), test, cols, "old")
+    both = _stored(SV.score(SV.fit(train, cols, y, "gbt", seed, **best), both, cols, "new").select(F.col(y).alias("y"), "old", "new"), f"{out}/scores")
+    interval = _stored(BS.paired_bootstrap(both, "old", "new", reps, seed), f"{out}/intervals")
+    verdict = SV.keep_or_replace(interval.filter("metric = 'pr_auc'").withColumn("detector", F.lit("gbt")), "ci")
+    return {"trials": table, "intervals": interval, "verdict": _stored(verdict, f"{out}/verdict")}
+
+
+def stability_job(train: DataFrame, test: DataFrame, cols: list[str], y: str, suspects: list[str], out: str, seeds: tuple[int, ...] = (1, 2, 3, 4, 5),
+                  **params) -> dict[str, DataFrame]:
+    """Spread of the metrics over seeds, and the leakage audit."""
+    return {"seeds": _stored(SV.seed_sweep(train, test, cols, y, list(seeds), **params), f"{out}/seeds"),
+            "leakage": _stored(SV.leakage_audit(train, test, cols, y, suspects, **params), f"{out}/leakage")}
+
+
+def headline_job(metrics: DataFrame, expected: DataFrame, catches: DataFrame, out: str) -> DataFrame:
+    """Stored metrics (metric, value) against expected ones (metric, expected, tolerance), and per case (metric, old, new: sessions until caught)
+    whether the new detector catches earlier. One row per check."""
+    gate = M.drift_gate(metrics, expected).select("metric", "passed")
+    earlier = catches.select("metric", M.earlier_catch(F.col("old"), F.col("new")).alias("passed"))
+    return _stored(gate.unionByName(earlier), f"{out}/headline")
