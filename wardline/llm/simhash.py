@@ -87,12 +87,12 @@ def _shared(x: Column) -> Column:
     return sum((F.when(_byte(x, p) == 0, 1).otherwise(0) for p in range(1, 8)), F.when(_byte(x, 0) == 0, 1).otherwise(0))
 
 
-def links(nodes: DataFrame, words: int = 1, bits: int = 3, least: int = 5, size: int = 3, block: int = 512) -> DataFrame:
+def links(nodes: DataFrame, words: int = 1, bits: int = 3, least: int = 5, size: int = 3, block: int = 1024, short: int = 16) -> DataFrame:
     """Edges a, b between nodes (columns node, f: array of `words` fingerprints) that span every group linked at `bits` or fewer
     differing bits in all and at least `least` shared positional bytes.
 
-    Posting lists up to `block` long are joined with themselves; each true pair is an edge. A longer list is cut into blocks, every two
-    blocks meet in a task of their own, and of their links a spanning forest is kept. So no pair is left out of the comparison, no list meets
+    Posting lists up to `short` long are joined with themselves; each true pair is an edge. A longer list is cut into blocks, every two
+    blocks meet in a task of their own, and of their links a spanning forest is kept, rooted at small nodes so that lists agree on edges. So no pair is left out of the comparison, no list meets
     in one task, and a list of n nodes gives O(n * n / block) edges instead of n * n.
     """
     keys = [(w, ps) for w in range(words) for ps in position_keys(min(least, 8), size)]
@@ -100,13 +100,13 @@ def links(nodes: DataFrame, words: int = 1, bits: int = 3, least: int = 5, size:
     posted = nodes.select("node", "f", F.explode(F.transform(entry, lambda e: F.xxhash64(e))).alias("key"))
     count = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     listed = stored(posted.join(count, "key"), "postings")
-    small = listed.where(F.col("n") <= block)
+    small = listed.where(F.col("n") <= short)
     a, b = (small.select("key", F.col("node").alias(c), *[F.col("f")[w].alias(f"{c}{w}") for w in range(words)]) for c in "ab")
     x = [F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}")) for w in range(words)]
     differ = sum((F.bit_count(c) for c in x[1:]), F.bit_count(x[0]))
     agree = sum((_shared(c) for c in x[1:]), _shared(x[0]))
     pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (differ <= bits) & (agree >= least)).select("a", "b")
-    long = listed.where(F.col("n") > block)
+    long = listed.where(F.col("n") > short)
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")
     met = (long.select("key", "node", "f", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
@@ -129,12 +129,14 @@ def spanning(left: np.ndarray, lf: np.ndarray, right: np.ndarray, rf: np.ndarray
     label = np.arange(len(nodes))
     li, ri = np.searchsorted(nodes, left), np.searchsorted(nodes, right)
     out = []
-    for i, f in zip(li.tolist(), lf):
+    first = np.argsort(li, kind="stable")
+    rf, ri = rf[np.argsort(ri, kind="stable")], np.sort(ri)
+    for i, f in zip(li[first].tolist(), lf[first]):
         x = rf ^ f
         near = np.flatnonzero(np.bitwise_count(x).sum(1) <= bits)
         near = near[(x[near].view(np.uint8).reshape(len(near), 8 * x.shape[1]) == 0).sum(1) >= least]
-        groups, first = np.unique(label[ri[near]], return_index=True)
-        for g, j in zip(groups.tolist(), near[first].tolist()):
+        groups, at = np.unique(label[ri[near]], return_index=True)
+        for g, j in zip(groups.tolist(), near[at].tolist()):
             if g != label[i]:
                 label[label == g] = label[i]
                 out.append((nodes[i], nodes[ri[j]]))
