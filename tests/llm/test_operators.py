@@ -389,6 +389,40 @@ def test_simhash_of_awkward_tables(messy, none):
     assert simhash.one_of_each(none).count() == 0
 
 
+def test_stage_keeps_one_of_each_at_exact_overlap(spark):
+    """Pairs just over and just under 0.8, and texts that share only a long run of one token."""
+    rng = random.Random(6)
+    rows = []
+    for g in range(120):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(rng.choice([30, 104, 304]))]
+        n = len(words) - 4
+        change = int(n / 9) if g % 2 else int(n / 9) + 1  # c shingles changed of n: J = (n - c) / (n + c), 0.8 at c = n / 9
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:len(words) - change] + [f"v{rng.randrange(10**9)}" for _ in range(change)]))]
+    rows += [(1000 + i, " ".join([f"u{i}x{j}" for j in range(60)] + ["run"] * 600)) for i in range(3)]
+
+    def overlap(a, b):
+        x, y = (set(simhash.shingle_hashes(t, 5).tolist()) for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    want = [i for i, _ in rows if i >= 1000 or i % 2 == 0 or overlap(rows[i - 1][1], rows[i][1]) < 0.8]
+    assert 60 < len(want) - 123 + 60 < 180  # both kinds are there
+    got = [r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == want
+
+
+@pytest.mark.parametrize(("block", "size"), [(4, 1 << 22), (256, 1 << 22), (256, 4000)])
+def test_exact_overlap_in_blocks(spark, block, size):
+    """A chain of copies, each near the next one only, and a stranger among the candidates."""
+    words = [f"w{i}" for i in range(500)]
+    docs = [(i, " ".join(words[8 * i:8 * i + 104])) for i in range(30)] + [(30, " ".join(words[300:404:2]))]
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for _, t in docs]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    members = frame.select(F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("component"), F.lit(100).alias("n"), F.xxhash64("text").alias("text_hash"))
+    got = [tuple(r) for r in simhash.verified(frame, members, 5, 0.8, block, size).collect()]
+    assert all(len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.8 for a, b in got)
+    assert {tuple(sorted(e)) for e in got} == {(i, i + 1) for i in range(29)}
+
+
 # decontamination
 
 

@@ -71,6 +71,31 @@ def fingerprints(text: Column, k: int = 5, words: int = 1) -> Column:
     return run(text)
 
 
+def describe(text: Column, k: int, words: int, bands: int, rows: int) -> Column:
+    """Of each text's set of k-word shingles, repeats left out: n, their number; node, a 64-bit hash of the set (a name for texts of equal sets);
+    f, `words` fingerprints; more, a key for each of `bands` bands of `rows` smallest hashes. Sets of overlap J share a band with probability
+    1 - (1 - J ** rows) ** bands."""
+    odd = np.random.default_rng(11).integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    @F.pandas_udf("n int, node long, f array<long>, more array<long>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        n, node, f, more = [], [], [], []
+        for group in text_batches(s):
+            sets = [np.unique(shingle_hashes(t, k)) for t in group]
+            n += map(len, sets)
+            node += [xxhash.xxh64_intdigest(h.tobytes()) for h in sets]
+            f += [np.array([fingerprint(remixed(h, i)) for i in range(words)], np.uint64).astype(np.int64) for h in sets]
+            padded = [h if len(h) else np.zeros(1, np.uint64) for h in sets]
+            flat, at = np.concatenate(padded), np.cumsum([0, *map(len, padded[:-1])])
+            keys = np.zeros((len(sets), bands), np.uint64)
+            for i, a in enumerate(odd):
+                keys[:, i // rows] = keys[:, i // rows] * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(flat * a, at)
+            more += list((keys ^ odd[:bands]).view(np.int64))
+        return pd.DataFrame({"n": np.array(n, np.int32), "node": np.array(node, np.uint64).view(np.int64), "f": f, "more": more})
+
+    return run(text)
+
+
 def position_keys(least: int, size: int) -> list[tuple[int, ...]]:
     """Sets of `size` of the eight byte positions of a word such that any `least` positions hold one of them whole."""
     groups = max(g for g in range(1, 9) if -(-least // g) >= size)
@@ -87,17 +112,20 @@ def _shared(x: Column) -> Column:
     return sum((F.when(_byte(x, p) == 0, 1).otherwise(0) for p in range(1, 8)), F.when(_byte(x, 0) == 0, 1).otherwise(0))
 
 
-def links(nodes: DataFrame, words: int = 1, bits: int = 3, least: int = 5, size: int = 3, block: int = 1024, short: int = 16) -> DataFrame:
+def links(nodes: DataFrame, words: int = 1, bits: int = 3, least: int = 5, size: int = 3, block: int = 1024, short: int = 16,
+          indexed: int | None = None) -> DataFrame:
     """Edges a, b between nodes (columns node, f: array of `words` fingerprints) that span every group linked at `bits` or fewer
-    differing bits in all and at least `least` shared positional bytes.
+    differing bits in all and at least `least` shared positional bytes. The bytes of the first `indexed` words (if not given, of all) are
+    keys of the index, and so are those of an array column `more`, if `nodes` has one.
 
     Posting lists up to `short` long are joined with themselves; each true pair is an edge. A longer list is cut into blocks, every two
     blocks meet in a task of their own, and of their links a spanning forest is kept, rooted at small nodes so that lists agree on edges. So no pair is left out of the comparison, no list meets
     in one task, and a list of n nodes gives O(n * n / block) edges instead of n * n.
     """
-    keys = [(w, ps) for w in range(words) for ps in position_keys(min(least, 8), size)]
+    keys = [(w, ps) for w in range(words if indexed is None else indexed) for ps in position_keys(min(max(least, size), 8), size)]
     entry = F.array(*[F.concat_ws(".", F.lit(w), F.lit("-".join(map(str, ps))), *[_byte(F.col("f")[w], p) for p in ps]) for w, ps in keys])
-    posted = nodes.select("node", "f", F.explode(F.transform(entry, lambda e: F.xxhash64(e))).alias("key"))
+    entry = F.transform(entry, lambda e: F.xxhash64(e))
+    posted = nodes.select("node", "f", F.explode(F.concat(entry, "more") if "more" in nodes.columns else entry).alias("key"))
     count = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     listed = stored(posted.join(count, "key"), "postings")
     small = listed.where(F.col("n") <= short)
@@ -168,12 +196,85 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, k: int = 5, words: int = 3, bits: int = 36, least: int = 2, size: int = 2) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each group the document with the smallest id stays, with all its columns.
+def overlapping(left: np.ndarray, ls: list[np.ndarray], right: np.ndarray, rs: list[np.ndarray], least: float) -> np.ndarray:
+    """A spanning forest of the pairs between two blocks of nodes (or within one, if they are the same) whose sets overlap by `least` (Jaccard) or more."""
+    nodes = np.unique(np.concatenate([left, right]))
+    label = np.arange(len(nodes))
+    li, ri = np.searchsorted(nodes, left), np.searchsorted(nodes, right)
+    known, which = np.unique(np.concatenate([*ls, *rs]), return_inverse=True)
+    parts = np.split(which, np.cumsum([len(x) for x in [*ls, *rs]])[:-1])
+    ls, rs = parts[:len(ls)], parts[len(ls):]
+    size = np.array([len(x) for x in rs])
+    mark = np.zeros(len(known), np.int32)
+    out = []
+    for i, own in zip(li.tolist(), ls):
+        todo = np.flatnonzero((label[ri] != label[i]) & (np.minimum(size, len(own)) >= np.maximum(np.maximum(size, len(own)) * least - 1e-6, 1)))
+        if not len(todo):
+            continue
+        mark[own] = 1
+        both = np.add.reduceat(mark[np.concatenate([rs[j] for j in todo])], np.cumsum(size[todo]) - size[todo])
+        mark[own] = 0
+        for j in todo[both / (size[todo] + len(own) - both) >= least].tolist():
+            if label[ri[j]] != label[i]:
+                label[label == label[ri[j]]] = label[i]
+                out.append((nodes[i], nodes[ri[j]]))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def verified(docs: DataFrame, members: DataFrame, k: int, least: float, block: int = 256, block_bytes: int = 4 << 20) -> DataFrame:
+    """Edges a, b that span every group of `members` (node, component, n, text_hash) whose sets of k-word shingles overlap by `least` or more.
+
+    The members' sets are made anew from the texts of `docs`. All members of a component meet, in pairs of blocks that are bounded in members
+    and bytes; a spanning forest leaves each task.
+    """
+
+    @F.pandas_udf("binary")
+    def shingles(s: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, k)).tobytes() for t in s], dtype=object)
+
+    held = docs.select("text", F.xxhash64("text").alias("text_hash")).join(members.select("text_hash"), "text_hash", "left_semi")
+    held = held.select("text_hash", shingles("text").alias("s")).groupBy("text_hash").agg(F.first("s").alias("s"))
+    count = members.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") * 8 / block_bytes)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
+    met = (members.join(count, "component").withColumn("own", own).join(held, "text_hash")
+           .select("component", "node", "s", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+           .select("component", "node", "s", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [pdf[pdf["own"] == pdf[c]] for c in "ij"]
+        if not all(map(len, sides)):
+            return pd.DataFrame(np.zeros((0, 2), np.int64), columns=["a", "b"])
+        (left, ls), (right, rs) = ((x["node"].to_numpy(), [np.frombuffer(b, np.uint64) for b in x["s"]]) for x in sides)
+        return pd.DataFrame(overlapping(left, ls, right, rs, least), columns=["a", "b"])
+
+    return met.groupBy("component", "i", "j").applyInPandas(forest, "a long, b long")
+
+
+def overlap_groups(docs: DataFrame, k: int = 5, least: float = 0.8, words: int = 3, bits: int = 60, indexed: int = 1, bands: int = 24, rows: int = 4) -> DataFrame:
+    """One row per row of `docs`: doc_id, component_id: the smallest doc_id reachable through texts whose sets of k-word shingles overlap
+    by `least` (Jaccard) or more, the document itself included.
+
+    Fingerprints and the index only choose candidates: documents that share a key and differ in at most `bits` of 64 * words bits hang together,
+    and within each group of such candidates all sets are compared exactly. Documents of equal sets are one node. Null and wordless texts have
+    the empty set and link with each other. Null ids are never smallest; a group of null ids only has a null component.
+    """
+    docs = texts(docs)
+    own = stored(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), describe(F.col("text"), k, words, bands, rows).alias("x")).select("doc_id", "text_hash", "x.*"), "sets")
+    groups = stored(own.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("f").alias("f"), F.first("more").alias("more")), "set-nodes")
+    near = stored(components(links(groups.select("node", "f", "more"), words, bits, 0, 2, indexed=indexed)), "candidates")
+    members = stored(near.join(groups.select("node", "n", "text_hash"), "node"), "members")
+    comp = components(verified(docs, members, k, least))
+    joined = groups.select("node", "low").join(comp, "node", "left").select("node", "low", F.coalesce("component", "node").alias("c"))
+    label = joined.groupBy("c").agg(F.min("low").alias("component_id"))
+    return own.select("doc_id", "node").join(joined.select("node", "c").join(label, "c").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each group of texts whose sets of k-word shingles overlap by `least` (Jaccard) or more the
+    document with the smallest id stays, with all its columns.
 
-    192 bits of five-word shingles at 36 differing bits or fewer: texts whose sets of shingles overlap by 0.8 (Jaccard) differ in about 29 of
-    192 bits. Rows of equal id and text count once. Rows with a null id stay only in groups without any id.
+    Rows of equal id and text count once. Rows with a null id stay only in groups without any id.
     """
-    kept = near_duplicates(docs, k, words, bits, least, size).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = overlap_groups(docs, k, least).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
     return left.dropDuplicates(["doc_id", "text"])
