@@ -290,6 +290,16 @@ def test_vector_links_equal_brute_force(spark):
     assert got == brute_links(rows, 0.95)
 
 
+def test_groups_of_close_copies_that_link_stay_together(spark):
+    """Each node's 12 best lie in its own group of 40; the links between the groups are in no list."""
+    rng = np.random.default_rng(9)
+    one, two = np.linalg.qr(rng.standard_normal((16, 2)))[0].T
+    rows = [(40 * g + j, (c + 0.01 * rng.standard_normal(16)).tolist()) for g, c in enumerate((one, 0.968 * one + 0.25 * two)) for j in range(40)]
+    rows += [(100 + j, rng.standard_normal(16).tolist()) for j in range(60)]
+    got = {r["vec_id"]: tuple(r)[1:] for r in neardup_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute_links(rows, 0.95) and got[79][:2] == (79, 0)
+
+
 def test_vector_groups_in_blocks(spark):
     rng = np.random.default_rng(5)
     m = np.concatenate([rng.standard_normal(8) + 0.2 * rng.standard_normal((30, 8)) for _ in range(3)])

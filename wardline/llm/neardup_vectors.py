@@ -127,6 +127,30 @@ def descend(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return nearest(lists.union(found), k)
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """Of the edges (a, b) those that join what the earlier edges of the same task have not joined."""
+
+    def run(batches):
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        for batch in batches:
+            out = [[], []]
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                x, y = root(a), root(b)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    out[0].append(a)
+                    out[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def compare_groups(nodes: DataFrame, groups: DataFrame, least: float, block: int = 128) -> DataFrame:
     """node, linked: the rows in nodes linked with each node of `groups` (node, component), itself left out. All nodes of a component meet,
     in pairs of blocks; only counts leave a task."""
@@ -195,9 +219,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, k: int = 12, tables
     nodes = stored(grouped.select(F.monotonically_increasing_id().alias("node"), "u", "low", "w"), "vector-nodes")
     count = nodes.count()
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(count * tables / 50_000))
-    lists = None
+    lists = found = None
     for attempt in range(tries):
-        begin = first_lists(nodes, count, range(attempt * tables, (attempt + 1) * tables), 8, seed, parts)
+        begin = stored(first_lists(nodes, count, range(attempt * tables, (attempt + 1) * tables), 8, seed, parts), "begin")
+        near = forest(begin.where(F.col("sim") >= least))  # also links that full lists have no room for
+        found = stored(near if found is None else found.union(near), "found")
         lists = stored(nearest(both_ways(begin) if lists is None else both_ways(begin).union(lists), k), "lists")
         links = lists.where(F.col("sim") >= least).count()
         for _ in range(rounds):
@@ -205,7 +231,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, k: int = 12, tables
             links, last = lists.where(F.col("sim") >= least).count(), links
             if links <= last * 1.001:
                 break
-        groups = stored(components(lists.where(F.col("sim") >= least).select("a", "b")), "vector-groups")
+        groups = stored(components(found.union(lists.where(F.col("sim") >= least).select("a", "b"))), "vector-groups")
         linked = stored(compare_groups(nodes, groups, least), "linked")
         if audit(nodes, linked, least, queries, seed + attempt) >= target:
             break
