@@ -290,6 +290,22 @@ def test_vector_links_equal_brute_force(spark):
     assert got == brute_links(rows, 0.95)
 
 
+def test_audit_is_not_decided_by_one_large_group(spark):
+    """A group of 60 found whole beside 20 lost pairs, and a target that cannot be met."""
+    m = np.zeros((100, 21))
+    m[:60, 0] = 1
+    m[:60, 1:] = 0.001 * np.random.default_rng(2).standard_normal((60, 20))
+    for i in range(40):
+        m[60 + i, 1 + i // 2] = 1
+        m[60 + i, 0] = 0.01 * (i % 2)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, bytearray(v.tobytes()), i, 1000 if i < 60 else 1) for i, v in enumerate(m)], "node long, u binary, low long, w long")
+    linked = neardup_vectors.compare_groups(nodes, spark.createDataFrame([(i, 0) for i in range(60)], "node long, component long"), 0.95)
+    assert neardup_vectors.audit(nodes, linked, 0.95, 1000, 1) == 0
+    with pytest.raises(RuntimeError, match="recall"):
+        neardup_vectors.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>"), target=1.1, tries=1)
+
+
 def test_groups_of_close_copies_that_link_stay_together(spark):
     """Each node's 12 best lie in its own group of 40; the links between the groups are in no list."""
     rng = np.random.default_rng(9)

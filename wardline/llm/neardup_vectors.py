@@ -152,7 +152,7 @@ def forest(edges: DataFrame) -> DataFrame:
 
 
 def compare_groups(nodes: DataFrame, groups: DataFrame, least: float, block: int = 128) -> DataFrame:
-    """node, linked: the rows in nodes linked with each node of `groups` (node, component), itself left out. All nodes of a component meet,
+    """node, linked, others: the rows in nodes linked with each node of `groups` (node, component), and those nodes, itself left out. All nodes of a component meet,
     in pairs of blocks; only counts leave a task."""
     size = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int")
@@ -168,18 +168,20 @@ def compare_groups(nodes: DataFrame, groups: DataFrame, least: float, block: int
         near = m[one] @ m[two].T >= least
         if i[0] == j[0]:
             np.fill_diagonal(near, False)
-            return pa.table({"node": node[one], "linked": near @ w[two]})
-        return pa.table({"node": np.concatenate([node[one], node[two]]), "linked": np.concatenate([near @ w[two], w[one] @ near])})
+            return pa.table({"node": node[one], "linked": near @ w[two], "others": near.sum(1)})
+        return pa.table({"node": np.concatenate([node[one], node[two]]), "linked": np.concatenate([near @ w[two], w[one] @ near]),
+                         "others": np.concatenate([near.sum(1), near.sum(0)])})
 
-    return spread.groupBy("component", "i", "j").applyInArrow(count, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+    return spread.groupBy("component", "i", "j").applyInArrow(count, "node long, linked long, others long").groupBy("node").agg(F.sum("linked").alias("linked"), F.sum("others").alias("others"))
 
 
-def audit(nodes: DataFrame, linked: DataFrame, least: float, queries: int, seed: int) -> float:
-    """Links found over links that exist, for about `queries` nodes drawn by hash, each compared with every node."""
+def audit(nodes: DataFrame, linked: DataFrame, least: float, queries: int, seed: int, small: int = 8) -> float:
+    """The share of its own links that a node with links has found, on average, for about `queries` nodes drawn by hash, each compared with every
+    node; the average over nodes with at most `small` links alone, if that is lower. Copies count once, and a large group no more than its nodes."""
     total = nodes.count()
     part = min(1.0, queries / max(total, 1))
     picked = nodes.where(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1_000_000)) < int(part * 1_000_000))
-    rows = picked.join(linked, "node", "left").select("node", "u", F.coalesce("linked", F.lit(0)).alias("linked")).limit(2 * queries).collect()
+    rows = picked.join(linked, "node", "left").select("node", "u", F.coalesce("others", F.lit(0)).alias("others")).limit(2 * queries).collect()
     if not rows:
         return 1.0
     by_dim: dict[int, list] = {}
@@ -189,18 +191,19 @@ def audit(nodes: DataFrame, linked: DataFrame, least: float, queries: int, seed:
                                                       for d, rs in by_dim.items()})
 
     def truth(batches):
-        n = 0
+        n = {d: np.zeros(len(ids), np.int64) for d, (ids, _) in sent.value.items()}
         for b in batches:
             size = np.array([len(x) for x in b.column("u").to_pylist()])
             for d, (ids, m) in sent.value.items():
                 part = b.filter(pa.array(size == d))
                 if len(part):
-                    hit = (m @ _matrix(part.column("u")).T >= least) & (ids[:, None] != part.column("node").to_numpy()[None, :])
-                    n += int((hit * part.column("w").to_numpy()).sum())
-        yield pa.RecordBatch.from_pydict({"n": [n]})
+                    n[d] += ((m @ _matrix(part.column("u")).T >= least) & (ids[:, None] != part.column("node").to_numpy()[None, :])).sum(1)
+        for d, (ids, _) in sent.value.items():
+            yield pa.RecordBatch.from_pydict({"node": ids[n[d] > 0], "n": n[d][n[d] > 0]})
 
-    there = nodes.mapInArrow(truth, "n long").agg(F.sum("n")).first()[0] or 0
-    return sum(r["linked"] for r in rows) / there if there else 1.0
+    there = {r["node"]: r["n"] for r in nodes.mapInArrow(truth, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()}
+    share = [(there[r["node"]], min(1.0, r["others"] / there[r["node"]])) for r in rows if r["node"] in there]
+    return min((float(np.mean(x)) for x in ([s for _, s in share], [s for n, s in share if n <= small]) if x), default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95, k: int = 12, tables: int = 12, rounds: int = 3, target: float = 0.97, tries: int = 3,
@@ -209,7 +212,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, k: int = 12, tables
     reachable by links) and kept (vec_id = component_id).
 
     Every link is checked in double precision, so none is under `least`; links of a group whose nodes were not found to hang together can be
-    missing, which the audit measures: while recall is under `target`, tables and rounds are added, up to `tries` times. Vectors of
+    missing, which the audit measures: while recall a node is under `target`, tables and rounds are added, up to `tries` times; then it is an error. Vectors of
     different length do not link. Null, empty and zero vectors and those with null or non-finite components link with nothing. Repeated
     vectors and ids are rows of their own. Null ids are never smallest; a null id alone has a null component and is kept.
     """
@@ -233,8 +236,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, k: int = 12, tables
                 break
         groups = stored(components(found.union(lists.where(F.col("sim") >= least).select("a", "b"))), "vector-groups")
         linked = stored(compare_groups(nodes, groups, least), "linked")
-        if audit(nodes, linked, least, queries, seed + attempt) >= target:
+        recall = audit(nodes, linked, least, queries, seed + attempt)
+        if recall >= target:
             break
+    else:
+        raise RuntimeError(f"recall {recall:.4f} a node is under {target} with {tries * tables} tables")
     comp = nodes.join(groups, "node", "left").join(linked, "node", "left").select(
         "u", "low", (F.coalesce("linked", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "node").alias("c"))
     label = comp.groupBy("c").agg(F.min("low").alias("component_id"))
