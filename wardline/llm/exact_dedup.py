@@ -41,14 +41,17 @@ def located(docs: DataFrame) -> DataFrame:
 
 @contextlib.contextmanager
 def _state_on_disk(spark: SparkSession) -> Iterator[None]:
-    """A query that starts inside keeps its state in RocksDB; the session's own setting comes back after."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKSDB)
+    """A query that starts inside keeps its state in RocksDB, without space set aside for its logs (that is megabytes for each of its partitions);
+    the session's own settings come back after."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def arrive(spark: SparkSession, source: str, home: str, files_per_batch: int = 1000, digest=text_digest) -> None:
