@@ -118,14 +118,15 @@ def links(nodes: DataFrame, words: int = 1, bits: int = 3, least: int = 5, size:
     differing bits in all and at least `least` shared positional bytes. The bytes of the first `indexed` words (if not given, of all) are
     keys of the index, and so are those of an array column `more`, if `nodes` has one.
 
-    Posting lists up to `short` long are joined with themselves; each true pair is an edge. A longer list is cut into blocks, every two
-    blocks meet in a task of their own, and of their links a spanning forest is kept, rooted at small nodes so that lists agree on edges. So no pair is left out of the comparison, no list meets
-    in one task, and a list of n nodes gives O(n * n / block) edges instead of n * n.
+    Posting lists up to `short` long are joined with themselves; each true pair is an edge. A longer list is cut into blocks, and every two
+    blocks meet in a task of their own. A block alone gives an edge from each node to the smallest one of its group; two blocks give edges between
+    the smallest nodes of groups that hang together across them. So no pair is left out of the comparison, no list meets in one task, a list
+    of n nodes gives about n edges instead of n * n, and lists of the same nodes give the same edges.
     """
     keys = [(w, ps) for w in range(words if indexed is None else indexed) for ps in position_keys(min(max(least, size), 8), size)]
     entry = F.array(*[F.concat_ws(".", F.lit(w), F.lit("-".join(map(str, ps))), *[_byte(F.col("f")[w], p) for p in ps]) for w, ps in keys])
-    entry = F.transform(entry, lambda e: F.xxhash64(e))
-    posted = nodes.select("node", "f", F.explode(F.concat(entry, "more") if "more" in nodes.columns else entry).alias("key"))
+    lists = ([F.transform(entry, lambda e: F.xxhash64(e))] if keys else []) + (["more"] if "more" in nodes.columns else [])
+    posted = nodes.select("node", "f", F.explode(F.concat(*lists)).alias("key"))
     count = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     listed = stored(posted.join(count, "key"), "postings")
     small = listed.where(F.col("n") <= short)
@@ -141,8 +142,8 @@ def links(nodes: DataFrame, words: int = 1, bits: int = 3, least: int = 5, size:
            .select("key", "node", "f", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["own"] == pdf["i"]], pdf[pdf["own"] == pdf["j"]]
-        return pd.DataFrame(spanning(left["node"].to_numpy(), _matrix(left["f"], words), right["node"].to_numpy(), _matrix(right["f"], words), bits, least), columns=["a", "b"])
+        sides = [pdf[pdf["own"] == pdf[c]] for c in ("ij" if pdf["i"].iat[0] != pdf["j"].iat[0] else "i")]
+        return pd.DataFrame(spanning(*[(x["node"].to_numpy(), _matrix(x["f"], words)) for x in sides], bits=bits, least=least), columns=["a", "b"])
 
     return pairs.union(met.groupBy("key", "i", "j").applyInPandas(forest, "a long, b long"))
 
@@ -151,24 +152,65 @@ def _matrix(f: pd.Series, words: int) -> np.ndarray:
     return np.array(f.tolist(), np.int64).reshape(len(f), words).view(np.uint64)
 
 
-def spanning(left: np.ndarray, lf: np.ndarray, right: np.ndarray, rf: np.ndarray, bits: int, least: int) -> np.ndarray:
-    """A spanning forest of the links between two blocks of nodes (or within one, if they are the same)."""
-    nodes = np.unique(np.concatenate([left, right]))
-    label = np.arange(len(nodes))
-    li, ri = np.searchsorted(nodes, left), np.searchsorted(nodes, right)
-    out = []
-    first = np.argsort(li, kind="stable")
-    rf, ri = rf[np.argsort(ri, kind="stable")], np.sort(ri)
-    for i, f in zip(li[first].tolist(), lf[first]):
-        x = rf ^ f
-        near = np.flatnonzero(np.bitwise_count(x).sum(1) <= bits)
-        near = near[(x[near].view(np.uint8).reshape(len(near), 8 * x.shape[1]) == 0).sum(1) >= least]
-        groups, at = np.unique(label[ri[near]], return_index=True)
-        for g, j in zip(groups.tolist(), near[at].tolist()):
-            if g != label[i]:
-                label[label == g] = label[i]
-                out.append((nodes[i], nodes[ri[j]]))
-    return np.array(out, np.int64).reshape(-1, 2)
+class Groups:
+    """Groups of nodes (each named by the place of its smallest one) that merge."""
+
+    def __init__(self, *blocks: np.ndarray):
+        self.nodes = np.unique(np.concatenate(blocks))
+        self.label = np.arange(len(self.nodes))
+
+    def at(self, nodes: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.nodes, nodes)
+
+    def merge(self, i: int, others: np.ndarray) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+        """Put node i and the nodes `others` (by place) into one group. For each two groups that met: their smallest nodes, and the linked nodes."""
+        own, met = self.label[i], []
+        groups, first = np.unique(self.label[others], return_index=True)
+        for g, j in zip(groups.tolist(), others[first].tolist()):
+            if g != own:
+                low, high = min(g, own), max(g, own)
+                self.label[self.label == high] = low
+                met.append(((self.nodes[high], self.nodes[low]), (self.nodes[i], self.nodes[j])))
+                own = low
+        return met
+
+    def stars(self) -> list[tuple[int, int]]:
+        """An edge from each node to the smallest of its group."""
+        return [(self.nodes[i], self.nodes[g]) for i, g in enumerate(self.label.tolist()) if i != g]
+
+
+def _edges(pairs: list[tuple[int, int]]) -> np.ndarray:
+    return np.array(pairs, np.int64).reshape(-1, 2)
+
+
+def spanning(*blocks: tuple[np.ndarray, np.ndarray], bits: int, least: int) -> np.ndarray:
+    """Edges for one block of nodes and fingerprints (a star per group) or across two (between the smallest nodes of groups that hang together):
+    links of `bits` or fewer differing bits and `least` or more shared bytes."""
+    groups = Groups(*[nodes for nodes, _ in blocks])
+
+    def meet(groups: Groups, one: int, other: int) -> list:
+        at, f = groups.at(blocks[other][0]), blocks[other][1]
+        out = []
+        for i, own in zip(groups.at(blocks[one][0]).tolist(), blocks[one][1]):
+            x = f ^ own
+            near = np.flatnonzero(np.bitwise_count(x).sum(1) <= bits)
+            near = near[(x[near].view(np.uint8).reshape(len(near), 8 * x.shape[1]) == 0).sum(1) >= least]
+            out += groups.merge(i, at[near])
+        return out
+
+    if len(blocks) == 1:
+        meet(groups, 0, 0)
+        return _edges(groups.stars())
+    meet(groups, 0, 0), meet(groups, 1, 1)  # what hangs together within a block is for the block's own task to report
+    return _edges([roots for roots, _ in meet(groups, 0, 1)])
+
+
+def lowest(groups: DataFrame, comp: DataFrame) -> DataFrame:
+    """node, component_id: the smallest `low` of a node's component. The smallest ids are written first, so that their join with a component
+    that very many nodes share can be split."""
+    joined = groups.select("node", "low").join(comp, "node", "left").select("node", "low", F.coalesce("component", "node").alias("c"))
+    least = stored(joined.groupBy("c").agg(F.min("low").alias("component_id")), "lowest")
+    return joined.select("node", "c").join(least, "c").select("node", "component_id")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, words: int = 1, bits: int = 3, least: int | None = None, size: int | None = None) -> DataFrame:
@@ -187,45 +229,44 @@ def near_duplicates(docs: DataFrame, k: int = 5, words: int = 1, bits: int = 3,
     own = stored(texts(docs).select("doc_id", fingerprints(F.col("text"), k, words).alias("f")).withColumn("node", node), "fingerprints")
     groups = own.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("f").alias("f"))
     comp = components(links(groups.select("node", "f"), words, bits, least, size))
-    joined = groups.select("node", "low").join(comp, "node", "left").select("node", "low", F.coalesce("component", "node").alias("c"))
-    label = joined.groupBy("c").agg(F.min("low").alias("component_id"))
-    return own.join(joined.select("node", "c").join(label, "c").select("node", "component_id"), "node").select("doc_id", "f", "component_id")
+    return own.join(lowest(groups, comp), "node").select("doc_id", "f", "component_id")
 
 
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def overlapping(left: np.ndarray, ls: list[np.ndarray], right: np.ndarray, rs: list[np.ndarray], least: float) -> np.ndarray:
-    """A spanning forest of the pairs between two blocks of nodes (or within one, if they are the same) whose sets overlap by `least` (Jaccard) or more."""
-    nodes = np.unique(np.concatenate([left, right]))
-    label = np.arange(len(nodes))
-    li, ri = np.searchsorted(nodes, left), np.searchsorted(nodes, right)
-    known, which = np.unique(np.concatenate([*ls, *rs]), return_inverse=True)
-    parts = np.split(which, np.cumsum([len(x) for x in [*ls, *rs]])[:-1])
-    ls, rs = parts[:len(ls)], parts[len(ls):]
-    size = np.array([len(x) for x in rs])
+def overlapping(*blocks: tuple[np.ndarray, list[np.ndarray]], least: float) -> np.ndarray:
+    """Pairs that span the groups of one block of nodes and their sets, or join the groups of two: sets that overlap by `least` (Jaccard) or more."""
+    groups = Groups(*[nodes for nodes, _ in blocks])
+    known, which = np.unique(np.concatenate([x for _, sets in blocks for x in sets]), return_inverse=True)
+    parts = iter(np.split(which, np.cumsum([len(x) for _, sets in blocks for x in sets])[:-1]))
+    mine = [[next(parts) for _ in sets] for _, sets in blocks]
     mark = np.zeros(len(known), np.int32)
-    out = []
-    for i, own in zip(li.tolist(), ls):
-        todo = np.flatnonzero((label[ri] != label[i]) & (np.minimum(size, len(own)) >= np.maximum(np.maximum(size, len(own)) * least - 1e-6, 1)))
-        if not len(todo):
-            continue
-        mark[own] = 1
-        both = np.add.reduceat(mark[np.concatenate([rs[j] for j in todo])], np.cumsum(size[todo]) - size[todo])
-        mark[own] = 0
-        for j in todo[both / (size[todo] + len(own) - both) >= least].tolist():
-            if label[ri[j]] != label[i]:
-                label[label == label[ri[j]]] = label[i]
-                out.append((nodes[i], nodes[ri[j]]))
-    return np.array(out, np.int64).reshape(-1, 2)
+
+    def meet(groups: Groups, one: int, other: int) -> list:
+        at, sets = groups.at(blocks[other][0]), mine[other]
+        size = np.array([len(x) for x in sets])
+        out = []
+        for i, own in zip(groups.at(blocks[one][0]).tolist(), mine[one]):
+            small, large = np.minimum(size, len(own)), np.maximum(size, len(own))
+            todo = np.flatnonzero((groups.label[at] != groups.label[i]) & (small >= np.maximum(large * least - 1e-6, 1)))
+            if len(todo):
+                mark[own] = 1
+                both = np.add.reduceat(mark[np.concatenate([sets[j] for j in todo])], np.cumsum(size[todo]) - size[todo])
+                mark[own] = 0
+                out += groups.merge(i, at[todo[both / (size[todo] + len(own) - both) >= least]])
+        return out
+
+    within = [meet(groups, i, i) for i in range(len(blocks))]
+    return _edges([pair for _, pair in (within[0] if len(blocks) == 1 else meet(groups, 0, 1))])
 
 
 def verified(docs: DataFrame, members: DataFrame, k: int, least: float, block: int = 256, block_bytes: int = 4 << 20) -> DataFrame:
     """Edges a, b that span every group of `members` (node, component, n, text_hash) whose sets of k-word shingles overlap by `least` or more.
 
     The members' sets are made anew from the texts of `docs`. All members of a component meet, in pairs of blocks that are bounded in members
-    and bytes; a spanning forest leaves each task.
+    and bytes; a block gives a spanning forest, two blocks one pair for each two of their groups that hang together.
     """
 
     @F.pandas_udf("binary")
@@ -241,32 +282,30 @@ def verified(docs: DataFrame, members: DataFrame, k: int, least: float, block: i
            .select("component", "node", "s", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [pdf[pdf["own"] == pdf[c]] for c in "ij"]
+        sides = [pdf[pdf["own"] == pdf[c]] for c in ("ij" if pdf["i"].iat[0] != pdf["j"].iat[0] else "i")]
         if not all(map(len, sides)):
-            return pd.DataFrame(np.zeros((0, 2), np.int64), columns=["a", "b"])
-        (left, ls), (right, rs) = ((x["node"].to_numpy(), [np.frombuffer(b, np.uint64) for b in x["s"]]) for x in sides)
-        return pd.DataFrame(overlapping(left, ls, right, rs, least), columns=["a", "b"])
+            return pd.DataFrame(_edges([]), columns=["a", "b"])
+        return pd.DataFrame(overlapping(*[(x["node"].to_numpy(), [np.frombuffer(b, np.uint64) for b in x["s"]]) for x in sides], least=least), columns=["a", "b"])
 
     return met.groupBy("component", "i", "j").applyInPandas(forest, "a long, b long")
 
 
-def overlap_groups(docs: DataFrame, k: int = 5, least: float = 0.8, words: int = 3, bits: int = 60, indexed: int = 1, bands: int = 24, rows: int = 4) -> DataFrame:
+def overlap_groups(docs: DataFrame, k: int = 5, least: float = 0.8, words: int = 3, bits: int = 60, bands: int = 24, rows: int = 4) -> DataFrame:
     """One row per row of `docs`: doc_id, component_id: the smallest doc_id reachable through texts whose sets of k-word shingles overlap
     by `least` (Jaccard) or more, the document itself included.
 
-    Fingerprints and the index only choose candidates: documents that share a key and differ in at most `bits` of 64 * words bits hang together,
-    and within each group of such candidates all sets are compared exactly. Documents of equal sets are one node. Null and wordless texts have
+    Fingerprints and the index only choose candidates: documents that share a band of smallest hashes and differ in at most `bits` of 64 * words bits
+    hang together, and within each group of such candidates all sets are compared exactly. (Two texts at 0.8 agree in two of eight fingerprint
+    bytes only; lists by so few bytes would grow with the square of the corpus, so bytes are no keys here.) Documents of equal sets are one node. Null and wordless texts have
     the empty set and link with each other. Null ids are never smallest; a group of null ids only has a null component.
     """
     docs = texts(docs)
     own = stored(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), describe(F.col("text"), k, words, bands, rows).alias("x")).select("doc_id", "text_hash", "x.*"), "sets")
     groups = stored(own.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("f").alias("f"), F.first("more").alias("more")), "set-nodes")
-    near = stored(components(links(groups.select("node", "f", "more"), words, bits, 0, 2, indexed=indexed)), "candidates")
+    near = stored(components(links(groups.select("node", "f", "more"), words, bits, 0, indexed=0)), "candidates")
     members = stored(near.join(groups.select("node", "n", "text_hash"), "node"), "members")
     comp = components(verified(docs, members, k, least))
-    joined = groups.select("node", "low").join(comp, "node", "left").select("node", "low", F.coalesce("component", "node").alias("c"))
-    label = joined.groupBy("c").agg(F.min("low").alias("component_id"))
-    return own.select("doc_id", "node").join(joined.select("node", "c").join(label, "c").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return own.select("doc_id", "node").join(lowest(groups, comp), "node").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
