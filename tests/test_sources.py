@@ -165,3 +165,32 @@ def test_label_split_without_positives(spark):
     df = spark.createDataFrame([(1, 0), (2, 0)], "s long, y int").selectExpr("timestamp_seconds(s) as ts", "y")
     before, after, _ = S.split_label_quantile(df, "ts", "y")
     assert before.count() == 2 and after.count() == 0
+
+
+def test_small_batches_do_not_read_the_store(spark, folder):
+    """Ids are looked up through the files' key filters: rows read from the store stay far below its size, and resent ids are still found."""
+    path = f"{folder}/store"
+    ids = spark.range(200_000).select(F.xxhash64("id").alias("event_id"), F.current_timestamp().alias("ts"), F.lit("ALLOW").alias("decision"))
+    for i in range(4):
+        TB.append_new_decisions(ids.filter(F.pmod(F.hash("event_id"), F.lit(4)) == i), path)
+    fresh = [r[0] for r in spark.range(10**9, 10**9 + 300).select(F.xxhash64("id")).collect()]
+
+    def rows_read(wanted):
+        df = TB.stored_ids(spark, path, "bigint", wanted)
+        found = len(df.collect())
+        plan = df._jdf.queryExecution().executedPlan()
+        plan = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+
+        def scan(p):
+            return p.metrics().apply("numOutputRows").value() if p.nodeName().startswith("Scan") else sum(scan(p.children().apply(i)) for i in range(p.children().size()))
+
+        return found, scan(plan)
+
+    assert rows_read(fresh) == (0, 0)
+    known = [r[0] for r in ids.limit(2).collect()]
+    found, read = rows_read(fresh[:20] + known)
+    assert found == 2 and 0 < read < 200_000
+    again = spark.createDataFrame([(i, None, "BLOCK") for i in known + fresh[:5]], "event_id long, ts timestamp, decision string")
+    TB.append_new_decisions(again, path)
+    back = spark.read.parquet(path)
+    assert back.count() == 200_005 and back.filter("decision = 'BLOCK'").count() == 5

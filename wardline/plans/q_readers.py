@@ -26,19 +26,25 @@ def _csv(df, name: str) -> str:
 
 @query(
     "decision_sink", "A10",
-    """with d as (select event_id % 3000 as event_id, case when event_id % 7 <> 0 then ts end as ts, event_type as decision, event_id % 2 as batch from events),
-    a as (select * from d where batch = 0 qualify row_number() over (partition by event_id order by ts nulls first, decision) = 1),
-    b as (select * from d where batch = 1 and event_id not in (select event_id from a) qualify row_number() over (partition by event_id order by ts nulls first, decision) = 1)
-    select event_id, ts, decision from a union all select event_id, ts, decision from b""",
+    """with d as (select event_id, case when event_id % 7 <> 0 then ts end as ts, event_type as decision, event_id % 2 as batch from events
+        union all select event_id, ts + interval 3 day, 'RESENT', 1 from events where event_id % 5 = 0
+        union all select -event_id, ts, 'NEW', 2 from events where event_id % 499 = 0
+        union all select event_id, null, 'AGAIN', 2 from events where event_id % 499 = 0),
+    f as (select *, min(batch) over (partition by event_id) as lot from d)
+    select event_id, ts, decision from f where batch = lot qualify row_number() over (partition by event_id order by ts nulls first, decision) = 1""",
 )
 def decision_sink(spark, sf):
-    """Two overlapping batches and a replay of the second, with resends on other days and without a time."""
-    e = V.table(spark, sf, "events")
-    d = e.select((F.col("event_id") % 3000).alias("event_id"), F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("ts"), F.col("event_type").alias("decision"),
-                 (F.col("event_id") % 2).alias("batch"))
+    """Two overlapping batches of all events with resends on other days and without a time, a replay of the second, and a small third batch of new and
+    stored ids, which looks its ids up through the key filters."""
+    e = V.table(spark, sf, "events").select("event_id", "ts", "event_type")
+    resent = e.filter(F.col("event_id") % 5 == 0).select("event_id", F.col("ts") + F.expr("interval 3 day"), F.lit("RESENT"))
+    first = e.select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("ts"), F.col("event_type").alias("decision"))
+    few = e.filter(F.col("event_id") % 499 == 0)
+    second = first.filter(F.col("event_id") % 2 == 1).union(resent)
+    third = few.select((-F.col("event_id")).alias("event_id"), "ts", F.lit("NEW").alias("decision")).union(few.select("event_id", F.lit(None).cast(e.schema["ts"].dataType), F.lit("AGAIN")))
     path = _folder(spark, "decisions")
-    for b in (0, 1, 1):
-        TB.append_new_decisions(d.filter(F.col("batch") == b).drop("batch"), path, buckets=16)
+    for batch in (first.filter(F.col("event_id") % 2 == 0), second, second, third):
+        TB.append_new_decisions(batch, path)
     return spark.read.parquet(path).select("event_id", "ts", "decision")
 
 
@@ -105,23 +111,18 @@ def saved_table(spark, sf):
 
 @query(
     "file_manifest", "A14",
-    """select 'part' || (c_custkey % 3) as file, case c_custkey % 3 when 1 then 'mismatch' else 'ok' end as status, count(*) as customers from customer group by 1, 2
-    union all select 'absent', 'missing', 0""",
+    """select cast(c_custkey // 50 as bigint) as lot, count(*) as customers,
+        case when (c_custkey // 50) % 7 = 1 then 'mismatch' when (c_custkey // 50) % 7 = 2 then 'missing' else 'ok' end as status from customer group by 1, 3""",
 )
 def file_manifest(spark, sf):
-    """Three files whose text follows from the customers, one listed with a wrong digest and one not there."""
+    """A file for every 50 customers with their names, some listed with a wrong digest and some not there."""
     folder = _folder(spark, "files")
-    parts = (V.table(spark, sf, "customer").groupBy((F.col("c_custkey") % 3).alias("p")).agg(F.count(F.lit(1)).alias("customers"))
-             .withColumn("text", F.concat(F.lit("customers "), F.col("customers"))))
-    for p in range(3):
-        parts.filter(F.col("p") == p).select("text").coalesce(1).write.text(f"{folder}/p={p}")
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.regexp_extract("path", r"p=(\d+)", 1).cast("long").alias("p"))
-    listed = names.join(parts, "p").select("file", "p", "customers", F.when(F.col("p") == 1, F.lit("0" * 64)).otherwise(
-        F.sha2(F.concat("text", F.lit("\n")), 256)).alias("sha256"))
-    gone = spark.createDataFrame([("absent", None, 0, "0" * 64)], "file string, p long, customers long, sha256 string")
-    out = R.verify_manifest(spark, f"{folder}/*", listed.unionByName(gone))
-    return out.select(F.coalesce(F.concat(F.lit("part"), "p"), "file").alias("file"), "status", "customers")
+    lots = (V.table(spark, sf, "customer").groupBy(F.floor(F.col("c_custkey") / 50).alias("lot"))
+            .agg(F.count(F.lit(1)).alias("customers"), F.concat_ws(" ", F.sort_array(F.collect_list("c_name"))).alias("text")))
+    lots.filter("lot % 7 <> 2").select("text", "lot").write.partitionBy("lot").text(folder)
+    listed = lots.select(F.col("lot").cast("string").alias("file"), "lot", "customers",
+                         F.when(F.col("lot") % 7 == 1, F.lit("0" * 64)).otherwise(F.sha2(F.concat("text", F.lit("\n")), 256)).alias("sha256"))
+    return R.verify_manifest(spark, f"{folder}/*", listed, name=r"lot=([^/]+)/").select("lot", "customers", "status")
 
 
 @query("stratified_all", "A8", "select l_orderkey, l_linenumber, l_returnflag from lineitem where l_returnflag = 'R'")

@@ -71,10 +71,10 @@ def read_windows(spark: SparkSession, path: str, release: str) -> DataFrame:
     return raw.select("user", F.col("scenario").cast("int").alias("scenario"), day("start").alias("start_day"), day("end").alias("end_day"))
 
 
-def verify_manifest(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """SHA-256 of every file against the manifest (file, sha256); files must be below 2 GB each."""
+def verify_manifest(spark: SparkSession, path: str, manifest: DataFrame, name: str = r"([^/]+)$") -> DataFrame:
+    """SHA-256 of every file against the manifest (file, sha256); files must be below 2 GB each. ``name`` takes a file's name from its path."""
     files = spark.read.format("binaryFile").load(path).select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("actual")
+        F.regexp_extract("path", name, 1).alias("file"), F.sha2("content", 256).alias("actual")
     )
     out = manifest.join(files, "file", "left")
     status = F.when(F.col("actual").isNull(), "missing").when(F.lower("sha256") == F.col("actual"), "ok").otherwise("mismatch")

@@ -26,32 +26,40 @@ def write_leaderboard(df: DataFrame, path: str) -> None:
 
 
 # ---- decisions ------------------------------------------------------------------
-BUCKETS = 256
+LOOKUP = 1000
+KEY_FILTER = {  # Parquet keeps a Bloom filter of the ids in every file; one wrong hit in 100,000
+    "parquet.bloom.filter.enabled#event_id": "true", "parquet.bloom.filter.fpp#event_id": "0.00001",
+}
 
 
-def append_new_decisions(batch: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+def stored_ids(spark: SparkSession, path: str, kind: str, ids: list | None) -> DataFrame | None:
+    """The event_ids stored at ``path``, or those among ``ids``; None before the first write. With ``ids`` the files' own key filters are
+    asked first, and files (row groups) that hold none of them are not read."""
+    try:
+        stored = spark.read.schema(f"event_id {kind}").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return stored if ids is None else stored.filter(F.col("event_id").isin(ids))
+
+
+def append_new_decisions(batch: DataFrame, path: str, lookup: int = LOOKUP) -> None:
     """Insert rows whose event_id is not stored yet: insert-or-ignore on the key event_id, whatever the other columns say.
 
-    The store is partitioned by a hash bucket of event_id, so only the buckets that the batch meets are read back. Within a
-    batch the earliest row per event_id wins. Rows without an event_id have no key and are refused. ``buckets`` belongs to the store.
+    Every file keeps a key filter of its ids. A batch of up to ``lookup`` ids looks them up through these filters and reads next to
+    nothing of the store; a larger one is joined against all stored ids. Within a batch the earliest row per event_id wins. Rows without an event_id
+    have no key and are refused.
     """
     spark = batch.sparkSession
-    keyed = batch.filter(F.col("event_id").isNotNull())
     # several reads of a stateful micro-batch would run it several times
-    rows = first_per_event(keyed).withColumn("bucket", F.pmod(F.xxhash64("event_id"), F.lit(buckets)).cast("int")).persist()
+    rows = first_per_event(batch.filter(F.col("event_id").isNotNull())).persist()
     try:
-        new = rows
-        kind = batch.schema["event_id"].dataType.simpleString()
-        try:
-            stored = spark.read.schema(f"event_id {kind}, bucket int").parquet(path)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            stored = None
-        if stored is not None:
-            met = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-            new = rows.join(stored.filter(F.col("bucket").isin(*met)).select("event_id"), "event_id", "left_anti")
-        new.write.mode("append").partitionBy("bucket").parquet(path)
+        n = rows.count()
+        ids = [r[0] for r in rows.select("event_id").collect()] if n <= lookup else None  # at most ``lookup`` ids
+        stored = stored_ids(spark, path, batch.schema["event_id"].dataType.simpleString(), ids)
+        new = rows if stored is None else rows.join(stored, "event_id", "left_anti")
+        new.write.mode("append").options(**KEY_FILTER, **{"parquet.bloom.filter.expected.ndv#event_id": str(min(max(n, 1), 1_000_000))}).parquet(path)
     finally:
         rows.unpersist()
 

@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, functions as F
 
 from wardline import schemas as C
 from wardline.functions import expr as X
 from wardline.operators import history as H, ordered as O
 from wardline.streaming import fold as T
 from wardline.streaming.keyed import keyed_fold
+from wardline.streaming.stages import device_stage, trust_stream  # noqa: F401  the streaming forms, beside the batch ones
 
 FOLD_INPUT = [
     "event_id", "identity_id", "ts", "kind", "passed", "event_type", "device_id", "geo", "hour_of_day", "amount", "ml_risk",
@@ -21,10 +19,15 @@ FOLD_INPUT = [
 ]
 
 
-def prepare(events: DataFrame, similarity: str | None = None, ml_risk: str | None = None) -> DataFrame:
-    """Everything about an event that no earlier decision can change (needs ``device_sharing``)."""
+def _timestamped(df: DataFrame) -> DataFrame:
+    """``ts`` as a timestamp; a column that is one stays as it is and keeps its watermark."""
+    return df if dict(df.dtypes)["ts"] == "timestamp" else df.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def prepare(events: DataFrame, similarity: str | None = None, ml_risk: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Everything about an event that no earlier decision can change (needs ``device_sharing``); columns of ``keep`` are handed on."""
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    df = events.withColumns({
+    df = _timestamped(events).withColumns({
         "behavior_anomaly": F.coalesce(1 - F.col(similarity), F.lit(C.NEUTRAL_BEHAVIOR)) if similarity else F.lit(C.NEUTRAL_BEHAVIOR),
         "event_criticality": X.criticality(F.col("event_type")),
         "channel_risk": X.channel_risk(F.col("channel")),
@@ -32,7 +35,6 @@ def prepare(events: DataFrame, similarity: str | None = None, ml_risk: str | Non
         "recovery_change": flag("recovery_contact_changed").cast("double"),
         "prior_ok": X.cold_prior_applies(F.col("event_type"), F.col("channel"), flag("is_new_beneficiary"), flag("recovery_contact_changed"), F.col("amount")),
         "ml_risk": F.col(ml_risk).cast("double") if ml_risk else F.lit(None).cast("double"),
-        "ts": F.col("ts").cast("timestamp"),
         "kind": F.lit(1),
         "passed": F.lit(None).cast("boolean"),
     })
@@ -40,12 +42,12 @@ def prepare(events: DataFrame, similarity: str | None = None, ml_risk: str | Non
     for c in T.PASSED:
         static = static + F.lit(C.WEIGHTS[c]) * F.col(c)
     df = df.withColumns({"static_risk": static, "ts_seconds": X.micros("ts") / 1e6, "amount": F.col("amount").cast("double")})
-    return df.select(*FOLD_INPUT)
+    return df.select(*FOLD_INPUT, *keep)
 
 
 def outcome_rows(outcomes: DataFrame, like: DataFrame) -> DataFrame:
     """Step-up outcomes (identity_id, ts, passed) in the fold's input shape; same-time events come first."""
-    have = outcomes.select("identity_id", F.col("ts").cast("timestamp").alias("ts"), "passed")
+    have = _timestamped(outcomes).select("identity_id", "ts", "passed")
     have = have.withColumns({"kind": F.lit(2), "ts_seconds": X.micros("ts") / 1e6})
     zero = {"event_id", "hour_of_day", "prior_ok"}  # kept non-null so that whole batches keep their integer types
     have = have.withColumns({f.name: F.lit(0 if f.name in zero else None).cast(f.dataType) for f in like.schema if f.name not in have.columns})
@@ -92,61 +94,7 @@ def explain(decisions: DataFrame) -> DataFrame:
     })
 
 
-# ---- streaming ------------------------------------------------------------------
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def state_on_disk(spark: SparkSession) -> None:
-    """Keep stream state in RocksDB beside the executor: identities ever seen may outgrow memory."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
-def device_stage(stream: DataFrame) -> DataFrame:
-    """Add ``device_sharing`` per event, keyed by device. The state is at most four identities per device. A task holds one device's rows of a micro-batch, which the source's rate limit bounds."""
-    state_on_disk(stream.sparkSession)
-    schema = stream.schema
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", device_sharing double"
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"])
-        share = []
-        for who in pdf["identity_id"]:
-            if len(known) < 4 and who not in known:
-                known.append(who)
-            share.append(min((len(known) - 1) / 3.0, 1.0))
-        state.update((known,))
-        yield pdf.assign(device_sharing=share)
-
-    return stream.groupBy("device_id").applyInPandasWithState(
-        run, out, "identities array<string>", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def trust_stream(rows: DataFrame, params: T.Params = T.Params()) -> DataFrame:
-    """Streaming trust decisions over prepared rows (events and outcomes); late events come out as LATE."""
-    state_on_disk(rows.sparkSession)
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = T.State.load(state.get[0]) if state.exists else T.State()
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "kind", "event_id"])
-        out = []
-        for row in pdf.itertuples(index=False):
-            if row.kind == 2:
-                T.settle(s, bool(row.passed))
-            elif row.ts_seconds < s.last_ts:
-                out.append(T.late(s, row))
-            else:
-                out.append(T.advance(s, row, params))
-                s.last_ts = row.ts_seconds
-        state.update((s.dump(),))
-        yield pd.DataFrame.from_records(out, columns=[f.split()[0] for f in T.RESULT.split(", ")])
-
-    return rows.groupBy("identity_id").applyInPandasWithState(
-        run, T.RESULT, "profile string", "append", GroupStateTimeout.NoTimeout
-    )
-
-
+# ---- views of decisions ------------------------------------------------------------
 def identity_snapshot(decisions: DataFrame) -> DataFrame:
     """Latest trust, known devices and allowed events per identity."""
     last = F.max_by(F.struct("trust", "known_devices", "events_seen"), F.struct("ts", "event_id"))
