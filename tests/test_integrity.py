@@ -186,3 +186,28 @@ def test_device_graph_counts(spark):
     assert got == {0: 1, 1: 2, 2: 2}
     assert H.identities_per_device(df).first()["identities"] == 2 and H.identities_per_device(df, True).first()["identities"] == 2
     assert V is not None
+
+
+def test_releases_have_their_own_noise_and_a_name_works_once(spark, tmp_path):
+    means = spark.range(400).select(F.concat(F.lit("u"), "id").alias("identity_id"), *[F.lit(0.5).alias(c) for c in C.FEATURES], F.lit("all").alias("cohort"))
+    vals = {r: [P.dp_cohort_means(means.repartition(n), 4.0, KEY, release=r).first()[c] for c in C.FEATURES] for r, n in (("a", 1), ("b", 1), (None, 1))}
+    assert vals["a"] == pytest.approx([P.dp_cohort_means(means.repartition(5), 4.0, KEY, release="a").first()[c] for c in C.FEATURES])
+    assert all(abs(x - y) > 1e-9 for x, y in zip(vals["a"], vals["b"])) and vals["a"] != vals[None]
+    path = str(tmp_path / "ledger")
+    assert P.open_release(spark, path, "logins", "a", 4.0).count() == 1
+    assert P.open_release(spark, path, "logins", "b", 2.0).count() == 2
+    with pytest.raises(ValueError, match="already"):
+        P.open_release(spark, path, "logins", "a", 8.0)
+    for bad in (("logins", "../x", 4.0), ("logins", "c", 0.0)):
+        with pytest.raises(ValueError):
+            P.open_release(spark, path, *bad)
+    assert {r["dataset"]: r["releases"] for r in P.privacy_ledger(P.open_release(spark, path, "pay", "a", 4.0)).collect()} == {"logins": 2, "pay": 1}
+
+
+def test_row_ids_tell_nulls_by_place(spark):
+    rows = [(None, "a"), ("a", None), ("a", None), (None, None), (None, "a"), ("x", "y")]
+    df = spark.createDataFrame(rows, "p string, q string")
+    by = lambda d: sorted((r["p"] or "-", r["q"] or "-", r["row_id"]) for r in X.with_row_id(d).collect())
+    got = by(df)
+    assert len({r[2] for r in got}) == 6
+    assert by(df.repartition(5)) == got and by(df.orderBy(F.desc("q")).coalesce(1)) == got

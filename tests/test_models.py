@@ -146,3 +146,45 @@ def test_gate_parity_and_cold_start_jobs(spark, tmp_path):
     assert (f["rate_before"], f["rate_after"]) == (1.0, 0.5)
     s = spark.createDataFrame([("a", 0.1, 0), ("a", 0.9, 1), ("b", 0.8, 1), ("b", 0.7, 0), ("b", 0.2, 1)], "cohort string, score double, y int")
     assert jobs.parity_job(s, "cohort", "a", "b", 0.5, str(tmp_path / "p")).first()["safe_rate"] == 0.5
+
+
+def plain_isotonic(rows):
+    """Pool adjacent violators, one row after the other; the fitted value of each distinct score."""
+    ties = {}
+    for x, y in rows:
+        s, n = ties.get(x, (0.0, 0))
+        ties[x] = (s + y, n + 1)
+    blocks = []
+    for x in sorted(ties):
+        blocks.append([*ties[x], [x]])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            s, n, xs = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + xs]
+    return {x: s / n for s, n, xs in blocks for x in xs}
+
+
+@pytest.mark.parametrize("shape", ["noise", "rising", "falling", "steps", "one"])
+@pytest.mark.parametrize("ranges,fan_in", [(1, 8), (9, 2), (30, 3)])
+def test_isotonic_blocks_equal_plain_pooling(spark, shape, ranges, fan_in):
+    import random
+
+    from wardline.models import isotonic as I
+
+    r = random.Random(ranges)
+    chance = {"noise": lambda x: 0.4, "rising": lambda x: x, "falling": lambda x: 1 - x, "steps": lambda x: round(x * 4) / 4, "one": lambda x: 1.0}[shape]
+    rows = [(x, int(r.random() < chance(x))) for _ in range(1 if shape == "one" else 700) for x in [round(r.random(), r.choice([1, 4]))]]
+    df = spark.createDataFrame(rows + [(None, 1), (float("nan"), 0)], "score double, y int")
+    blocks = I.isotonic_blocks(df, ranges=ranges, fan_in=fan_in)
+    want = plain_isotonic(rows)
+    found = sorted(tuple(b) for b in blocks.collect())
+    assert sum(b[3] for b in found) == len(rows) and all(a[1] < b[0] and a[2] < b[2] for a, b in zip(found, found[1:]))
+    assert {x: next(v for low, high, v, _ in found if low <= x <= high) for x in want} == pytest.approx(want)
+    for most in (200_000, 5):
+        got = {x["score"]: x["calibrated"] for x in I.isotonic_map(blocks, most)(df).collect()}
+        assert {x: v for x, v in got.items() if x in want} == pytest.approx(want) and got[None] is None
+    between = spark.createDataFrame([(-9.0,), (9.0,), (found[0][1] + 1e-9,)], "score double")
+    a, b, c = (x["calibrated"] for x in I.isotonic_map(blocks)(between).orderBy("score").collect()) if len(found) == 1 else \
+        (next(x["calibrated"] for x in I.isotonic_map(blocks)(between).collect() if x["score"] == s) for s in (-9.0, found[0][1] + 1e-9, 9.0))
+    assert a == pytest.approx(found[0][2]) and a <= b + 1e-12 <= c + 1e-9 and max(a, b, c) == pytest.approx(found[-1][2])
+    with pytest.raises(ValueError):
+        I.isotonic_map(I.isotonic_blocks(df.limit(0)))

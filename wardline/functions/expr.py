@@ -249,8 +249,11 @@ def hash_fraction(key: Column, seed: int) -> Column:
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """A 64-bit id per row: the hash of its values and of its number among equal rows, so that repeated log rows keep apart.
 
-    Equal rows are interchangeable, so the ids do not depend on how the table is dealt out.
+    Nulls take part with their place, so rows that hold the same values in different columns differ; rows that still share a hash are
+    numbered in order of their values. Equal rows are interchangeable, so the ids do not depend on how the table is dealt out.
     """
-    same = Window.partitionBy("_h").orderBy("_h")
-    out = df.withColumn("_h", F.xxhash64(*df.columns)).withColumn("_n", F.row_number().over(same))
+    values = df.columns
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in values], *[F.col(f"`{c}`").isNull() for c in values])
+    same = Window.partitionBy("_h").orderBy(*[F.col(f"`{c}`") for c in values])
+    out = df.withColumn("_h", h).withColumn("_n", F.row_number().over(same))
     return out.withColumn(name, F.xxhash64("_h", "_n")).drop("_h", "_n")

@@ -190,12 +190,12 @@ def serving_job(replay: DataFrame, out: str, trees: int = 200, contamination: fl
     return IF.serving_risk(scored, contamination=contamination)
 
 
-def privacy_job(replay: DataFrame, out: str, secret: bytes, noise_multiplier: float = 4.0) -> dict[str, DataFrame]:
-    """Noised cohort means and the privacy ledger entry of the release."""
-    means = _stored(P.identity_means(replay, F.col("geo")), f"{out}/identity_means")
-    release = _stored(P.dp_cohort_means(means, noise_multiplier, secret), f"{out}/cohort_means")
-    entry = replay.sparkSession.createDataFrame([("logins", float(noise_multiplier), P.DELTA)], "dataset string, noise_multiplier double, delta double")
-    return {"cohort_means": release, "ledger": P.privacy_ledger(entry)}
+def privacy_job(replay: DataFrame, out: str, secret: bytes, noise_multiplier: float = 4.0, release: str = "first", dataset: str = "logins") -> dict[str, DataFrame]:
+    """Noised cohort means and the privacy ledger of all releases so far. A release name is booked first and works once; its noise is its own."""
+    ledger = P.open_release(replay.sparkSession, f"{out}/ledger", dataset, release, noise_multiplier)
+    means = _stored(P.identity_means(replay, F.col("geo")), f"{out}/identity_means-{release}")
+    noised = _stored(P.dp_cohort_means(means, noise_multiplier, secret, release=release), f"{out}/cohort_means-{release}")
+    return {"cohort_means": noised, "ledger": P.privacy_ledger(ledger)}
 
 
 def travel_job(spark: SparkSession, path: str) -> DataFrame:

@@ -11,10 +11,10 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wardline.functions import expr as X
+from wardline.models.isotonic import isotonic_blocks, isotonic_map
 from wardline.operators import metrics as M
 from wardline.session import checkpoint_dir, materialize
 
@@ -199,15 +199,14 @@ def grouped_oof(df: DataFrame, cols: list[str], y: str, group: str, k: int = 5,
 def calibrate(val: DataFrame, y: str = "y", column: str = "score") -> tuple[str, Callable[[DataFrame], DataFrame], DataFrame]:
     """Isotonic or logistic map of the score, whichever has the lower Brier score on the validation rows.
 
-    The isotonic fit runs on distinct scores with weights, so its serial last step sees ties once.
+    The isotonic fit pools score ranges in parallel (`isotonic_blocks`); a constant fit or a straight line between its blocks is applied.
     """
-    ties = val.groupBy(F.col(column).alias("score")).agg(F.avg(F.col(y).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
-    iso = IsotonicRegression(featuresCol="score", labelCol="label", weightCol="w").fit(ties)
+    iso = isotonic_map(isotonic_blocks(val, y, column))
     vec = VectorAssembler(inputCols=["_s"], outputCol="_v")
     platt = LogisticRegression(featuresCol="_v", labelCol="_y").fit(vec.transform(val.select(F.col(column).alias("_s"), F.col(y).cast("double").alias("_y"))))
 
     def by_iso(df: DataFrame) -> DataFrame:
-        return iso.setFeaturesCol("_s").setPredictionCol("calibrated").transform(df.withColumn("_s", F.col(column).cast("double"))).drop("_s")
+        return iso(df, column, "calibrated")
 
     def by_platt(df: DataFrame) -> DataFrame:
         a, b = float(platt.coefficients[0]), float(platt.intercept)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardline import schemas as C
 from wardline.functions import crypto as K, expr as X
@@ -86,24 +88,52 @@ def _gauss(secret: bytes, *parts: Column) -> Column:
     return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
 
 
-def dp_suppress(cohorts: DataFrame, secret: bytes, epsilon: float = COUNT_EPSILON, minimum: int = MIN_COHORT + COUNT_BUFFER) -> DataFrame:
-    """Keep cohorts whose noisy size reaches the minimum; adds ``noisy_n``."""
-    noise = X.laplace(_uniform(secret, F.col("cohort"), F.lit("size")) - 0.5, 1.0 / epsilon)
+def _bound(release: str | None) -> list[Column]:
+    """What binds a draw to its release. Without a name there is one release per secret: a second would repeat its noise, and their difference
+    would show exact changes."""
+    return [] if release is None else [F.lit(f"release {release}")]
+
+
+def dp_suppress(cohorts: DataFrame, secret: bytes, epsilon: float = COUNT_EPSILON, minimum: int = MIN_COHORT + COUNT_BUFFER, release: str | None = None) -> DataFrame:
+    """Keep cohorts whose noisy size reaches the minimum; adds ``noisy_n``. The noise belongs to the ``release``."""
+    noise = X.laplace(_uniform(secret, *_bound(release), F.col("cohort"), F.lit("size")) - 0.5, 1.0 / epsilon)
     return cohorts.withColumn("noisy_n", F.col("n") + noise).filter(F.col("noisy_n") >= minimum)
 
 
-def dp_cohort_means(means: DataFrame, noise_multiplier: float, secret: bytes, exact_n: bool = False, cols: list[str] = C.FEATURES) -> DataFrame:
-    """Noised cohort means. Gaussian noise goes on the sums; the noisy size divides unless ``exact_n``."""
+def dp_cohort_means(means: DataFrame, noise_multiplier: float, secret: bytes, exact_n: bool = False, cols: list[str] = C.FEATURES,
+                    release: str | None = None) -> DataFrame:
+    """Noised cohort means. Gaussian noise goes on the sums; the noisy size divides unless ``exact_n``.
+
+    Noise is drawn from a digest of secret, release, cohort and column: a retried task repeats it, another release draws anew. Book a
+    release with `open_release` before it is made, which refuses a name that was used.
+    """
     if noise_multiplier <= 0:
         raise ValueError("export refused: the noise multiplier must be positive")
     sigma = noise_multiplier * math.sqrt(len(cols))
-    kept = dp_suppress(cohort_aggregates(means, cols), secret)
+    kept = dp_suppress(cohort_aggregates(means, cols), secret, release=release)
     size = F.col("n") if exact_n else F.greatest(F.col("noisy_n"), F.lit(1.0))
     return kept.select("cohort", *[
-        X.clip((F.col(f"sum_{c}") + sigma * _gauss(secret, F.col("cohort"), F.lit(c))) / size, 0.0, 1.0).alias(c) for c in cols
+        X.clip((F.col(f"sum_{c}") + sigma * _gauss(secret, *_bound(release), F.col("cohort"), F.lit(c))) / size, 0.0, 1.0).alias(c) for c in cols
     ])
 
 
+def open_release(spark: SparkSession, path: str, dataset: str, release: str, noise_multiplier: float, delta: float = DELTA) -> DataFrame:
+    """Enter a release in the ledger below ``path`` (one folder per dataset and release) and return the ledger. A release that is in it already is
+    refused: publishing twice under one name would either repeat noise or hide a loss."""
+    if noise_multiplier <= 0:
+        raise ValueError("export refused: the noise multiplier must be positive")
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", f"{dataset}{release}"):
+        raise ValueError("dataset and release are names of letters, digits, '_', '.' and '-'")
+    entry = spark.createDataFrame([(float(noise_multiplier), float(delta))], "noise_multiplier double, delta double")
+    try:
+        entry.coalesce(1).write.mode("errorifexists").parquet(f"{path}/dataset={dataset}/release={release}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+        raise ValueError(f"release {release!r} of {dataset!r} is in the ledger already") from None
+    return spark.read.schema("noise_multiplier double, delta double, dataset string, release string").parquet(path)
+
+
 def gaussian_epsilon(multiplier: Column, delta: Column) -> Column:
     """Privacy loss of one Gaussian release, minimised over the orders."""
     def at(a: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wardline import schemas as C
 from wardline.functions import expr as X
 from wardline.models import iforest as IF, keystroke as KS, scale as SC, supervised as SV
+from wardline.models.isotonic import isotonic_blocks, isotonic_map
 from wardline.operators import bootstrap as BS, history as H, metrics as M
 from wardline.plans import fixtures as V
 from wardline.plans.q_features import MEASURES, deviations
@@ -163,6 +164,22 @@ def calibrate(spark, sf):
     return SV.calibrate(V.scores(spark, sf))[2]
 
 
+@query(
+    "isotonic_fit", "J13",
+    f"""with {V.SQL_SCORES}, t as (select score, sum(y) as s, count(*) as w from scores group by 1),
+    c as (select row_number() over (order by score) as i, score, sum(s) over (order by score) as cs, sum(w) over (order by score) as cw, s, w from t),
+    p as (select a.i as j, b.i as i, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) as mean from c a join c b on b.i >= a.i),
+    m as (select j, i, min(mean) over (partition by j order by i desc) as low from p), f as (select i, max(low) as value from m group by 1)
+    select score, round(value, 9) as value from f join c using (i)""",
+)
+def isotonic_fit(spark, sf):
+    """The pooled fit at every distinct score, pooled in many ranges; in SQL the largest of the smallest means of all stretches."""
+    s = V.scores(spark, sf)
+    blocks = isotonic_blocks(s, ranges=16, fan_in=4)
+    at = isotonic_map(blocks)(s.select("score").distinct())
+    return at.select("score", F.round("calibrated", 9).alias("value"))
+
+
 @query("grouped_oof", "J14")
 def grouped_oof(spark, sf):
     return SV.grouped_oof(labelled_payments(spark, sf), _COLS, "y", "user", k=5, maxIter=ROUNDS).select("row_id", "y", "fold", _R("score"))

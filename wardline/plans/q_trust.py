@@ -432,24 +432,34 @@ def _u(*parts: str) -> str:
     return f"((cast('0x'||substr({sql_hmac(text)}, 1, 13) as bigint) + 0.5) / 4503599627370496.0)"
 
 
-def _noise(c: str) -> str:
-    u, v = _u("cohort", f"'{c}'", "'u'"), _u("cohort", f"'{c}'", "'v'")
+def _noise(c: str, *bound: str) -> str:
+    u, v = _u(*bound, "cohort", f"'{c}'", "'u'"), _u(*bound, "cohort", f"'{c}'", "'v'")
     return f"sqrt(-2 * ln({u})) * cos(2 * pi() * {v})"
 
 
-_DP_SQL = f"""with {_MEANS_SQL}, half as (select * replace (case when cohort in ('C0', 'C1') then 'north' else 'south' end as cohort) from means),
+def _dp_sql(*bound: str) -> str:
+    return f"""with {_MEANS_SQL}, half as (select * replace (case when cohort in ('C0', 'C1') then 'north' else 'south' end as cohort) from means),
   a as (select cohort, count(*) as n, {", ".join(f"sum({c}) as {c}" for c in C.FEATURES)} from half group by 1),
-  l as (select *, {_u("cohort", "'size'")} - 0.5 as u from a),
+  l as (select *, {_u(*bound, "cohort", "'size'")} - 0.5 as u from a),
   k as (select *, n - 10.0 * case when u >= 0 then 1 else -1 end * ln(1 - 2 * abs(u)) as noisy from l)
-  select cohort, {", ".join(f"round(least(greatest(({c} + 4.0 * sqrt(11) * {_noise(c)}) / greatest(noisy, 1.0), 0.0), 1.0), 6) as {c}" for c in C.FEATURES)}
+  select cohort, {", ".join(f"round(least(greatest(({c} + 4.0 * sqrt(11) * {_noise(c, *bound)}) / greatest(noisy, 1.0), 0.0), 1.0), 6) as {c}" for c in C.FEATURES)}
   from k where noisy >= 35"""
 
 
-@query("dp_export", "M9,M10", _DP_SQL)
-def dp_export(spark, sf):
+def _halves(spark, sf):
     f = H.replay_features(V.identity_events(spark, sf))
-    half = F.when(X.country(F.col("geo")).isin("C0", "C1"), "north").otherwise("south")
-    return P.dp_cohort_means(P.identity_means(f, half), 4.0, KEY).select("cohort", *[_R(c) for c in C.FEATURES])
+    return P.identity_means(f, F.when(X.country(F.col("geo")).isin("C0", "C1"), "north").otherwise("south"))
+
+
+@query("dp_export", "M9,M10", _dp_sql())
+def dp_export(spark, sf):
+    return P.dp_cohort_means(_halves(spark, sf), 4.0, KEY).select("cohort", *[_R(c) for c in C.FEATURES])
+
+
+@query("dp_second_release", "M9,M10", _dp_sql("'release 2024-06'"))
+def dp_second_release(spark, sf):
+    """The same table under another release name: other noise."""
+    return P.dp_cohort_means(_halves(spark, sf), 4.0, KEY, release="2024-06").select("cohort", *[_R(c) for c in C.FEATURES])
 
 
 _EPS_SQL = "list_min(list_transform([" + ", ".join(f"{o!r}e0" for o in P.ORDERS) + \
