@@ -251,3 +251,50 @@ def test_null_geo_and_running_statistics(spark):
     s.hours.add(5)
     s.amounts.add(9.0)
     assert T.State.load(s.dump()).dump() == s.dump()
+
+
+def random_rows(seed, identities, most):
+    """Prepared rows with outcomes, nulls, travels, long histories and every event type."""
+    import random
+
+    import pandas as pd
+
+    r = random.Random(seed)
+    rows = []
+    for k in range(identities):
+        at = 1_700_000_000.0
+        for _ in range(r.randint(1, most)):
+            at += r.choice([0, 5, 60, 900, 4000])
+            risky = r.random() < 0.15
+            rows.append({
+                "event_id": len(rows), "identity_id": None if k == 3 else f"u{k}", "ts": pd.Timestamp(at, unit="s"), "kind": 2 if r.random() < 0.05 else 1, "passed": r.random() < 0.5,
+                "event_type": r.choice(C.EVENT_TYPES) if risky else "login", "device_id": f"d{r.randint(0, 1 + 4 * risky)}", "geo": r.choice([None, "IN-GJ", "IN-MH", "RU-MOW", ""]) if risky else "IN-GJ",
+                "hour_of_day": r.randint(0, 23), "amount": r.choice([float("nan"), r.lognormvariate(7, 2)]), "ml_risk": r.choice([float("nan"), 0.1, r.random()]) if risky else 0.05,
+                "ts_seconds": at, "prior_ok": r.random() < 0.5, "static_risk": r.random() * (0.5 if risky else 0.1), "behavior_anomaly": 0.1, "event_criticality": 0.2, "channel_risk": 0.3,
+                "new_beneficiary": 0.0, "recovery_change": 0.0, "device_sharing": 0.0,
+            })
+    return pd.DataFrame(rows)
+
+
+@pytest.mark.parametrize("params", [T.Params(), T.Params(require_model=False), T.Params.named("before")])
+def test_lockstep_equals_the_fold(params):
+    import pandas as pd
+
+    from wardline.streaming import lockstep
+
+    for seed, identities, most in ((1, 60, 25), (2, 9, 900), (3, 1, 1)):
+        rows = random_rows(seed, identities, most)
+        want, who, s = [], object(), None
+        for row in rows.itertuples(index=False):
+            if row.identity_id != who:
+                who, s = row.identity_id, T.State()
+            if row.kind == 2:
+                T.settle(s, bool(row.passed))
+            else:
+                want.append(T.advance(s, row, params))
+        for buffer, batch in ((10**6, 10**6), (200, 64), (50, 300)):
+            got = pd.concat(lockstep.runner(params, buffer)(iter([rows[i:i + batch].reset_index(drop=True) for i in range(0, len(rows), batch)])), ignore_index=True)
+            expected = pd.DataFrame.from_records(want, columns=got.columns)
+            pd.testing.assert_frame_equal(got.where(got.notna(), None), expected.where(expected.notna(), None), check_dtype=False, rtol=1e-9)
+        if seed == 2:
+            assert {"ALLOW", "STEP_UP", "BLOCK"} <= set(expected["decision"]) and expected["drift_review"].any() == params.drift and expected["impossible"].any() == params.travel

@@ -6,35 +6,42 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from wardline.operators import ordered as O
 from wardline.session import checkpoint_dir
 
 
-def _runner(key: str, start: Callable, step: Callable, names: list[str], keep_state: Callable | None = None):
-    """mapInPandas body; with ``keep_state`` the state of every finished key follows as one extra row."""
+SAVED = "saved_state"
+
+
+def _runner(key: str, start: Callable, step: Callable, names: list[str], dump: Callable | None = None, load: Callable | None = None):
+    """mapInPandas body. With ``dump`` and ``load`` a key's first row may bring its saved state, and the state of every finished key
+    follows as one extra row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none, current, state = object(), None, None
         current = none
 
         def closing():
-            return [] if keep_state is None or current is none else [(*[None] * len(names), current, keep_state(state))]
+            return [] if dump is None or current is none else [(*[None] * len(names), current, dump(state))]
 
-        columns = names + (["_key", "_state"] if keep_state else [])
+        columns = names + (["_key", "_state"] if dump else [])
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
                 k = getattr(row, key)
                 if k != current:
                     out += closing()
-                    current, state = k, start(k)
+                    current, state = k, start()
+                if load is not None and row.saved_state is not None:
+                    state = load(row.saved_state)
+                    continue
                 r = step(state, row)
                 if r is not None:
-                    out.append((*r, None, None) if keep_state else r)
+                    out.append((*r, None, None) if dump else r)
             yield pd.DataFrame.from_records(out, columns=columns)
-        if keep_state and current is not none:
+        if dump and current is not none:
             yield pd.DataFrame.from_records(closing(), columns=columns)
 
     return run
@@ -42,7 +49,7 @@ def _runner(key: str, start: Callable, step: Callable, names: list[str], keep_st
 
 def keyed_fold(df: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable, schema: str,
                position: Column | None = None, dump: Callable | None = None, load: Callable | None = None,
-               hot_rows: int = O.HOT_ROWS, probe_on: DataFrame | None = None) -> DataFrame:
+               hot_rows: int = O.HOT_ROWS, probe_on: DataFrame | None = None, many: Callable | None = None) -> DataFrame:
     """Run ``step(state, row) -> tuple | None`` over each key's rows in order.
 
     Rows are hashed by key and sorted inside the task (Spark spills as needed), then pass through in Arrow
@@ -51,12 +58,16 @@ def keyed_fold(df: DataFrame, key: str, order: list[str], start: Callable[[], ob
 
     Such a key cannot be split across tasks that run at once. With ``position``, ``dump`` and ``load`` a key
     above ``hot_rows`` rows is cut into time slices that run one after the other, each a bounded task that
-    starts from the saved state of the one before: a lost executor repeats one slice, not the key's history.
+    starts from the saved state of the one before: a lost executor repeats one slice, not the key's history. Saved states
+    are a table of one row per hot key; they come back as the first row of their key.
+
+    ``many`` may give another mapInPandas body for the ordinary keys, which folds many of them at once to the same rows.
     """
     names = [f.split()[0] for f in schema.split(",")]
 
     def whole(frame: DataFrame) -> DataFrame:
-        return frame.repartition(key).sortWithinPartitions(key, *order).mapInPandas(_runner(key, lambda _: start(), step, names), schema)
+        body = many or _runner(key, start, step, names)
+        return frame.repartition(key).sortWithinPartitions(key, *order).mapInPandas(body, schema)
 
     if position is None or dump is None or load is None:
         return whole(df)
@@ -68,20 +79,17 @@ def keyed_fold(df: DataFrame, key: str, order: list[str], start: Callable[[], ob
     sliced = O.with_slice(df.join(hot, key, "left_semi"), s, position)
     sliced.repartition(key, "_slice").write.partitionBy("_slice").parquet(f"{base}/rows")
     rows = spark.read.parquet(f"{base}/rows")
-    kept: dict = {}
-    order_of_slices = sorted(r[0] for r in rows.select("_slice").distinct().collect())
-    for i in order_of_slices:
-        seen = dict(kept)  # one entry per hot key
-
-        def resume(k, seen=seen):
-            return load(seen[k]) if k in seen else start()
-
-        part = rows.filter(F.col("_slice") == i).drop("_slice").select(*df.columns)
-        part = part.repartition(key).sortWithinPartitions(key, *order)
-        kind = df.schema[key].dataType.simpleString()
-        out = part.mapInPandas(_runner(key, resume, step, names, dump), f"{schema}, _key {kind}, _state string")
+    kind = df.schema[key].dataType.simpleString()
+    # the other columns of a saved state hold zeros, so that whole batches keep their integer types
+    blank = {f.name: F.lit(0 if isinstance(f.dataType, (T.NumericType, T.BooleanType)) else None).cast(f.dataType) for f in df.schema if f.name != key}
+    saved = None
+    for i in sorted(r[0] for r in rows.select("_slice").distinct().collect()):
+        part = rows.filter(F.col("_slice") == i).select(*df.columns, F.lit(None).cast("string").alias(SAVED))
+        if saved is not None:
+            part = part.unionByName(saved.select(F.col("_key").alias(key), *[c.alias(n) for n, c in blank.items()], F.col("_state").alias(SAVED)))
+        part = part.repartition(key).sortWithinPartitions(key, F.desc_nulls_last(SAVED), *order)
+        out = part.mapInPandas(_runner(key, start, step, names, dump, load), f"{schema}, _key {kind}, _state string")
         out.write.parquet(f"{base}/out/slice={i}")
-        ended = spark.read.parquet(f"{base}/out/slice={i}").filter(F.col("_state").isNotNull())
-        kept |= {r["_key"]: r["_state"] for r in ended.select("_key", "_state").collect()}
+        saved = spark.read.parquet(f"{base}/out/slice={i}").filter(F.col("_state").isNotNull())
     done = spark.read.parquet(f"{base}/out").filter(F.col("_state").isNull()).select(*names)
     return whole(df.join(hot, key, "left_anti")).unionByName(done)

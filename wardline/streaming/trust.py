@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from wardline import schemas as C
 from wardline.functions import expr as X
 from wardline.operators import history as H, ordered as O
-from wardline.streaming import fold as T
+from wardline.streaming import fold as T, lockstep
 from wardline.streaming.keyed import keyed_fold
 from wardline.streaming.stages import device_stage, trust_stream  # noqa: F401  the streaming forms, beside the batch ones
 
@@ -58,8 +58,7 @@ def trust_decisions(events: DataFrame, outcomes: DataFrame | None = None, simila
                     ml_risk: str | None = None, params: T.Params = T.Params(), hot_rows: int = O.HOT_ROWS) -> DataFrame:
     """One decision per event, folding each identity in event time.
 
-    A decision depends on the decisions before it, so one identity is one sequence; its rows stream through
-    the task and only its profile is kept. A hot identity runs in time slices that hand the profile on. Device
+    A decision depends on the decisions before it, so one identity is one sequence; a task folds many of them in lockstep. A hot identity runs in time slices that hand the profile on. Device
     sharing, which crosses identities, is computed up front.
     """
     rows = prepare(H.device_sharing(events), similarity, ml_risk)
@@ -74,7 +73,7 @@ def trust_decisions(events: DataFrame, outcomes: DataFrame | None = None, simila
 
     return keyed_fold(
         rows, "identity_id", ["ts", "kind", "event_id"], T.State, step, T.RESULT, position=F.col("ts_seconds"), dump=T.State.dump,
-        load=T.State.load, hot_rows=hot_rows, probe_on=events.select("identity_id", (X.micros("ts") / 1e6).alias("ts_seconds")),
+        load=T.State.load, hot_rows=hot_rows, many=lockstep.runner(params), probe_on=events.select("identity_id", (X.micros("ts") / 1e6).alias("ts_seconds")),
     )
 
 
