@@ -246,6 +246,12 @@ def hash_fraction(key: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / F.lit(1_000_000.0)
 
 
+def digest_fraction(key: Column, seed: int) -> Column:
+    """Deterministic uniform in [0, 1) from 52 bits of a SHA-256, which any SQL engine can repeat."""
+    digest = F.sha2(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit(""))), 256)
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+
+
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """A 64-bit id per row: the hash of its values and of its number among equal rows, so that repeated log rows keep apart.
 

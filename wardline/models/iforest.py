@@ -31,15 +31,20 @@ def mean_path(n: float) -> float:
 def tree_samples(df: DataFrame, cols: list[str], row_id: str, trees: int, size: int, seed: int) -> DataFrame:
     """``size`` rows per tree (fewer if the table is smaller), drawn by hash and without replacement.
 
-    Every tree draws for itself: a row enters a tree with a chance that gives about 2 * size + 50 rows, of which the first ``size`` in hash
-    order stay. One rule for tables of any size.
+    Every tree draws for itself: a row enters a tree with a chance p that gives about 2 * size + 50 rows, of which the first ``size`` in hash
+    order stay. One draw skips to the first tree that a row enters, which for most rows of a large table lies beyond the last; only rows
+    that enter some tree draw for the trees behind it. One rule for tables of any size.
     """
     n = df.count()
     h = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(2**53)) / float(2**53)
     base = df.select(row_id, *[F.col(c).cast("double").alias(c) for c in cols])
     p = min(1.0, (2.0 * size + 50) / max(n, 1))
-    picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: h(row_id, t) < p)
-    drawn = base.withColumn("tree", F.explode(picks))
+    # trees before the first entered one: geometric, by the inverse of its distribution
+    skip = F.lit(0) if p >= 1 else F.least(F.floor(F.log(1 - h(row_id, F.lit(-1))) / math.log(1 - p)), F.lit(trees)).cast("int")
+    entering = base.withColumn("_first", skip).filter(F.col("_first") < trees)
+    behind = F.when(F.col("_first") < trees - 1, F.sequence(F.col("_first") + 1, F.lit(trees - 1))).otherwise(F.array().cast("array<int>"))
+    picks = F.concat(F.array("_first"), F.filter(behind, lambda t: h(row_id, t) < p))
+    drawn = entering.withColumn("tree", F.explode(picks)).drop("_first")
     w = Window.partitionBy("tree").orderBy(F.xxhash64(row_id, "tree", F.lit(seed + 1)), row_id)
     return drawn.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= size).drop("_r")
 

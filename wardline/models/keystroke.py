@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -9,12 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wardline.operators import joins as J
 
 
-def _ranked(df: DataFrame, subject: str, row_id: str, n: int, out: str) -> DataFrame:
-    w = Window.partitionBy(subject).orderBy(row_id)
-    ids = df.select(subject, row_id).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).select(row_id, F.lit(1).alias(out))
-    return df.join(ids, row_id, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0)))
-
-
 def _vector(dims: int, f) -> Column:
     return F.array(*[f(i) for i in range(dims)])
 
@@ -31,9 +27,12 @@ def templates(enrolled: DataFrame, subject: str, vec: str, dims: int) -> DataFra
 
 def attempts(df: DataFrame, subject: str, row_id: str, enrol: int, impostor: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(enrolment rows, genuine test rows, impostor rows): first ``enrol``, the rest, first ``impostor`` per subject."""
-    marked = _ranked(_ranked(df, subject, row_id, enrol, "_enrol"), subject, row_id, impostor, "_imp")
-    clean = lambda d: d.drop("_enrol", "_imp")
-    return clean(marked.filter("_enrol = 1")), clean(marked.filter("_enrol = 0")), clean(marked.filter("_imp = 1"))
+    # one pass numbers the first rows of every subject; the rest have no number
+    w = Window.partitionBy(subject).orderBy(row_id)
+    first = df.select(subject, row_id).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max(enrol, impostor)).select(row_id, "_r")
+    marked = df.join(first, row_id, "left").withColumn("_r", F.coalesce("_r", F.lit(max(enrol, impostor) + 1)))
+    clean = lambda d: d.drop("_r")
+    return clean(marked.filter(F.col("_r") <= enrol)), clean(marked.filter(F.col("_r") > enrol)), clean(marked.filter(F.col("_r") <= impostor))
 
 
 def _trials(df, tpl, subject, row_id, vec, enrol, impostor):
@@ -57,14 +56,25 @@ def mahalanobis(df: DataFrame, subject: str, row_id: str, vec: str, dims: int, e
     """Squared Mahalanobis distance to the subject's enrolment (covariance + 1e-3 I, pseudo-inverse)."""
     enrolled, _, _ = attempts(df, subject, row_id, enrol, impostor)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:  # at most ``enrol`` rows per subject
-        x = np.stack(pdf[vec].to_numpy()).astype(float)
-        cov = np.atleast_2d(np.cov(x, rowvar=False)) if len(x) > 1 else np.zeros((dims, dims))
-        inv = np.linalg.pinv(cov + 1e-3 * np.eye(dims))
-        return pd.DataFrame({subject: [pdf[subject].iloc[0]], "mu": [x.mean(0).tolist()], "inv": [inv.tolist()]})
-
     kind = df.schema[subject].dataType.simpleString()
-    tpl = enrolled.select(subject, vec).groupBy(subject).applyInPandas(fit, f"{subject} {kind}, mu array<double>, inv array<array<double>>")
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Count, sum and sum of products of each subject's rows in a batch: they add up."""
+        for pdf in batches:
+            out = [(s, len(g), x.sum(0).tolist(), (x.T @ x).ravel().tolist()) for s, g in pdf.groupby(subject, dropna=False) for x in [np.stack(g[vec].to_numpy()).astype(float)]]
+            yield pd.DataFrame(out, columns=[subject, "n", "s", "ss"])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:  # one row per task that met the subject
+        n, s, ss = pdf["n"].sum(), np.sum(np.stack(pdf["s"].to_numpy()), axis=0), np.sum(np.stack(pdf["ss"].to_numpy()), axis=0).reshape(dims, dims)
+        cov = (ss - np.outer(s, s) / n) / (n - 1) if n > 1 else np.zeros((dims, dims))
+        full = cov + 1e-3 * np.eye(dims)
+        inv = np.linalg.pinv(full)
+        if not np.allclose(inv @ full, np.eye(dims), atol=1e-6):
+            raise ValueError(f"the covariance of {pdf[subject].iloc[0]!r} cannot be inverted")
+        return pd.DataFrame({subject: [pdf[subject].iloc[0]], "mu": [(s / n).tolist()], "inv": [inv.tolist()]})
+
+    sums = enrolled.select(subject, vec).mapInPandas(moments, f"{subject} {kind}, n long, s array<double>, ss array<double>")
+    tpl = sums.groupBy(subject).applyInPandas(fit, f"{subject} {kind}, mu array<double>, inv array<array<double>>")
     t = _trials(df, tpl, subject, row_id, vec, enrol, impostor)
     t = t.withColumn("_d", F.zip_with(F.col(vec), "mu", lambda x, m: x.cast("double") - m))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)

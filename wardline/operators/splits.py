@@ -12,20 +12,27 @@ FINAL_ROWS = 1_000_000
 
 
 def exact_quantile(df: DataFrame, c: Column, q: float, final_rows: int = FINAL_ROWS) -> float | None:
-    """Exact linear-interpolated quantile without ever sorting the table.
-
-    Each pass is a map-side-combined scan: a mergeable sketch brackets the wanted ranks, and exact counts say in
-    which part they lie. Ties at the bracket ends are settled by counting, the open middle is bracketed again,
-    and only a middle of at most ``final_rows`` rows is ranked row by row.
-    """
+    """Exact linear-interpolated quantile without ever sorting the table (see `at_ranks`)."""
     v = df.select(c.cast("double").alias("v")).filter("v is not null and not isnan(v)")
     size = v.count()
     if size == 0:
         return None
     pos = q * (size - 1)
     k, frac = math.floor(pos), pos - math.floor(pos)
+    found = at_ranks(v, size, [k] if frac == 0 else [k, k + 1], final_rows)
+    low = found[k]
+    return float(low if frac == 0 else low + (found[k + 1] - low) * frac)
+
+
+def at_ranks(v: DataFrame, size: int, ranks: list[int], final_rows: int = FINAL_ROWS) -> dict[int, float]:
+    """The values of column ``v`` (``size`` rows, none null or NaN) at neighbouring 0-based ranks.
+
+    Each pass is a map-side-combined scan: a mergeable sketch brackets the wanted ranks, and exact counts say in
+    which part they lie. Ties at the bracket ends are settled by counting, the open middle is bracketed again,
+    and only a middle of at most ``final_rows`` rows is ranked row by row.
+    """
     found: dict[int, float] = {}
-    todo = [k] if frac == 0 else [k, k + 1]
+    todo = list(ranks)
     cur, below = v, 0
     while todo:
         if size <= final_rows:
@@ -59,23 +66,22 @@ def exact_quantile(df: DataFrame, c: Column, q: float, final_rows: int = FINAL_R
             names = list(parts)
             below += sum(stats[f"{p}_n"] for p in names[:names.index(left)])
             size, cur = stats[f"{left}_n"], cur.filter(parts[left])
-    low = found[k]
-    return float(low if frac == 0 else low + (found[k + 1] - low) * frac)
+    return found
 
 
 def take_by_hash(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
-    """Exactly n rows (all if fewer) in a seeded hash order.
+    """Exactly n rows (all if fewer): those with the smallest seeded draws, ties by row id.
 
-    The hash order is cut by a filter slightly above n first, so the final take sees about n rows in total.
+    The n-th smallest draw is found by rank, without sorting; then one filter takes all rows below it.
     """
-    u = F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(2**53)) / float(2**53)
-    ranked = df.withColumn("_u", u)
+    drawn = df.withColumn("_u", X.digest_fraction(F.col(row_id), seed))
     total = df.count()
-    if total > 4 * n:
-        near = ranked.filter(F.col("_u") < (n + 10 * math.sqrt(n) + 50) / total)
-        if near.count() >= n:
-            ranked = near
-    return ranked.orderBy("_u", row_id).limit(n).drop("_u")
+    if n <= 0 or total <= n:
+        return df.limit(0) if n <= 0 else df
+    cut = at_ranks(drawn.select(F.col("_u").alias("v")), total, [n - 1])[n - 1]
+    below = drawn.filter(F.col("_u") < cut)
+    tied = drawn.filter(F.col("_u") == cut).orderBy(row_id).limit(n - below.count())  # rows of one 52-bit draw
+    return below.unionByName(tied).drop("_u")
 
 
 def login_population(df: DataFrame, mode: str = "success", success="success", takeover="takeover", ts="ts") -> DataFrame:
@@ -122,7 +128,7 @@ def thin_negatives(df: DataFrame, y: str, fraction: float, seed: int, row_id: st
 
 def stratified_sample(df: DataFrame, label: str, p: float, seed: int, row_id: str | None = None) -> DataFrame:
     """Keep every positive and a Bernoulli(p) share of the rest; repeatable when a row id is given."""
-    draw = X.hash_fraction(F.col(row_id), seed) if row_id else F.rand(seed)
+    draw = X.digest_fraction(F.col(row_id), seed) if row_id else F.rand(seed)
     return df.filter(F.coalesce(F.col(label).cast("boolean"), F.lit(False)) | (draw < p))
 
 

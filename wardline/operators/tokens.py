@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.functions import crypto as K, expr as X
+from wardline.session import materialize
 
 ASSERTION = "challenge_id string, identity_id string, method string, result string, issued_at double, nonce string, exp double"
 ATTESTATION = "kind string, device_id string, verdict string, nonce string, issued_at double, exp double"
@@ -48,7 +49,7 @@ def idempotency_status(df: DataFrame, caller: str, key: str, fingerprint: str, t
 def assertion_status(df: DataFrame, key: bytes, now: Column, token: str = "token", identity: str = "identity_id",
                      ts: str = "ts", row_id: str = "row_id") -> DataFrame:
     """Verdict on each step-up assertion, tested in a fixed order; only a fully valid one consumes its nonce."""
-    df = K.open_token(df, token, key, ASSERTION, "_t")
+    opened = K.open_token(df, token, key, ASSERTION, "_t")
     p = lambda n: F.col(f"_t_payload.{n}")
     missing = F.lit(False)
     for n in ("challenge_id", "identity_id", "method", "result", "issued_at", "nonce", "exp"):
@@ -61,10 +62,12 @@ def assertion_status(df: DataFrame, key: bytes, now: Column, token: str = "token
         .when(now > p("exp"), "expired")
         .when(p("issued_at") > now + SKEW, "future")
     )
-    df = df.withColumns({"_reason": reason, "_nonce": p("nonce"), "result": p("result")})
-    df = nonce_status(df, "_nonce", ts, row_id, "_replay", where=F.col("_reason").isNull())
+    # a few short columns per row are written once; the nonces' first uses and the statuses come from them, so no token is verified twice
+    judged = materialize(opened.select(row_id, ts, reason.alias("_reason"), p("nonce").alias("_nonce"), p("result").alias("_result")))
+    judged = nonce_status(judged, "_nonce", ts, row_id, "_replay", where=F.col("_reason").isNull())
     status = F.coalesce(F.col("_reason"), F.when(F.col("_replay") == 1, "replayed").otherwise("accepted"))
-    return df.withColumn("status", status).withColumn("result", F.when(status == "accepted", F.col("result"))).drop("_t_well_formed", "_t_authentic", "_t_payload", "_reason", "_nonce", "_replay")
+    judged = judged.select(row_id, status.alias("status"), F.when(status == "accepted", F.col("_result")).alias("result"))
+    return df.drop("status", "result").join(judged, row_id)
 
 
 def resolve_behavior(df: DataFrame, attest_key: bytes, behavior_key: bytes, now: Column, ts: str = "ts", row_id: str = "event_id") -> DataFrame:
@@ -72,8 +75,7 @@ def resolve_behavior(df: DataFrame, attest_key: bytes, behavior_key: bytes, now:
 
     Each nonce is used up by the first event that passes every other check.
     """
-    df = K.open_token(df, "device_attestation", attest_key, ATTESTATION, "_a")
-    df = K.open_token(df, "behavior_assertion", behavior_key, BEHAVIOR, "_b")
+    opened = K.open_token(K.open_token(df, "device_attestation", attest_key, ATTESTATION, "_a"), "behavior_assertion", behavior_key, BEHAVIOR, "_b")
     a, b = (lambda n: F.col(f"_a_payload.{n}")), (lambda n: F.col(f"_b_payload.{n}"))
     fresh = lambda t: (now <= t("exp")) & (t("issued_at") <= now + SKEW)
     sim = b("similarity").try_cast("double")
@@ -83,8 +85,10 @@ def resolve_behavior(df: DataFrame, attest_key: bytes, behavior_key: bytes, now:
         & (a("device_id") == F.col("device_id")) & (b("device_id") == F.col("device_id")) & (b("identity_id") == F.col("identity_id"))
         & (F.length(a("nonce")) > 0) & (F.length(b("nonce")) > 0) & finite
     )
-    df = df.withColumns({"_ok": F.coalesce(ok, F.lit(False)), "_an": a("nonce"), "_bn": b("nonce"), "_sim": X.clip(sim, 0.0, 1.0)})
-    df = nonce_status(df, "_an", ts, row_id, "_ar", where=F.col("_ok"))
-    df = nonce_status(df, "_bn", ts, row_id, "_br", where=F.col("_ok"))
+    # as in `assertion_status`: both tokens are verified once per row
+    judged = materialize(opened.select(row_id, ts, F.coalesce(ok, F.lit(False)).alias("_ok"), a("nonce").alias("_an"), b("nonce").alias("_bn"),
+                                       X.clip(sim, 0.0, 1.0).alias("_sim")))
+    for nonce, out in (("_an", "_ar"), ("_bn", "_br")):
+        judged = nonce_status(judged, nonce, ts, row_id, out, where=F.col("_ok"))
     used = F.col("_ok") & (F.col("_ar") == 0) & (F.col("_br") == 0)
-    return df.withColumn("similarity", F.when(used, F.col("_sim"))).drop(*[f"_{t}_{n}" for t in "ab" for n in ("well_formed", "authentic", "payload")], "_ok", "_an", "_bn", "_sim", "_ar", "_br")
+    return df.drop("similarity").join(judged.select(row_id, F.when(used, F.col("_sim")).alias("similarity")), row_id)

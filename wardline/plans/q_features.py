@@ -141,7 +141,13 @@ def temporal_split_label(spark, sf):
     return _sides(train, test, "event_id")
 
 
-@query("cap_negatives", "B18,G1")
+_DRAW = "cast('0x' || substr(sha256('42|' || row_id), 1, 13) as bigint) / 4503599627370496.0"
+
+
+@query(
+    "cap_negatives", "B18,G1",
+    f"with {V.SQL_SCORES} select row_id, y from scores where y = 1 union all (select row_id, y from scores where y = 0 order by {_DRAW}, row_id limit 1000)",
+)
 def cap_negatives(spark, sf):
     return S.cap_negatives(V.scores(spark, sf), "y", 1000, 42, "row_id").select("row_id", "y")
 
@@ -157,7 +163,7 @@ def cap_negatives_counts(spark, sf):
     return capped.join(s.groupBy("y").agg(F.count(F.lit(1)).alias("of")), "y")
 
 
-@query("stratified_sample", "A8")
+@query("stratified_sample", "A8", f"with {V.SQL_SCORES} select row_id, y from scores where y = 1 or {_DRAW} < 0.02")
 def stratified_sample(spark, sf):
     return S.stratified_sample(V.scores(spark, sf), "y", 0.02, 42, "row_id").select("row_id", "y")
 

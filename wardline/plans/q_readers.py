@@ -98,6 +98,40 @@ def read_windows(spark, sf):
     return R.read_windows(spark, path, "4.2")
 
 
+def _card_sql(i: int, c: str) -> str:
+    return f"case when o_orderkey % {i + 11} <> 0 then cast((o_orderkey * {i + 3}) % 997 as double) / 4 end as \"{c}\""
+
+
+@query(
+    "read_card_txns", "A2",
+    "select o_orderkey as \"TransactionID\", cast(o_custkey as double) as \"TransactionDT\", cast(o_orderstatus = 'F' as int) as \"isFraud\", "
+    + ", ".join(_card_sql(i, c) for i, c in enumerate(C.CARD_NUM)) + ", "
+    + ", ".join(f"case when o_orderkey % {i + 5} <> 0 then 'v' || (o_orderkey % {i + 2}) end as \"{c}\"" for i, c in enumerate(C.CARD_CAT)) + " from orders",
+)
+def read_card_txns(spark, sf):
+    """All wanted columns of a wider file, with unreadable numbers and empty categories."""
+    o, k = V.table(spark, sf, "orders"), F.col("o_orderkey")
+    num = [F.when(k % (i + 11) != 0, ((k * (i + 3)) % 997 / 4).cast("string")).otherwise("n/a").alias(c) for i, c in enumerate(C.CARD_NUM)]
+    cat = [F.when(k % (i + 5) != 0, F.concat(F.lit("v"), (k % (i + 2)).cast("string"))).alias(c) for i, c in enumerate(C.CARD_CAT)]
+    wide = o.select(F.lit("unused").alias("V1"), *cat, k.alias("TransactionID"), F.col("o_custkey").alias("TransactionDT"), (F.col("o_orderstatus") == "F").cast("int").alias("isFraud"), *num)
+    return R.read_card_txns(spark, _csv(wide, "card"))
+
+
+@query(
+    "read_keystrokes", "A4",
+    """select 's' || (l_suppkey % 20) as subject, cast(l_linenumber as int) as "sessionIndex", cast(l_orderkey % 50 as int) as rep, case when l_orderkey % 9 <> 0 then l_quantity / 100 end as "H_period",
+    cast(l_partkey as double) as "DD_period_t", cast(l_extendedprice as double) as "UD_t_i" from lineitem""",
+)
+def read_keystrokes(spark, sf):
+    """Feature names with dots, and times that cannot be read."""
+    li = V.table(spark, sf, "lineitem")
+    raw = li.select(F.concat(F.lit("s"), F.col("l_suppkey") % 20).alias("subject"), F.col("l_linenumber").alias("sessionIndex"), (F.col("l_orderkey") % 50).alias("rep"),
+                    F.when(F.col("l_orderkey") % 9 != 0, (F.col("l_quantity") / 100).cast("string")).otherwise("?").alias("H.period"),
+                    F.col("l_partkey").alias("DD.period.t"), F.col("l_extendedprice").alias("UD.t.i"))
+    df, names = R.read_keystrokes(spark, _csv(raw, "keystrokes"))
+    return df.select("subject", "sessionIndex", "rep", *names)
+
+
 @query(
     "saved_table", "A6,A7",
     "select o_orderpriority, count(*) as n, round(sum(o_totalprice), 2) as total from orders where o_orderstatus = 'F' group by 1",
