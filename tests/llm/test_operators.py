@@ -42,7 +42,6 @@ def test_chunks_give_the_ids_of_whole_texts():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(vocabulary_path())
-    tok.encode_special_tokens = True
     random.seed(3)
     bits = [" ", "  ", "\n", "\n\n", "\t", " \n", "a", "The", "é", "ß", "漢字", ".", ",", "!!", "'s", "'", "1", "23", "$$$", "\x1c", " ", "😀", "<|endoftext|>", "_", "ñandú", "²", "ª", "ʰ", "\r"]
     texts = ["", " ", "x" * 5000, *("".join(random.choice(bits) for _ in range(random.randint(0, 14))) for _ in range(5000))]
@@ -50,6 +49,20 @@ def test_chunks_give_the_ids_of_whole_texts():
     assert [x.tolist() for x in enc.encode(texts)] == [e.ids + [0] for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_literals_of_added_tokens_have_their_one_id():
+    enc = Encoder()
+    assert [x.tolist() for x in enc.encode(["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> <|endoftext", ""])][:2] == [[64, 50256, 65, 0], [50256, 0]]
+
+
+def test_rows_without_an_id_spread_over_index_shards(spark):
+    rows = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text of all rows").alias("text"))
+    got = packing.pack(rows.repartition(4), window=64, shard_docs=100)
+    assert got.select((F.col("sequence_id") / 2**32).cast("int")).distinct().count() == 10
+    assert got.agg(F.sum("length")).first()[0] == 1000 * len(expected_ids([(None, "one text of all rows")])[0][1])
+    same = packing.pack(rows.select(F.lit(5).cast("long").alias("doc_id"), F.concat("text", F.monotonically_increasing_id().cast("string")).alias("text")), window=64, shard_docs=100)
+    assert same.select((F.col("sequence_id") / 2**32).cast("int")).distinct().count() == 10
+
+
 def expected_ids(rows):
     from tokenizers import Tokenizer
 
@@ -303,7 +316,22 @@ def test_audit_is_not_decided_by_one_large_group(spark):
     linked = neardup_vectors.compare_groups(nodes, spark.createDataFrame([(i, 0) for i in range(60)], "node long, component long"), 0.95)
     assert neardup_vectors.audit(nodes, linked, 0.95, 1000, 1) == 0
     with pytest.raises(RuntimeError, match="recall"):
-        neardup_vectors.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>"), target=1.1, tries=1)
+        neardup_vectors.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01])], "vec_id long, embedding array<double>"), target=1.1, tries=1)
+
+
+def test_audit_that_measures_nothing_is_unknown(spark):
+    """Found pairs among very many nodes without links are drawn all the same; no link at all is no recall of 1."""
+    m = np.random.default_rng(1).standard_normal((4000, 12))
+    m[1] = m[0] + 0.001
+    m[3] = m[2] + 0.001
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, bytearray(v.tobytes()), i, 1) for i, v in enumerate(m)], "node long, u binary, low long, w long")
+    none = spark.createDataFrame([], "node long, linked long, others long")
+    pair = neardup_vectors.compare_groups(nodes, spark.createDataFrame([(0, 0), (1, 0), (2, 2)], "node long, component long"), 0.95)
+    found = neardup_vectors.audit(nodes, pair, 0.95, 200, 1)
+    assert found is not None and found <= 1.0
+    assert neardup_vectors.audit(nodes.where("node > 3"), none, 0.95, 200, 1) is None
+    assert neardup_vectors.audit(nodes.where("node < 4"), none, 0.95, 200, 1) == 0.0
 
 
 def test_groups_of_close_copies_that_link_stay_together(spark):
@@ -449,6 +477,13 @@ def test_exact_overlap_in_blocks(spark, block, size):
     assert {tuple(sorted(e)) for e in got} == {(i, i + 1) for i in range(29)}
 
 
+def test_toxicity_stage_without_evidence_keeps_all(spark, documents):
+    for labels in ([], [(1, 1), (2, 1)], [(1, 0)]):
+        frame = spark.createDataFrame(labels, "doc_id long, toxic int")
+        assert toxicity.civil(documents.limit(20), frame).count() == 20
+    assert {next(iter(come)) for _, come in toxicity.swaps("the one here", (("one", "two", "three", "four", "five", "six"),))} == {"two", "three", "four", "five", "six"}
+
+
 # decontamination
 
 

@@ -9,6 +9,7 @@ nodes, and more tables and rounds follow while it is under target.
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -175,15 +176,19 @@ def compare_groups(nodes: DataFrame, groups: DataFrame, least: float, block: int
     return spread.groupBy("component", "i", "j").applyInArrow(count, "node long, linked long, others long").groupBy("node").agg(F.sum("linked").alias("linked"), F.sum("others").alias("others"))
 
 
-def audit(nodes: DataFrame, linked: DataFrame, least: float, queries: int, seed: int, small: int = 8) -> float:
+def audit(nodes: DataFrame, linked: DataFrame, least: float, queries: int, seed: int, small: int = 8) -> float | None:
     """The share of its own links that a node with links has found, on average, for about `queries` nodes drawn by hash, each compared with every
-    node; the average over nodes with at most `small` links alone, if that is lower. Copies count once, and a large group no more than its nodes."""
-    total = nodes.count()
-    part = min(1.0, queries / max(total, 1))
-    picked = nodes.where(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1_000_000)) < int(part * 1_000_000))
-    rows = picked.join(linked, "node", "left").select("node", "u", F.coalesce("others", F.lit(0)).alias("others")).limit(2 * queries).collect()
-    if not rows:
-        return 1.0
+    node; the average over nodes with at most `small` links alone, if that is lower. Copies count once, and a large group no more than its nodes.
+
+    Nodes with and without found links are drawn apart, half of the queries each, and weighted back, so that many nodes without links do not keep
+    linked ones out of the draw. None where no drawn node has a link: then recall is not known.
+    """
+    known = nodes.join(linked, "node", "left").select("node", "u", F.coalesce("others", F.lit(0)).alias("others"))
+    sizes = {r["f"]: r["n"] for r in known.groupBy((F.col("others") > 0).alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    part = {f: min(1.0, queries / 2 / n) for f, n in sizes.items()}
+    draw = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    picked = known.where(draw < F.when(F.col("others") > 0, F.lit(part.get(True, 0.0))).otherwise(F.lit(part.get(False, 0.0))))
+    rows = picked.limit(2 * queries).collect()
     by_dim: dict[int, list] = {}
     for r in rows:
         by_dim.setdefault(len(r["u"]), []).append(r)
@@ -202,8 +207,13 @@ def audit(nodes: DataFrame, linked: DataFrame, least: float, queries: int, seed:
             yield pa.RecordBatch.from_pydict({"node": ids[n[d] > 0], "n": n[d][n[d] > 0]})
 
     there = {r["node"]: r["n"] for r in nodes.mapInArrow(truth, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()}
-    share = [(there[r["node"]], min(1.0, r["others"] / there[r["node"]])) for r in rows if r["node"] in there]
-    return min((float(np.mean(x)) for x in ([s for _, s in share], [s for n, s in share if n <= small]) if x), default=1.0)
+    share = [(there[r["node"]], min(1.0, r["others"] / there[r["node"]]), 1 / part[r["others"] > 0]) for r in rows if r["node"] in there]
+    return min((float(np.average([s for _, s, _ in x], weights=[w for _, _, w in x])) for x in (share, [s for s in share if s[0] <= small]) if x), default=None)
+
+
+def saturated(lists: DataFrame, k: int, least: float) -> bool:
+    """Whether some node's list is full of links: further ones may have found no room."""
+    return not lists.where(F.col("sim") >= least).groupBy("a").count().where(F.col("count") >= k).isEmpty()
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95, k: int = 12, tables: int = 12, rounds: int = 3, target: float = 0.97, tries: int = 3,
@@ -212,7 +222,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, k: int = 12, tables
     reachable by links) and kept (vec_id = component_id).
 
     Every link is checked in double precision, so none is under `least`; links of a group whose nodes were not found to hang together can be
-    missing, which the audit measures: while recall a node is under `target`, tables and rounds are added, up to `tries` times; then it is an error. Vectors of
+    missing, which the audit measures: while recall a node is under `target`, tables and rounds are added, up to `tries` times; then it is an error. Where
+    the audit meets no link at all, tables are added once; if it still meets none, a warning says that recall is not known. Lists that are full of
+    links are doubled while that joins groups. Vectors of
     different length do not link. Null, empty and zero vectors and those with null or non-finite components link with nothing. Repeated
     vectors and ids are rows of their own. Null ids are never smallest; a null id alone has a null component and is kept.
     """
@@ -235,12 +247,21 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, k: int = 12, tables
             if links <= last * 1.001:
                 break
         groups = stored(components(found.union(lists.where(F.col("sim") >= least).select("a", "b"))), "vector-groups")
+        wide, apart, last = k, groups.select("component").distinct().count(), None
+        while apart != last and saturated(lists, wide, least):
+            # lists twice as long, as long as that joins groups: within a group all links are counted below, whatever the lists hold
+            wide, last = 2 * wide, apart
+            lists = stored(descend(lists, nodes, wide), "lists")
+            groups = stored(components(found.union(lists.where(F.col("sim") >= least).select("a", "b"))), "vector-groups")
+            apart = groups.select("component").distinct().count()
         linked = stored(compare_groups(nodes, groups, least), "linked")
         recall = audit(nodes, linked, least, queries, seed + attempt)
-        if recall >= target:
+        if recall is not None and recall >= target or recall is None and (attempt or tries == 1 or count <= queries / 2):
             break
     else:
         raise RuntimeError(f"recall {recall:.4f} a node is under {target} with {tries * tables} tables")
+    if recall is None and count > queries / 2:
+        warnings.warn(f"no link among the audited nodes of {count}: recall is not known", stacklevel=2)
     comp = nodes.join(groups, "node", "left").join(linked, "node", "left").select(
         "u", "low", (F.coalesce("linked", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "node").alias("c"))
     label = comp.groupBy("c").agg(F.min("low").alias("component_id"))

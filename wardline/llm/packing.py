@@ -103,15 +103,16 @@ def pack(docs: DataFrame, window: int = 1024, shard_bytes: int = 4 << 20, shard_
     """Pack all documents; one row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids_crc32 and ids (uint32 LE).
 
     A document is its token ids and the end id. sequence_id is unique over all shards (index shard x 2^32 + number). Sequences hold
-    `window` ids but for the last of an index shard, which its writer pads unless its length is a power of two. Ids spread documents over
-    index shards, so copies or one source do not gather in one. Null text: the end id alone. Repeated ids and rows are documents of
+    `window` ids but for the last of an index shard, which its writer pads unless its length is a power of two. Ids and texts spread documents over
+    index shards, so copies, one source or one repeated id do not gather in one. Null text: the end id alone. Repeated ids and rows are documents of
     their own. An index shard holds about `shard_bytes` of text and
     `shard_docs` documents. An empty table gives no rows. Other columns are not read.
     """
     rows = texts(docs).withColumn("tie", F.xxhash64("text"))
     total = docs.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")), F.count(F.lit(1))).first()
     shards = max(1, math.ceil((total[0] or 0) / shard_bytes), math.ceil(total[1] / shard_docs))
-    key = F.coalesce(F.xxhash64("doc_id", F.lit(seed)), F.col("tie"))
+    # xxhash64 skips nulls, so rows without an id are dealt by text and place instead: many of one text do not meet in one shard
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("tie", F.monotonically_increasing_id(), F.lit(seed))).otherwise(F.xxhash64("doc_id", "tie", F.lit(seed)))
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()

@@ -52,8 +52,8 @@ class _Known(dict):
 class Encoder:
     """encode(texts) gives per text the ids of the whole text as uint16 (uint32 for vocabularies over 65,536), end id included.
 
-    Ids equal Tokenizer.encode(text, add_special_tokens=False) of the byte-level tokenizer at `path`; strings of special tokens
-    are ordinary text. Empty texts give the end id alone. Up to about twice `max_chunks` recent chunks are remembered.
+    Ids equal Tokenizer.encode(text, add_special_tokens=False) of the byte-level tokenizer at `path`. A text that holds the literal of an
+    added token (such as `<|endoftext|>`, which that call gives its one id) is encoded by that call. Empty texts give the end id alone. Up to about twice `max_chunks` recent chunks are remembered.
     """
 
     def __init__(self, path: str | None = None, end_id: int = END_ID, max_chunks: int = 200_000):
@@ -61,10 +61,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path or vocabulary_path())
-        self.tok.encode_special_tokens = True
+        self.added = [a.content for a in self.tok.get_added_tokens_decoder().values()]
         small = max(self.tok.get_vocab_size(), end_id + 1) <= 65_536
         self.kind, self.code = (np.dtype("<u2"), "H") if small else (np.dtype("<u4"), "I")
-        self.end = np.array([end_id], self.kind).tobytes()
+        self.end_id, self.end = end_id, np.array([end_id], self.kind).tobytes()
         self.alphabet, self.model = _byte_alphabet(), self.tok.model
         self.after_space, self.bare = _Known(self._fresh, " ", max_chunks), _Known(self._fresh, "", max_chunks // 8)
 
@@ -85,6 +85,9 @@ class Encoder:
         out = []
         of = self.after_space.__getitem__
         for t in items:
+            if any(a in t for a in self.added):
+                out.append(np.array([*self.tok.encode(t, add_special_tokens=False).ids, self.end_id], self.kind))
+                continue
             parts = iter(_CUT.split(t) if _ODD.search(t) else t.split(" "))
             out.append(np.frombuffer(b"".join((self.bare[next(parts)], *map(of, parts), self.end)), self.kind))
         return out

@@ -80,13 +80,13 @@ class Toxicity:
         return score(text)
 
 
-def swaps(sentence: str, groups, most: int = 4) -> list[tuple[set[str], set[str]]]:
-    """For each group name in a sentence, the words that go and the words that come when it is swapped for others of its kind."""
+def swaps(sentence: str, groups) -> list[tuple[set[str], set[str]]]:
+    """For each group name in a sentence, the words that go and the words that come when it is swapped for every other of its kind."""
     words, out = distinct_words(sentence), []
     for kind in groups:
         for name in words & set(kind):
             at = kind.index(name)
-            others = [kind[(at + i) % len(kind)] for i in range(1, min(most, len(kind) - 1) + 1)]
+            others = [kind[(at + i) % len(kind)] for i in range(1, len(kind))]
             out += [({name}, {o}) for o in others if o not in words]
     return out
 
@@ -180,6 +180,12 @@ def learn(docs: DataFrame, labels: DataFrame, groups=GROUPS, max_rows: int = 8_0
 
 
 def civil(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose text scores under the threshold."""
+    """The rows of `docs`, with all their columns, whose text scores under the threshold.
+
+    Null and empty texts score like a text without known words; repeated rows stay repeated. Where the labels tell nothing (none at all, or of
+    one kind only, or no word that differs) no document can be called toxic, and all stay.
+    """
     model = learn(docs, labels.select("doc_id", "toxic"))
+    if not model.weights:
+        return docs
     return docs.where(model.column(docs["text"]) < threshold)
