@@ -17,18 +17,18 @@ def _positions(df, key, order, slicing, pos, risk):
 
 
 def risk_ewma(df: DataFrame, key: list[str], order: list[str], position, risk: str = "risk",
-              alpha: float = C.EWMA_ALPHA, hot_rows: int = O.HOT_ROWS, block: int = 8192) -> DataFrame:
+              alpha: float = C.EWMA_ALPHA, hot_rows: int = O.HOT_ROWS, block: int = 8192, slicing: O.Slicing | None = None) -> DataFrame:
     """``ewma`` after and ``ewma_before`` ahead of each row; the first positive risk starts the average.
 
     Inside a block the average is q^j * running sum of (weight * risk * q^-j). Weights fade below 1e-18 after
     ``halo`` rows, so repeating that many rows in front of a block gives the full-history value to double
-    precision and no state has to travel between blocks.
+    precision and no state has to travel between blocks. ``slicing``: a probe of the same keys that was made already.
     """
     q = 1 - alpha
     halo = math.ceil(math.log(1e-18) / math.log(q)) + 1
     if (block + halo) * -math.log(q) > 650:
         raise ValueError("block too long for this alpha")
-    s = O.probe(df, key, position, hot_rows)
+    s = slicing or O.probe(df, key, position, hot_rows)
     df = _positions(df, key, order, s, position, risk)
     always = O.Slicing(tuple(key), s.cuts if s.split else df.limit(0))
     size = max(block, halo + 1)
@@ -53,7 +53,7 @@ def risk_cusum(df: DataFrame, key: list[str], order: list[str], position, risk:
     """
     keys = key + ([segment] if segment else [])
     s = O.probe(df, keys, position, hot_rows)
-    df = risk_ewma(df, key, order, position, risk, hot_rows=hot_rows)
+    df = risk_ewma(df, key, order, position, risk, hot_rows=hot_rows, slicing=None if segment else s)
     base = F.when(F.col("ewma_before") > 0, F.col("ewma_before")).otherwise(F.col(risk))
     df = df.withColumn("_d", F.col(risk) - base - slack)
     cols = [F.col(c) for c in order]

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 HOT_ROWS = 10_000_000
 MAX_SLICES = 4096
+PROBE_BUCKETS = 1 << 16
 _GROUP = 64
 
 
@@ -32,8 +33,15 @@ class Slicing:
 def probe(df: DataFrame, keys: list[str], position: Column, hot_rows: int = HOT_ROWS) -> Slicing:
     """Find hot keys and cut points of ``position`` (numeric, ascending in the processing order).
 
-    At most rows/hot_rows keys and as many cut points can exist, so the collected table is bounded.
+    A first pass counts rows by hash bucket of the key, so tasks send one short row per bucket instead of one per key; a key can only be
+    hot in a bucket that is. Keys are counted in those buckets alone. At most rows/hot_rows keys and as many cut points can exist, so the
+    collected tables are bounded. Operators over the same keys can share one result.
     """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(PROBE_BUCKETS))
+    full = df.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > hot_rows).select("_b").collect()
+    if not full:
+        return Slicing(tuple(keys), None)
+    df = df.join(F.broadcast(df.sparkSession.createDataFrame(full, "_b long")), bucket == F.col("_b"), "left_semi")
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > hot_rows)
     hot = counts.collect()
     if not hot:
