@@ -100,7 +100,7 @@ def stream_dedup(spark: SparkSession, source: str, home: str | None = None, file
         return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
     arrive(spark, source, home, files_per_batch, digest)
     ledger = spark.read.schema(LEDGER).parquet(f"{home}/ledger")
-    state = current(spark, home)
+    state = stored(current(spark, home), "digest-state")  # written, so that its join with a digest that very many rows share can be split
     hits = ledger.join(state.where("n > 1").select("digest"), "digest").select("file", "row", "digest")
     clash = stored(compared(spark, source, hits).groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "digest-clashes")
     if not clash.isEmpty():
