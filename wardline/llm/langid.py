@@ -89,7 +89,8 @@ class Profiles:
         return [self.langs[b] if s else UNKNOWN for b, s in zip(best, some)], np.where(some, np.clip(cos.max(1), 0, 1), 0.0)
 
     def column(self, text: Column) -> Column:
-        """struct(lang_pred, score) of a text column."""
+        """struct(lang_pred, score) of a text column. Texts that are null or hold no letter, and all texts where no language was learned, are
+        `und` with score 0; equal cosines go to the first language in order."""
         model = self
 
         @F.pandas_udf("lang_pred string, score double")

@@ -167,6 +167,8 @@ def learn(docs: DataFrame, ratings: DataFrame, max_rows: int = 4000, dims: int =
 
 
 def good(docs: DataFrame, ratings: DataFrame, keep: float = KEEP) -> DataFrame:
-    """The rows of `docs`, with all their columns, for which P(grade > lowest grade) reaches `keep`."""
+    """The rows of `docs`, with all their columns, for which P(grade > lowest grade) reaches `keep`.
+
+    Null and empty texts are judged like a text without words; repeated rows go or stay together. Without ratings all rows stay."""
     model = learn(docs, ratings)
     return docs.where(model.column(docs["text"])["tail"] >= keep)
