@@ -211,3 +211,20 @@ def test_row_ids_tell_nulls_by_place(spark):
     got = by(df)
     assert len({r[2] for r in got}) == 6
     assert by(df.repartition(5)) == got and by(df.orderBy(F.desc("q")).coalesce(1)) == got
+
+
+def test_busy_days_have_more_chains_and_heads_show_what_is_missing(spark):
+    rows = spark.range(900).select(F.col("id").alias("row_id"), F.concat(F.lit("p"), "id").alias("payload"),
+                                   F.timestamp_seconds(F.lit(1_700_000_000) + F.when(F.col("id") < 800, F.col("id")).otherwise(86_400 * (F.col("id") - 798))).alias("ts"))
+    dealt = A.sharded(rows, per_chain=100)
+    by_day = {r["d"]: r["n"] for r in dealt.groupBy(F.substring("shard", 1, 10).alias("d")).agg(F.count_distinct("shard").alias("n")).collect()}
+    assert sorted(by_day.values()) == [1] * 100 + [8] and dealt.columns == ["row_id", "payload", "ts", "shard"]
+    chain = A.append_chain(dealt, KEY).cache()
+    assert all(r["intact"] for r in A.verify_chain(chain, KEY).collect())
+    heads = A.chain_of_heads(chain, KEY)
+    assert heads.count() == 108 and A.verify_chain(heads, KEY).first()["intact"] == 1
+    end = A.head_checkpoint(heads, KEY).first()["checkpoint"]
+    lost = chain.filter(F.col("shard") != chain.first()["shard"])
+    assert A.head_checkpoint(A.chain_of_heads(lost, KEY), KEY).first()["checkpoint"] != end
+    assert A.head_checkpoint(A.chain_of_heads(chain.repartition(3), KEY), KEY).first()["checkpoint"] == end
+    chain.unpersist()

@@ -20,6 +20,24 @@ def shard_of(day: Column, row_id: Column, buckets: int) -> Column:
     return F.concat_ws("/", day.cast("string"), F.pmod(F.xxhash64(row_id), F.lit(buckets)).cast("string"))
 
 
+def sharded(rows: DataFrame, per_chain: int = 100_000, ts: str = "ts", row_id: str = "row_id") -> DataFrame:
+    """Add ``shard``: every day is dealt to as many chains as its rows need, about ``per_chain`` rows each, so that a busy day has more serial
+    chains and not longer ones."""
+    day = F.to_date(ts)
+    need = rows.groupBy(day.alias("_day")).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / per_chain)).cast("int").alias("_chains"))
+    out = rows.withColumn("_day", day).join(F.broadcast(need), "_day")  # one row per day
+    return out.withColumn("shard", F.concat_ws("/", F.col("_day").cast("string"), F.pmod(F.xxhash64(row_id), F.col("_chains")).cast("string"))).drop("_day", "_chains")
+
+
+def chain_of_heads(chain: DataFrame, key: bytes | None = None, heads: DataFrame | None = None) -> DataFrame:
+    """The second level: one chain, named heads, over the ends of all shards (their length and head hash) in order of their last record's
+    time. Whoever keeps its last hash can tell a shard that was cut, emptied or left out. It has one record per shard."""
+    ends = chain.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max_by("hash", "seq").alias("head_hash"), F.max("ts_us").alias("t"))
+    rows = ends.select(F.lit("heads").alias("shard"), F.timestamp_micros("t").alias("ts"), F.col("shard").alias("row_id"),
+                       F.concat_ws("|", "shard", F.col("n").cast("string"), "head_hash").alias("payload"))
+    return append_chain(rows, key, heads)
+
+
 def event_fingerprint(*fields: str) -> Column:
     """Digest of the canonical JSON of the given fields (leave the idempotency key out)."""
     return K.sha256_hex(X.canonical_json(*fields))

@@ -295,12 +295,14 @@ def raw_events(spark, sf):
 
 
 # ---- audit ----------------------------------------------------------------------
-def chain(spark, sf):
+def chain_rows(spark, sf):
     e = V.table(spark, sf, "events")
     shard = F.concat_ws("/", F.to_date("ts").cast("string"), (F.col("event_id") % 4).cast("string"))
-    rows = e.select(shard.alias("shard"), "ts", F.col("event_id").alias("row_id"),
-                    X.canonical_json("event_id", "event_type", "user_id").alias("payload"))
-    return A.append_chain(rows, KEY)
+    return e.select(shard.alias("shard"), "ts", F.col("event_id").alias("row_id"), X.canonical_json("event_id", "event_type", "user_id").alias("payload"))
+
+
+def chain(spark, sf):
+    return A.append_chain(chain_rows(spark, sf), KEY)
 
 
 _APPEND_SQL = f"""with recursive r as (select cast(ts as date)||'/'||(event_id % 4) as shard, epoch_us(ts) as ts_us,
@@ -317,6 +319,31 @@ def append_chain(spark, sf):
     return chain(spark, sf)
 
 
+@query("append_chain_continued", "M2", _APPEND_SQL)
+def append_chain_continued(spark, sf):
+    """The records after eight o'clock of each day go on from the stored heads of those before."""
+    rows = chain_rows(spark, sf)
+    early = F.hour("ts") < 8
+    first = materialize(A.append_chain(rows.filter(early), KEY))
+    return first.unionByName(A.append_chain(rows.filter(~early), KEY, A.head_checkpoint(first)))
+
+
+_GENESIS_SQL = "lpad('', 64, '0')"
+
+
+@query(
+    "chain_of_heads", "M2,M5",
+    _APPEND_SQL[:_APPEND_SQL.rindex("select *,")] + f""", h as (select shard, count(*) as n, max_by(hash, seq) as head, max(ts_us) as ts_us from c group by 1),
+  o as (select row_number() over (order by ts_us, shard) - 1 as seq, ts_us, shard||'|'||n||'|'||head as payload from h),
+  d as (select seq, ts_us, payload, {_GENESIS_SQL} as prev_hash, sha256(seq||'|'||ts_us||'|'||payload||'|'||{_GENESIS_SQL}) as hash from o where seq = 0
+    union all
+    select o.seq, o.ts_us, o.payload, d.hash, sha256(o.seq||'|'||o.ts_us||'|'||o.payload||'|'||d.hash) from d join o on o.seq = d.seq + 1)
+  select 'heads' as shard, *, {sql_hmac("hash")} as hmac from d""",
+)
+def chain_of_heads(spark, sf):
+    return A.chain_of_heads(chain(spark, sf), KEY)
+
+
 _CHAIN_SQL = """r as (select 'd'||(user_id % 20) as shard, row_number() over (partition by user_id % 20 order by ts, event_id) - 1 as seq,
     epoch_us(ts) as ts_us, '{"event_id":'||event_id||',"event_type":"'||event_type||'"}' as payload, event_id from events),
   h as (select *, sha256(seq||'|'||ts_us||'|'||payload||'|'||lpad('', 64, '0')) as hash from r),
