@@ -40,6 +40,34 @@ def test_payments_job(spark, folder):
     assert out["baseline_lift"].first()["rule_recall"] < 0.6 and out["cost"].filter("recall > 0").count() == 2
     test_rows = sum(1 for x in rows if x[0] > 600)
     assert spark.read.parquet(f"{folder}/out/scores").count() == 2 * test_rows
+    docs = {x["variant"]: x.asDict(recursive=True) for x in spark.read.json(f"{folder}/out/evaluation/document").collect()}
+    assert set(docs) == {"full", "behavioral"}
+    for name, doc in docs.items():
+        assert set(doc) == {"variant", "counts", "threshold_free", "operating_points", "cost", "calibration", "baseline_lift", "bootstrap"}
+        assert doc["counts"]["n_pos"] + doc["counts"]["n_neg"] == test_rows and doc["counts"]["is_probability"]
+        assert doc["threshold_free"]["roc_auc"] == pytest.approx(board[name]["roc_auc"]) and len(doc["operating_points"]) >= 5 and len(doc["bootstrap"]) == 5
+
+
+def test_cards_job_with_a_search(spark, folder):
+    """Tuning on the last fifth of the training time, a map chosen there, one evaluation of the test rows, and stability."""
+    r = random.Random(7)
+    tx = []
+    for i in range(600):
+        y = int(r.random() < 0.3)
+        tx.append([i, y, 1000 + i] + [round(r.random() + 0.7 * y, 3)] + [round(r.random(), 3)] * (len(C.CARD_NUM) - 1) + [r.choice("WC")] * len(C.CARD_CAT))
+    idn = [[i] + [r.random()] * 5 + ["mobile", f"dev{i % 5}", "Android 7", "chrome 6", "New", "F", "N"] for i in range(0, 600, 3)]
+    t = write(folder, "t2.csv", ["TransactionID", "isFraud", "TransactionDT", *C.CARD_NUM, *C.CARD_CAT], tx)
+    d = write(folder, "i2.csv", ["TransactionID", *C.IDENTITY_NUM, *C.IDENTITY_CAT], idn)
+    out = jobs.cards_job(spark, t, d, f"{folder}/out2", reps=20, space={"maxDepth": [2, 3]}, trials=2, maxIter=2)
+    assert out["selection_trials"].count() == 2 and out["selection_verdict"].count() == 1
+    briers = {x["method"]: x for x in out["selection_calibration"].collect()}
+    assert set(briers) == {"none", "isotonic", "logistic"}
+    chosen = [m for m, x in briers.items() if x["chosen"]]
+    assert len(chosen) == 1 and briers[chosen[0]]["brier"] == min(briers[m]["brier"] for m in ("isotonic", "logistic"))
+    assert {x["variant"] for x in out["selection_evaluation"].collect()} == {"old", "tuned"}
+    scored = spark.read.parquet(f"{folder}/out2/selection/scores")
+    assert scored.count() == 120 and scored.filter("calibrated between 0 and 1").count() == 120
+    assert out["seeds"].count() >= 1 and out["leakage"].count() == 3
 
 
 def test_cards_job(spark, folder):

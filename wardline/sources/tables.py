@@ -21,6 +21,17 @@ def write_report(df: DataFrame, path: str, by: list[str]) -> None:
     df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("metrics")).write.mode("overwrite").json(path)
 
 
+def write_document(parts: dict[str, DataFrame], path: str, by: list[str], single: tuple[str, ...] = ()) -> None:
+    """One nested JSON document per key: a section per table, its rows as a list, or the row itself for the tables of ``single``. A key that a
+    table does not know has null there. The tables are reports, with few rows per key."""
+    out = None
+    for name, df in parts.items():
+        row = F.struct(*[c for c in df.columns if c not in by])
+        section = df.groupBy(*by).agg((F.first(row) if name in single else F.sort_array(F.collect_list(row))).alias(name))
+        out = section if out is None else out.join(section, by, "full")
+    out.write.mode("overwrite").json(path)
+
+
 def write_leaderboard(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)  # one row per detector
 
