@@ -33,6 +33,17 @@ def test_forest_ranks_outliers_first_and_repeats(spark, blobs):
     assert risk[0] > risk[1]
 
 
+def test_forest_cuts_between_neighbouring_numbers(spark):
+    lo = 1.0
+    hi = float(np.nextafter(lo, 2))
+    rng = np.random.default_rng(0)
+    assert {IF.draw_cut(rng, lo, hi) for _ in range(200)} == {lo}
+    df = spark.createDataFrame([(i, hi if i % 2 else lo, 0.0) for i in range(64)], "row_id long, x double, z double")
+    nodes = IF.iforest_fit(df, ["x", "z"], "row_id", trees=40, size=16)
+    got = {r["row_id"]: r["score"] for r in IF.iforest_score(df, nodes, ["x", "z"], size=16).collect()}
+    assert len(got) == 64 and all(0 < v < 1 for v in got.values())
+
+
 def test_mean_path_matches_the_formula():
     assert IF.mean_path(1) == 0 and IF.mean_path(2) == 1 and IF.mean_path(256) == pytest.approx(10.2448, abs=1e-3)
 

@@ -28,6 +28,12 @@ def mean_path(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + EULER) - 2.0 * (n - 1.0) / n
 
 
+def draw_cut(rng: np.random.Generator, lo: float, hi: float) -> float:
+    """A cut in [lo, hi). A draw between neighbouring numbers can be rounded up to ``hi``, which would leave no row above it."""
+    cut = float(rng.uniform(lo, hi))
+    return cut if cut < hi else lo
+
+
 def tree_samples(df: DataFrame, cols: list[str], row_id: str, trees: int, size: int, seed: int) -> DataFrame:
     """``size`` rows per tree (fewer if the table is smaller), drawn by hash and without replacement.
 
@@ -67,7 +73,7 @@ def iforest_fit(df: DataFrame, cols: list[str], row_id: str, trees: int = 400, s
                 nodes.append((-1, 0.0, -1, -1, depth + mean_path(len(idx))))
                 continue
             f = int(rng.choice(live))
-            cut = float(rng.uniform(lo[f], hi[f]))
+            cut = draw_cut(rng, float(lo[f]), float(hi[f]))
             below = x[idx, f] <= cut
             nodes.append((f, cut, slots, slots + 1, 0.0))
             slots += 2
