@@ -134,6 +134,19 @@ def test_json_event_stream(spark, folder):
         R.read_event_stream(spark, "nope", {})
 
 
+def test_events_are_parsed_once(spark):
+    ok = {"event_id": 1, "ts": "2024-01-01T00:00:00Z", "identity_id": "u", "event_type": "login", "channel": "api", "device_id": "d", "geo": "IN-GJ", "hour_of_day": 3}
+    texts = [json.dumps(ok), json.dumps(ok | {"amount": None}), json.dumps(ok | {"amount": "much"}), json.dumps(ok | {"amount": {"a": 1}}), json.dumps(ok | {"ts": ""}),
+             json.dumps(ok | {"hour_of_day": None}), json.dumps(ok | {"hour_of_day": 24}), "[1]", "", None, "{}", json.dumps(ok)[:-1] + ', "amount": 1, "amount": "x"}']
+    good, bad = R.validate_events(spark.createDataFrame([(t,) for t in texts], "raw string").withColumn("raw", F.regexp_replace("raw", "IN-GJ", "IN-MH")))
+    for df in (good, bad):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1 and plan.count("regexp_replace(") == 1 and "get_json_object" not in plan
+    assert good.count() == 3
+    want = ["hour_of_day", "malformed", "malformed", "malformed", "missing_field", "missing_field"] + ["wrong_type"] * 3
+    assert sorted(r["problem"] for r in bad.collect()) == want
+
+
 def test_nonce_stream_drops_copies(spark, folder):
     from wardline.operators.tokens import nonce_stream
 

@@ -105,16 +105,18 @@ def validate_events(raw: DataFrame, text: str = "raw") -> tuple[DataFrame, DataF
     """
     names = [f.name for f in C.EVENT]
     allowed = F.array(*[F.lit(n) for n in names])
-    df = raw.withColumns({"_keys": F.json_object_keys(text), "_e": F.from_json(text, C.EVENT, {"mode": "PERMISSIVE"})})
+    typed = [n.name for n in C.EVENT if not isinstance(n.dataType, T.StringType)]
+    # generators, so that the filters below read their columns instead of parsing the text again for every field they look at
+    parsed = F.struct(F.json_object_keys(text).alias("_keys"), F.from_json(text, C.EVENT, {"mode": "PERMISSIVE"}).alias("_e"))
+    df = raw.select("*", F.inline(F.array(parsed))).select("*", F.json_tuple(text, *typed).alias(*[f"_text_{n}" for n in typed]))
     field = lambda n: F.col(f"_e.{n}")
     missing = F.lit(False)
     for n in C.REQUIRED:
         missing = missing | field(n).isNull()
     # a field that is present but has the wrong type parses to null
     mistyped = F.lit(False)
-    for f in C.EVENT:
-        if not isinstance(f.dataType, T.StringType):
-            mistyped = mistyped | (field(f.name).isNull() & F.get_json_object(text, f"$.{f.name}").isNotNull())
+    for n in typed:
+        mistyped = mistyped | (field(n).isNull() & F.col(f"_text_{n}").isNotNull())
     problem = (
         F.when(F.col("_keys").isNull(), "malformed")
         .when(F.size(F.array_except("_keys", allowed)) > 0, "unknown_field")
