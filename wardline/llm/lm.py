@@ -1,7 +1,7 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is a smoothed bigram model over words. Its automaton has a root and one state per frequent word (a word with at least `min_share`
-of all training tokens, so at most 1 / min_share of them). An arc of state v for word w carries log10 P(w | v); where v has no such
+The model is a smoothed bigram model over words. Its automaton has a root and one state per training word (with `min_share`, only per
+word with at least that share of all training tokens). An arc of state v for word w carries log10 P(w | v); where v has no such
 arc, its failure arc, weighted with v's backoff, leads to the root, whose arcs carry the unigram probabilities. After reading w the
 automaton stands in w's state, or in the root if w has none. A text is read once from left to right.
 
@@ -9,19 +9,21 @@ automaton stands in w's state, or in the root if w has none. A text is read once
     P(w | v) = max(c(vw) - d, 0) / c(v) + b(v) P(w)                 c(vw) > 0
              = b(v) P(w)                                            otherwise, b(v) such that all P(. | v) add up to 1
 
-No task holds the whole model. Texts are cut into blocks of bounded size; the distinct words and bigrams of a block are counted over the
-corpus by a shuffle on the word or bigram, and their counts return to the block, whose texts are then read with the part of the automaton that
-they can reach. What all tasks share is the frequent words and their backoff weights, whose number is bounded by min_share.
+No task holds the whole model. Texts are cut into blocks of bounded size. The distinct words and bigrams of a block go, as sorted arrays of
+64-bit names, to ranges of names; a range holds a bounded number of entries, adds up what all blocks sent, and sends each block its sums
+in the block's own order. The arcs that leave a state are added up in the same way. Then a block's texts are read with the part of the
+automaton that they can reach.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from wardline.llm.common import bound_batches, fold_of, stored
 
@@ -36,14 +38,14 @@ class _Numbers(dict):
         return n
 
 
-def squeeze(a: np.ndarray, zip_) -> bytes:
-    """32-bit numbers, byte planes apart, compressed."""
-    return zip_.compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+def squeeze(a: np.ndarray, zip_, kind: str = "<u4") -> bytes:
+    """Whole numbers, byte planes apart, compressed."""
+    return zip_.compress(np.ascontiguousarray(a.astype(kind).view(np.uint8).reshape(-1, int(kind[-1])).T).tobytes())
 
 
-def unsqueeze(data: bytes, unzip) -> np.ndarray:
+def unsqueeze(data: bytes, unzip, kind: str = "<u4") -> np.ndarray:
     raw = np.frombuffer(unzip.decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(raw.reshape(int(kind[-1]), -1).T).view(kind).ravel().astype(np.int64)
 
 
 class Block:
@@ -98,124 +100,179 @@ def blocks(docs: DataFrame, held, block_chars: int) -> DataFrame:
         run, "block long, ids array<long>, held array<boolean>, lens array<int>, tokens binary, h array<long>, n array<int>")
 
 
-def pairs_of(tokens: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bigrams of two frequent words: their distinct names (slot of the first << 32 | slot of the second), the places where they end,
-    and which name stands there. The word before the first of a text is the end of a text."""
-    s = slot[tokens]
-    before = np.append(slot[0], s[:-1]) if len(s) else s
-    at = np.flatnonzero((s >= 0) & (before >= 0))
-    names, which = np.unique((before[at] << 32) | s[at], return_inverse=True)
-    return names, at, which
+SENT = "part int, block long, names binary, values array<binary>"
+SUMS = "part int, block long, sums array<binary>, once binary, total long, kinds long, ones long, twos long"
+
+
+def send(block: int, names: np.ndarray, values: list[np.ndarray], parts: int, zip_) -> pa.RecordBatch:
+    """One row per range of names that a block has entries in; `names` are ascending, unsigned."""
+    edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+    cut = [0, *np.searchsorted(names, edges).tolist(), len(names)]
+    at = [i for i in range(parts) if cut[i] < cut[i + 1]]
+    pack = lambda x, i: squeeze(x[cut[i]:cut[i + 1]], zip_, "<u8")
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([block] * len(at), pa.int64()), pa.array([pack(names, i) for i in at], pa.binary()),
+                                       pa.array([[pack(v, i) for v in values] for i in at], pa.list_(pa.binary()))], names=["part", "block", "names", "values"])
+
+
+def add_up(sent: pa.Table) -> pa.Table:
+    """The sums of a range of names over all blocks, back to each block in its order of names; once marks the first block that has a name.
+    Of the first values: their total and how many names have more than none, one and two, on one row of the range."""
+    import zstandard
+
+    zip_, unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    names = [unsqueeze(x.as_py(), unzip, "<u8") for x in sent.column("names")]
+    values = [[unsqueeze(x, unzip, "<u8") for x in row.as_py()] for row in sent.column("values")]
+    _, first, which = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+    sums = []
+    for v in zip(*values):
+        of = np.zeros(len(first), np.int64)
+        np.add.at(of, which, np.concatenate(v))
+        sums.append(of)
+    once = np.zeros(len(which), bool)
+    once[first] = True
+    ends = np.cumsum([len(x) for x in names])
+    rows = [slice(e - len(x), e) for x, e in zip(names, ends.tolist())]
+    stats = [int(sums[0].sum()), int((sums[0] > 0).sum()), int((sums[0] == 1).sum()), int((sums[0] == 2).sum())]
+    only = [pa.array([x] + [0] * (len(rows) - 1), pa.int64()) for x in stats]
+    return pa.table([sent.column("part"), sent.column("block"), pa.array([[squeeze(x[which[r]], zip_, "<u8") for x in sums] for r in rows], pa.list_(pa.binary())),
+                     pa.array([np.packbits(once[r]).tobytes() for r in rows], pa.binary()), *only], names=[x.split()[0] for x in SUMS.split(", ")])
+
+
+def gather(sums: pa.Table, kind: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """What the ranges of one kind sent to a block, joined in the order of its names: the sums and the marks of first blocks."""
+    import zstandard
+
+    unzip = zstandard.ZstdDecompressor()
+    at = np.flatnonzero(sums.column("kind").to_numpy() == kind)
+    at = at[np.argsort(sums.column("part").to_numpy()[at])].tolist()
+    parts = [[unsqueeze(x, unzip, "<u8") for x in sums.column("sums")[i].as_py()] for i in at]
+    marks = [np.unpackbits(np.frombuffer(sums.column("once")[i].as_py(), np.uint8), count=len(p[0])).astype(bool) for i, p in zip(at, parts)]
+    return [np.concatenate(x) for x in zip(*parts)], np.concatenate(marks) if marks else np.zeros(0, bool)
+
+
+class Reach:
+    """The words and bigrams of one block: tokens and the word before each (a text begins after an end), names of words in their order, counts
+    per word number, and the bigrams of two words with a state: their names, the places where they end, and which name stands there."""
+
+    def __init__(self, block: pa.Table, sums: pa.Table, least: int):
+        import zstandard
+
+        self.tokens = unsqueeze(block.column("tokens")[0].as_py(), zstandard.ZstdDecompressor())
+        self.lens = block.column("lens")[0].values.to_numpy()
+        self.train = np.repeat(~block.column("held")[0].values.to_numpy(zero_copy_only=False), self.lens)
+        self.words = block.column("h")[0].values.to_numpy().view(np.uint64)
+        self.order = np.argsort(self.words)
+        self.count = self.by_word(gather(sums, 0)[0][0])
+        self.state = self.count >= least
+        self.before = np.append(0, self.tokens[:-1])
+        self.at = np.flatnonzero(self.state[self.tokens] & self.state[self.before])
+        x = self.words[self.before[self.at]] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.tokens[self.at]]
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        self.pairs, self.which = np.unique(x ^ (x >> np.uint64(29)), return_inverse=True)
+
+    def by_word(self, sums: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.words), np.int64)
+        out[self.order] = sums
+        return out
+
+    def per_pair(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.pairs), np.int64)
+        out[self.which] = x[self.at]
+        return out
 
 
 class Automaton:
-    """The part of the automaton that one block can reach. root: log10 P(w) per word number; slot: the state of each word number (-1: the
-    root); fail: log10 backoff per state; arcs: log10 P(w | v) per distinct bigram of the block, nan where there is no arc."""
+    """The part of the automaton that one block can reach. root: log10 P(w) per word number; fail: log10 backoff per word number (0: no state); arcs:
+    log10 P(w | v) per distinct bigram of the block, nan where there is no arc."""
 
-    def __init__(self, root: np.ndarray, slot: np.ndarray, fail: np.ndarray, names: np.ndarray, arcs: np.ndarray):
-        self.root, self.slot, self.fail, self.names, self.arcs = root, slot, fail, names, arcs
+    def __init__(self, root: np.ndarray, fail: np.ndarray, arcs: np.ndarray):
+        self.root, self.fail, self.arcs = root, fail, arcs
 
-    def walk(self, tokens: np.ndarray) -> np.ndarray:
+    def walk(self, reach: Reach) -> np.ndarray:
         """log10 probability of each token. The state before a token follows from the token before it alone, so all steps of the walk are
         taken at once."""
-        s = self.slot[tokens]
-        state = np.append(self.slot[0], s[:-1]) if len(s) else s
-        out = self.root[tokens] + np.where(state >= 0, self.fail[state], 0.0)  # along the failure arc to the root
-        at = np.flatnonzero((s >= 0) & (state >= 0))
-        arc = self.arcs[np.searchsorted(self.names, (state[at] << 32) | s[at])]
-        out[at] = np.where(np.isnan(arc), out[at], arc)
+        out = self.root[reach.tokens] + self.fail[reach.before]  # along the failure arc to the root
+        arc = self.arcs[reach.which]
+        out[reach.at] = np.where(np.isnan(arc), out[reach.at], arc)
         return out
 
 
-def score(docs: DataFrame, held=None, min_share: float = 4e-5, block_chars: int = 14_000_000) -> DataFrame:
+def score(docs: DataFrame, held=None, min_share: float = 0.0, block_chars: int = 14_000_000, part_entries: int = 2_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of `docs`; texts with `held` true are not learnt from.
 
     Letters A-Z count as lower case; words are split at ASCII white space, and a text ends with one end token. Null texts are
-    empty: the end token alone. Words are counted by 64-bit hashes. Repeated ids are texts of their own. Without training texts N and V
-    are 0 and all words are unknown. Other columns are not read.
+    empty: the end token alone. Words and bigrams are counted by 64-bit hashes. Repeated ids are texts of their own. Without training texts N and V
+    are 0 and all words are unknown. Every word of the training texts has a state, unless `min_share` asks for more of it; a range of names
+    holds about `part_entries` entries. Other columns are not read.
     """
     held = fold_of("doc_id", 10) == 0 if held is None else held
-    spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(docs.sparkSession)
     cut = stored(blocks(docs, held, block_chars), "lm-blocks")
-    over = W.partitionBy("h")
-    words = (cut.select("block", F.posexplode(F.arrays_zip("h", "n")).alias("i", "w")).select("block", "i", F.col("w.h").alias("h"), F.col("w.n").alias("n"))
-             .select("block", "i", "h", F.sum("n").over(over).alias("c"), (F.col("block") == F.min("block").over(over)).alias("once")))
-    words = stored(words, "lm-words")
-    total = words.where("once").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    n, v = total["n"] or 0, total["v"] or 0
-    least = max(1, int(np.ceil(min_share * n)))
-    frequent = sorted((r["h"], r["c"]) for r in words.where(F.col("once") & (F.col("c") >= least)).select("h", "c").collect())
-    shared = spark.sparkContext.broadcast((np.array([h for h, _ in frequent], np.int64), np.array([c for _, c in frequent], np.float64)))
-
-    def slots(h: np.ndarray) -> np.ndarray:
-        known = shared.value[0]
-        if not len(known):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        return np.where(known[at] == h, at, -1)
+    size = cut.agg(F.sum(F.size("h")), F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()
+    word_parts, pair_parts = (max(1, -(-(x or 0) // part_entries)) for x in size)
 
-    def bigrams(batches):
+    def words_of(batches):
         import zstandard
 
-        unzip = zstandard.ZstdDecompressor()
+        zip_ = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            for r in range(b.num_rows):
-                tokens = unsqueeze(b.column("tokens")[r].as_py(), unzip)
-                train = np.repeat(~b.column("held")[r].values.to_numpy(zero_copy_only=False), b.column("lens")[r].values.to_numpy())
-                names, at, which = pairs_of(tokens, slots(b.column("h")[r].values.to_numpy()))
-                count = np.bincount(which[train[at]], minlength=len(names))
-                block = b.column("block")[r].as_py()
-                for lo in range(0, len(names), 100_000):
-                    k = names[lo:lo + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(np.arange(lo, lo + len(k), dtype=np.int32)), pa.array(k),
-                                                      pa.array(count[lo:lo + len(k)].astype(np.int32))], names=["block", "i", "h", "n"])
-
-    pairs = (cut.select("block", "held", "lens", "tokens", "h").mapInArrow(bigrams, "block long, i int, h long, n int")
-             .select("block", "i", "h", F.sum("n").over(over).alias("c"), (F.col("block") == F.min("block").over(over)).alias("once")))
-    pairs = stored(pairs, "lm-pairs")
-    seen = pairs.where("once and c > 0")
-    ones = seen.agg(F.count_if(F.col("c") == 1).alias("a"), F.count_if(F.col("c") == 2).alias("b")).first()
-    d = min(0.9, max(0.1, ones["a"] / (ones["a"] + 2 * ones["b"]))) if ones["a"] else 0.5
-    fail = np.zeros(len(frequent))
-    of = np.array([c for _, c in frequent], np.float64)
-    for r in seen.groupBy(F.shiftright("h", 32).alias("v")).agg(F.sum(F.col("c") - d).alias("s")).collect():  # a row per frequent word
-        fail[r["v"]] = r["s"]
-    fail = np.log10(np.maximum(1 - fail / np.maximum(of, 1), 1e-12))
-    backoff = spark.sparkContext.broadcast(fail)
-    below = n + 0.1 * (v + 1)
+            for block, h, n in zip(b.column("block").to_pylist(), b.column("h"), b.column("n")):
+                names = h.values.to_numpy().view(np.uint64)
+                order = np.argsort(names)
+                yield send(block, names[order], [n.values.to_numpy()[order]], word_parts, zip_)
+
+    def summed(sent: DataFrame, name: str) -> DataFrame:
+        return stored(sent.groupBy("part").applyInArrow(add_up, SUMS), name)
 
-    def read(block: pa.Table, counts: pa.Table) -> pa.Table:
+    def with_sums(fn, schema: str, *sums: DataFrame) -> DataFrame:
+        back = reduce(DataFrame.union, [x.select("block", F.lit(i).alias("kind"), "part", "sums", "once") for i, x in enumerate(sums)])
+        return cut.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(fn, schema)
+
+    words = summed(cut.select("block", "h", "n").mapInArrow(words_of, SENT), "lm-words")
+    total = words.agg(F.sum("total"), F.sum("kinds")).first()
+    n, v = total[0] or 0, total[1] or 0
+    least = max(1, int(np.ceil(min_share * n)))
+
+    def pairs_of(block: pa.Table, sums: pa.Table) -> pa.Table:
         import zstandard
 
-        tokens = unsqueeze(block.column("tokens")[0].as_py(), zstandard.ZstdDecompressor())
-        kind, i, c = (counts.column(x).to_numpy() for x in ("kind", "i", "c"))
-        slot_rows = counts.column("h").to_numpy()
-        uni, two = kind == 0, kind == 1
-        count = np.zeros(int(i[uni].max(initial=0)) + 1)
-        count[i[uni]] = c[uni]
-        hashes = np.zeros(len(count), np.int64)
-        hashes[i[uni]] = slot_rows[uni]
-        slot = slots(hashes)
-        root = np.log10((count + 0.1) / below)
-        names, _, _ = pairs_of(tokens, slot)
-        c2 = np.zeros(len(names))
-        c2[i[two]] = c[two]
-        with np.errstate(divide="ignore"):
-            first, second = names >> 32, names & 0xFFFFFFFF
-            by_slot = np.zeros(len(shared.value[0]))
-            known = slot >= 0
-            by_slot[slot[known]] = 10 ** root[known]
-            arcs = np.where(c2 > 0, np.log10(np.maximum(c2 - d, 0) / shared.value[1][first] + 10 ** backoff.value[first] * by_slot[second]), np.nan) if len(names) else c2
-        auto = Automaton(root, slot, np.append(backoff.value, 0.0), names, arcs)
-        lens = block.column("lens")[0].values.to_numpy()
-        begin = np.cumsum(lens) - lens
+        r = Reach(block, sums, least)
+        count = np.bincount(r.which[r.train[r.at]], minlength=len(r.pairs))
+        return pa.Table.from_batches([send(block.column("block")[0].as_py(), r.pairs, [count], pair_parts, zstandard.ZstdCompressor(level=1))])
+
+    pairs = summed(with_sums(pairs_of, SENT, words), "lm-pairs")
+    seen = pairs.agg(F.sum("ones"), F.sum("twos")).first()
+    d = min(0.9, max(0.1, seen[0] / (seen[0] + 2 * seen[1]))) if seen[0] else 0.5
+
+    def arcs_of(block: pa.Table, sums: pa.Table) -> pa.Table:
+        """Per word how many arcs leave its state and the sum of their counts; an arc is told by the first block that has it."""
+        import zstandard
+
+        r = Reach(block, sums, least)
+        (c2,), once = gather(sums, 1) if len(r.pairs) else ([np.zeros(0, np.int64)], np.zeros(0, bool))
+        mine = once & (c2 > 0)
+        first = r.per_pair(r.before)[mine]
+        arcs = np.bincount(first, minlength=len(r.words))[r.order]
+        counts = np.bincount(first, c2[mine], len(r.words)).astype(np.int64)[r.order]
+        return pa.Table.from_batches([send(block.column("block")[0].as_py(), r.words[r.order], [counts, arcs], word_parts, zstandard.ZstdCompressor(level=1))])
+
+    arcs = summed(with_sums(arcs_of, SENT, words, pairs), "lm-arcs")
+    below = n + 0.1 * (v + 1)
+
+    def read(block: pa.Table, sums: pa.Table) -> pa.Table:
+        r = Reach(block, sums, least)
+        c2 = gather(sums, 1)[0][0] if len(r.pairs) else np.zeros(0, np.int64)
+        leaving = [r.by_word(x) for x in gather(sums, 2)[0]]
+        of = np.maximum(r.count, 1).astype(np.float64)
+        fail = np.where(r.state, np.log10(np.maximum(1 - (leaving[0] - d * leaving[1]) / of, 1e-12)), 0.0)
+        root = np.log10((r.count + 0.1) / below)
+        first, second = r.per_pair(r.before), r.per_pair(r.tokens)
+        found = np.log10(np.maximum(c2 - d, 0) / of[first] + 10 ** (fail[first] + root[second]))
+        auto = Automaton(root, fail, np.where(c2 > 0, found, np.nan))
+        begin = np.cumsum(r.lens) - r.lens
         add = lambda x: np.add.reduceat(x, begin)
-        return pa.table({"doc_id": block.column("ids")[0].values, "held_out": block.column("held")[0].values, "n_tokens": lens.astype(np.int64),
-                         "n_known": add((count[tokens] > 0).astype(np.int64)), "train_tokens": np.full(len(lens), n),
-                         "base_score": add(root[tokens]), "score": add(auto.walk(tokens))})
-
-    back = words.select("block", F.lit(0).alias("kind"), "i", "c", F.when(F.col("c") >= least, F.col("h")).otherwise(0).alias("h")).union(
-        pairs.select("block", F.lit(1), "i", "c", F.lit(0)))
-    return (cut.select("block", "ids", "held", "lens", "tokens").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
-        read, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+        return pa.table({"doc_id": block.column("ids")[0].values, "held_out": block.column("held")[0].values, "n_tokens": r.lens.astype(np.int64),
+                         "n_known": add((r.count[r.tokens] > 0).astype(np.int64)), "train_tokens": np.full(len(r.lens), n),
+                         "base_score": add(root[r.tokens]), "score": add(auto.walk(r))})
+
+    return with_sums(read, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", words, pairs, arcs)
