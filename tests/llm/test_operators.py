@@ -261,6 +261,20 @@ def test_automaton_equals_the_plain_model(documents):
         assert got[i][:4] == want[i][:4] and np.allclose(got[i][4:], want[i][4:], rtol=1e-9)
 
 
+def test_every_training_word_has_a_state(documents):
+    docs = documents.limit(60)
+    rows = [(r["doc_id"], zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0, r["text"]) for r in docs.select("doc_id", "text").collect()]
+    want = brute_lm(rows, 0)
+    got = {r["doc_id"]: tuple(r)[1:] for r in lm.score(docs, block_chars=20_000, part_entries=3_000).collect()}
+    assert got.keys() == want.keys()
+    for i in want:
+        assert got[i][:4] == want[i][:4] and np.allclose(got[i][4:], want[i][4:], rtol=1e-9)
+    # a word of a large corpus that occurs twice still has a state: the word after it is expected
+    rows = [(i, " ".join(["the of and to in"] * 200)) for i in range(400)] + [(1000, "quokka nibbles"), (1001, "quokka nibbles"), (1002, "quokka the"), (1003, "quokka nibbles")]
+    got = {r["doc_id"]: r for r in lm.score(documents.sparkSession.createDataFrame(rows, "doc_id long, text string"), held=F.col("doc_id") >= 1002).collect()}
+    assert got[1003]["score"] > got[1003]["base_score"] + 4
+
+
 def test_lm_of_awkward_tables(messy, none):
     got = lm.score(messy).collect()
     assert len(got) == len(MESSY)
@@ -443,6 +457,14 @@ def test_simhash_of_awkward_tables(messy, none):
     assert simhash.one_of_each(none).count() == 0
 
 
+def test_fingerprint_bytes_alone_find_candidates(spark):
+    r = random.Random(3)
+    long = [" ".join(f"w{r.randrange(5000)}" for _ in range(300)) for _ in range(4)]
+    rows = [(i, t) for i, t in enumerate(long)] + [(10 + i, t + " end") for i, t in enumerate(long)]
+    got = simhash.overlap_groups(spark.createDataFrame(rows, "doc_id long, text string"), bands=0).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i % 10 for i, _ in rows}
+
+
 def test_stage_keeps_one_of_each_at_exact_overlap(spark):
     """Pairs just over and just under 0.8, and texts that share only a long run of one token."""
     rng = random.Random(6)

@@ -290,19 +290,21 @@ def verified(docs: DataFrame, members: DataFrame, k: int, least: float, block: i
     return met.groupBy("component", "i", "j").applyInPandas(forest, "a long, b long")
 
 
-def overlap_groups(docs: DataFrame, k: int = 5, least: float = 0.8, words: int = 3, bits: int = 60, bands: int = 24, rows: int = 4) -> DataFrame:
+def overlap_groups(docs: DataFrame, k: int = 5, least: float = 0.8, words: int = 3, bits: int = 60, bands: int = 24, rows: int = 4, shared: int = 3) -> DataFrame:
     """One row per row of `docs`: doc_id, component_id: the smallest doc_id reachable through texts whose sets of k-word shingles overlap
     by `least` (Jaccard) or more, the document itself included.
 
-    Fingerprints and the index only choose candidates: documents that share a band of smallest hashes and differ in at most `bits` of 64 * words bits
-    hang together, and within each group of such candidates all sets are compared exactly. (Two texts at 0.8 agree in two of eight fingerprint
-    bytes only; lists by so few bytes would grow with the square of the corpus, so bytes are no keys here.) Documents of equal sets are one node. Null and wordless texts have
+    The fingerprints and their index of byte positions choose candidates: documents that share `shared` positional bytes, those of a key in
+    the first word among them, and differ in at most `bits` of 64 * words bits hang together. (Two texts at 0.8 agree in two of eight fingerprint
+    bytes only, and lists by so few bytes would grow with the square of the corpus; so documents that share a band of smallest hashes are held to
+    the same `bits` as well.) Within each group of such candidates all sets are compared exactly. Documents of equal sets are one node. Null and wordless texts have
     the empty set and link with each other. Null ids are never smallest; a group of null ids only has a null component.
     """
     docs = texts(docs)
     own = stored(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), describe(F.col("text"), k, words, bands, rows).alias("x")).select("doc_id", "text_hash", "x.*"), "sets")
     groups = stored(own.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("f").alias("f"), F.first("more").alias("more")), "set-nodes")
-    near = stored(components(links(groups.select("node", "f", "more"), words, bits, 0, indexed=0)), "candidates")
+    by_bytes = links(groups.select("node", "f"), words, bits, shared, shared, indexed=1)
+    near = stored(components(by_bytes.union(links(groups.select("node", "f", "more"), words, bits, 0, indexed=0))), "candidates")
     members = stored(near.join(groups.select("node", "n", "text_hash"), "node"), "members")
     comp = components(verified(docs, members, k, least))
     return own.select("doc_id", "node").join(lowest(groups, comp), "node").select("doc_id", "component_id")
