@@ -119,6 +119,21 @@ def test_grouped_folds_and_calibration(spark, labelled):
     assert apply(oof).filter("calibrated < -1e-9 or calibrated > 1.000000001").count() == 0
 
 
+def test_fits_share_encoding_and_one_order(spark, labelled, monkeypatch):
+    train, test = SV.hash_split(labelled, "row_id", 0.7)
+    calls = []
+    for name in ("encoders", "hash_ranks"):
+        monkeypatch.setattr(SV, name, lambda *a, _f=getattr(SV, name), _n=name, **k: calls.append(_n) or _f(*a, **k))
+    swept = {r["metric"]: r["mean"] for r in SV.seed_sweep(train, test, COLS, "y", [1, 2], maxIter=2).collect()}
+    assert calls == ["encoders"]
+    alone = [SV.ranking(SV.score(SV.fit(train, COLS, "y", "gbt", s, subsamplingRate=0.8, maxIter=2), test, COLS), "y").first() for s in (1, 2)]
+    assert swept["pr_auc"] == pytest.approx(np.mean([r["pr_auc"] for r in alone]), abs=0.02)
+    model = SV.fit(train, COLS, "y", maxIter=2)
+    calls.clear()
+    SV.permutation_importance(model, test, COLS, "y", "row_id", repeats=1).collect()
+    assert calls.count("hash_ranks") == 1 + len(COLS)
+
+
 def test_seed_sweep_and_verdicts(spark, labelled):
     train, test = SV.hash_split(labelled, "row_id", 0.7)
     s = SV.seed_sweep(train, test, COLS, "y", [1, 2], maxIter=2)

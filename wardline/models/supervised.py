@@ -38,11 +38,16 @@ def balanced(df: DataFrame, y: str) -> DataFrame:
     return df.withColumn("_weight", F.coalesce(F.try_divide(F.lit(0.5), share), F.lit(1.0)))
 
 
-def features(num: list[str], text: list[str], linear: bool = False) -> list:
+def encoders(num: list[str], text: list[str]) -> list:
+    """Stages that treat every column by itself, so that fits on some of the columns can share them."""
     stages = [Imputer(inputCols=num, outputCols=[f"{c}_imp" for c in num], strategy="median")] if num else []
+    return stages + ([StringIndexer(inputCols=text, outputCols=[f"{c}_idx" for c in text], handleInvalid="keep")] if text else [])
+
+
+def assembly(num: list[str], text: list[str], linear: bool = False) -> list:
+    stages = []
     inputs = [f"{c}_imp" for c in num] + [f"{c}_null" for c in num]
     if text:
-        stages.append(StringIndexer(inputCols=text, outputCols=[f"{c}_idx" for c in text], handleInvalid="keep"))
         if linear:
             stages.append(OneHotEncoder(inputCols=[f"{c}_idx" for c in text], outputCols=[f"{c}_hot" for c in text], handleInvalid="keep"))
         inputs += [f"{c}_hot" if linear else f"{c}_idx" for c in text]
@@ -69,7 +74,7 @@ def fit(train: DataFrame, cols: list[str], y: str, family: str = "gbt", seed: in
     num, text = split_types(train, cols)
     df = with_null_flags(train, num)
     df = balanced(df, y) if balance else df.withColumn("_weight", F.lit(1.0))
-    return Pipeline(stages=[*features(num, text, family == "logistic"), estimator(family, y, seed, **params)]).fit(df)
+    return Pipeline(stages=[*encoders(num, text), *assembly(num, text, family == "logistic"), estimator(family, y, seed, **params)]).fit(df)
 
 
 def score(model, df: DataFrame, cols: list[str], out: str = "score") -> DataFrame:
@@ -80,6 +85,25 @@ def score(model, df: DataFrame, cols: list[str], out: str = "score") -> DataFram
     return model.transform(flagged).select(*keep, p)
 
 
+def encoded(train: DataFrame, test: DataFrame, cols: list[str], y: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables with the columns encoded as ``fit`` does it, written once for several fits."""
+    num, text = split_types(train, cols)
+    flagged = with_null_flags(train, num)
+    model = Pipeline(stages=encoders(num, text)).fit(flagged)
+    made = [f"{c}{end}" for c in num for end in ("_imp", "_null")] + [f"{c}_idx" for c in text]
+    done = [materialize(model.transform(df).select(y, *made)) for df in (flagged, with_null_flags(test, num))]
+    return done[0], done[1]
+
+
+def fit_rank(train: DataFrame, test: DataFrame, types: tuple[list[str], list[str]], y: str, family: str = "gbt", seed: int = 42, balance: bool = False, **params) -> DataFrame:
+    """Ranking metrics on ``test`` of a model of ``train``, both encoded; ``types`` are the numbers and texts it reads."""
+    checkpoint_dir(train.sparkSession)
+    df = balanced(train, y) if balance else train.withColumn("_weight", F.lit(1.0))
+    model = Pipeline(stages=[*assembly(*types, family == "logistic"), estimator(family, y, seed, **params)]).fit(df)
+    p = vector_to_array(F.col("probability"))[1].alias("score")
+    return ranking(model.transform(test.withColumn("_weight", F.lit(1.0))).select(y, p), y)
+
+
 def gbt_fit_score(train: DataFrame, test: DataFrame, arms: dict[str, list[str]], y: str, seed: int = 42, **params) -> DataFrame:
     """Test rows with one score column per arm (an arm is a named feature set, for ablations)."""
     out = test
@@ -89,8 +113,8 @@ def gbt_fit_score(train: DataFrame, test: DataFrame, arms: dict[str, list[str]],
 
 
 def ranking(scored: DataFrame, y: str, column: str = "score") -> DataFrame:
-    """Ranking metrics of one score column."""
-    s = scored.select(F.lit("m").alias("variant"), F.col(y).cast("int").alias("y"), F.col(column).alias("score"))
+    """Ranking metrics of one score column. The scores are written first: the curve reads them several times."""
+    s = materialize(scored.select(F.lit("m").alias("variant"), F.col(y).cast("int").alias("y"), F.col(column).alias("score")))
     return M.threshold_free(M.roc_curve(s, ["variant"]), ["variant"])
 
 
@@ -107,12 +131,12 @@ def side_by_side(one: Callable, items, parallelism: int = 4) -> list:
 # ---- comparison -----------------------------------------------------------------
 def bake_off(train: DataFrame, val: DataFrame, cols: list[str], y: str, families: dict[str, dict], seed: int = 42) -> DataFrame:
     """Validation metrics per family (incumbent against alternatives), best AP first."""
-    train, val = materialize(train), materialize(val)
+    types = split_types(train, cols)
+    train, val = encoded(materialize(train), val, cols, y)
 
     def one(item):
         name, p = item
-        m = fit(train, cols, y, p.get("family", name), seed, balance=p.get("balance", False), **p.get("params", {}))
-        return ranking(score(m, val, cols), y).withColumn("family", F.lit(name))
+        return fit_rank(train, val, types, y, p.get("family", name), seed, p.get("balance", False), **p.get("params", {})).withColumn("family", F.lit(name))
 
     parts = side_by_side(one, families.items())
     return M.rank_by(reduce(DataFrame.unionByName, parts), "pr_auc", ["family"]).select("family", "pr_auc", "roc_auc", "ks", "rank")
@@ -121,11 +145,12 @@ def bake_off(train: DataFrame, val: DataFrame, cols: list[str], y: str, families
 def search(train: DataFrame, val: DataFrame, cols: list[str], y: str, space: dict[str, list], n: int, seed: int = 42, family: str = "gbt") -> DataFrame:
     """Trial table of a seeded random search with validation AP as the objective."""
     rng = random.Random(seed)
-    train, val = materialize(train), materialize(val)
+    types = split_types(train, cols)
+    train, val = encoded(materialize(train), val, cols, y)
     trials = [(trial, {k: rng.choice(v) for k, v in sorted(space.items())}) for trial in range(n)]
 
     def one(item):
-        r = ranking(score(fit(train, cols, y, family, seed, **item[1]), val, cols), y).first()
+        r = fit_rank(train, val, types, y, family, seed, **item[1]).first()
         return item[0], str(sorted(item[1].items())), float(r["pr_auc"]), float(r["roc_auc"])
 
     rows = side_by_side(one, trials)
@@ -135,19 +160,20 @@ def search(train: DataFrame, val: DataFrame, cols: list[str], y: str, space: dic
 
 def seed_sweep(train: DataFrame, test: DataFrame, cols: list[str], y: str, seeds: list[int], **params) -> DataFrame:
     """Metric spread over seeds: mean, population std, min and max."""
-    train, test = materialize(train), materialize(test)
+    types = split_types(train, cols)
+    train, test = encoded(materialize(train), test, cols, y)
 
     def one(s):
-        r = ranking(score(fit(train, cols, y, "gbt", s, subsamplingRate=0.8, **params), test, cols), y).first()
+        r = fit_rank(train, test, types, y, "gbt", s, subsamplingRate=0.8, **params).first()
         return [(s, k, float(r[k])) for k in ("pr_auc", "roc_auc")]
 
     rows = [x for part in side_by_side(one, seeds) for x in part]
     return M.seed_summary(_metrics(train.sparkSession, rows, "seed int, metric string, value double"), ["metric"])
 
 
-def hash_ranks(df: DataFrame, row_id: str, salt: int, name: str, bucket_rows: int = 100_000) -> DataFrame:
+def hash_ranks(df: DataFrame, row_id: str, salt: int, name: str, bucket_rows: int = 100_000, n: int | None = None) -> DataFrame:
     """Number all rows 1 .. n in a seeded hash order: a rank within hash buckets of bounded size, and the rows in the buckets before."""
-    n = df.count()
+    n = df.count() if n is None else n
     span = -(-(2**53) // max(1, -(-n // bucket_rows)))
     h = F.pmod(F.xxhash64(row_id, F.lit(salt)), F.lit(2**53))
     df = df.withColumn("_h", h).withColumn("_b", F.floor(F.col("_h") / span))
@@ -160,27 +186,32 @@ def hash_ranks(df: DataFrame, row_id: str, salt: int, name: str, bucket_rows: in
 def permutation_importance(model, df: DataFrame, cols: list[str], y: str, row_id: str, repeats: int = 3, seed: int = 42) -> DataFrame:
     """AP lost when one column is shuffled over all rows, averaged over repeats."""
     base = materialize(df.select(row_id, y, *cols))
+    n = base.count()
     full = float(ranking(score(model, base, cols), y).first()["pr_auc"])
-    rows = []
-    for i, c in enumerate(cols):
-        for r in range(repeats):
-            left = hash_ranks(base.drop(c), row_id, seed, "_k")
-            right = hash_ranks(base.select(row_id, c), row_id, seed + 1 + i * repeats + r, "_k").drop(row_id)
-            ap = float(ranking(score(model, left.join(right, "_k").drop("_k"), cols), y).first()["pr_auc"])
-            rows.append((c, full - ap))
+    left = materialize(hash_ranks(base, row_id, seed, "_k", n=n))  # one order for all rounds
+
+    def one(item):
+        i, r = item
+        right = hash_ranks(base.select(row_id, cols[i]), row_id, seed + 1 + i * repeats + r, "_k", n=n).drop(row_id)
+        ap = float(ranking(score(model, left.drop(cols[i]).join(right, "_k").drop("_k"), cols), y).first()["pr_auc"])
+        return cols[i], full - ap
+
+    rows = side_by_side(one, [(i, r) for i in range(len(cols)) for r in range(repeats)])
     imp = _metrics(df.sparkSession, rows, "feature string, drop double").groupBy("feature").agg(F.avg("drop").alias("importance"))
     return M.importance_rank(imp, "importance")
 
 
 def leakage_audit(train: DataFrame, test: DataFrame, cols: list[str], y: str, suspects: list[str], seed: int = 42, **params) -> DataFrame:
     """Metrics with all features, without the one most correlated with the label, and without documented suspects."""
-    num, _ = split_types(train, cols)
+    train = materialize(train)
+    num, text = split_types(train, cols)
     top = M.label_correlation(train, num, y).orderBy(F.desc(F.abs("r")), "feature").first()["feature"]
     arms = {"all": cols, f"without_{top}": [c for c in cols if c != top], "without_suspects": [c for c in cols if c not in suspects]}
-    train, test = materialize(train), materialize(test)
+    train, test = encoded(train, test, cols, y)
 
     def one(arm):
-        m = ranking(score(fit(train, arm[1], y, "gbt", seed, **params), test, arm[1]), y)
+        types = [c for c in arm[1] if c in num], [c for c in arm[1] if c in text]
+        m = fit_rank(train, test, types, y, "gbt", seed, **params)
         return m.select(F.lit(arm[0]).alias("arm"), "pr_auc", "roc_auc")
 
     parts = side_by_side(one, arms.items())
