@@ -152,9 +152,10 @@ def gather(sums: pa.Table, kind: int) -> tuple[list[np.ndarray], np.ndarray]:
 
 class Reach:
     """The words and bigrams of one block: tokens and the word before each (a text begins after an end), names of words in their order, counts
-    per word number, and the bigrams of two words with a state: their names, the places where they end, and which name stands there."""
+    per word number, and the bigrams of two words with a state: their names, the places where they end, and which name stands there. Where one
+    occurrence makes a state, all bigrams are named, so that no counts of words are needed (`sums` may be left out)."""
 
-    def __init__(self, block: pa.Table, sums: pa.Table, least: int):
+    def __init__(self, block: pa.Table, sums: pa.Table | None, least: int):
         import zstandard
 
         self.tokens = unsqueeze(block.column("tokens")[0].as_py(), zstandard.ZstdDecompressor())
@@ -162,10 +163,11 @@ class Reach:
         self.train = np.repeat(~block.column("held")[0].values.to_numpy(zero_copy_only=False), self.lens)
         self.words = block.column("h")[0].values.to_numpy().view(np.uint64)
         self.order = np.argsort(self.words)
-        self.count = self.by_word(gather(sums, 0)[0][0])
-        self.state = self.count >= least
         self.before = np.append(0, self.tokens[:-1])
-        self.at = np.flatnonzero(self.state[self.tokens] & self.state[self.before])
+        if sums is not None:
+            self.count = self.by_word(gather(sums, 0)[0][0])
+            self.state = self.count >= least
+        self.at = np.arange(len(self.tokens)) if least <= 1 else np.flatnonzero(self.state[self.tokens] & self.state[self.before])
         x = self.words[self.before[self.at]] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.tokens[self.at]]
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         self.pairs, self.which = np.unique(x ^ (x >> np.uint64(29)), return_inverse=True)
@@ -226,21 +228,27 @@ def score(docs: DataFrame, held=None, min_share: float = 0.0, block_chars: int =
 
     def with_sums(fn, schema: str, *sums: DataFrame) -> DataFrame:
         back = reduce(DataFrame.union, [x.select("block", F.lit(i).alias("kind"), "part", "sums", "once") for i, x in enumerate(sums)])
-        return cut.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(fn, schema)
+        return cut.drop("n").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(fn, schema)
 
     words = summed(cut.select("block", "h", "n").mapInArrow(words_of, SENT), "lm-words")
     total = words.agg(F.sum("total"), F.sum("kinds")).first()
     n, v = total[0] or 0, total[1] or 0
     least = max(1, int(np.ceil(min_share * n)))
 
-    def pairs_of(block: pa.Table, sums: pa.Table) -> pa.Table:
+    def pairs_of(block: pa.Table, sums: pa.Table | None) -> pa.Table:
         import zstandard
 
         r = Reach(block, sums, least)
         count = np.bincount(r.which[r.train[r.at]], minlength=len(r.pairs))
         return pa.Table.from_batches([send(block.column("block")[0].as_py(), r.pairs, [count], pair_parts, zstandard.ZstdCompressor(level=1))])
 
-    pairs = summed(with_sums(pairs_of, SENT, words), "lm-pairs")
+    def all_pairs(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from pairs_of(pa.Table.from_batches([b.slice(i, 1)]), None).to_batches()
+
+    told = cut.select("block", "held", "lens", "tokens", "h").mapInArrow(all_pairs, SENT) if least <= 1 else with_sums(pairs_of, SENT, words)
+    pairs = summed(told, "lm-pairs")
     seen = pairs.agg(F.sum("ones"), F.sum("twos")).first()
     d = min(0.9, max(0.1, seen[0] / (seen[0] + 2 * seen[1]))) if seen[0] else 0.5
 
