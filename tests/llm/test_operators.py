@@ -54,6 +54,34 @@ def test_literals_of_added_tokens_have_their_one_id():
     assert [x.tolist() for x in enc.encode(["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> <|endoftext", ""])][:2] == [[64, 50256, 65, 0], [50256, 0]]
 
 
+
+def test_words_seen_once_are_remembered_once():
+    enc = Encoder()
+    texts_ = ["we saw quorvex, and\nblorptang ran", "no\n\nquorvex, here \nbut\n", "Ünïquõr;\nquorvex, ñab\nwe", "\nab", "a\n", "\n", " \nx", "x \n y\nz"]
+    for t, got in zip(texts_, enc.encode(texts_)):
+        assert got.tolist() == [*enc.tok.encode(t, add_special_tokens=False).ids, 0], t
+    first = Encoder()
+    first.encode(texts_[:1])
+    assert "quorvex" in first.after_space and "quorvex," not in first.after_space and "blorptang" in first.bare
+    assert not any("\n" in c for c in first.after_space)  # a line end does not tie two words to one chunk
+    first.encode(texts_[:1])
+    assert "quorvex," in first.after_space and "\nblorptang" in first.after_space  # they came again
+
+
+def test_index_lists_hold_every_term_of_every_document():
+    from collections import Counter
+
+    docs = [np.array(x, np.uint16) for x in ([], [3, 3, 1], [], [3, 1, 1, 9], [9], [])]
+    ix = packing.Bm25(docs)
+    lists = {int(t): ix.doc[a:b].tolist() for t, a, b in zip(ix.terms, ix.begin, ix.end)}
+    assert lists == {t: [i for i, d in enumerate(docs) if t in d] for t in (1, 3, 9)}
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    for q in range(n):
+        want = [sum(np.log1p((n - len(lists[t]) + 0.5) / (len(lists[t]) + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * len(d) / mean))
+                    for t in set(docs[q].tolist())) for d in docs for c in [Counter(d.tolist())]]
+        assert np.allclose(ix.like(q), want, atol=1e-6)
+
+
 def test_rows_without_an_id_spread_over_index_shards(spark):
     rows = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text of all rows").alias("text"))
     got = packing.pack(rows.repartition(4), window=64, shard_docs=100)

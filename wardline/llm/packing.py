@@ -28,18 +28,24 @@ class Bm25:
     def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
         self.n = len(docs)
         lens = np.array([len(d) for d in docs], np.float64)
-        found = [np.unique(d, return_counts=True) for d in docs]
-        of = np.concatenate([t for t, _ in found]) if docs else np.zeros(0, np.uint16)
-        doc = np.repeat(np.arange(self.n), [len(t) for t, _ in found])
+        found = np.concatenate([np.sort(d) for d in docs]) if docs else np.zeros(0, np.uint16)
+        begin = np.append(0, np.cumsum(lens.astype(np.int64)))
+        fresh = np.append(True, found[1:] != found[:-1])[:len(found)]
+        fresh[begin[:-1][lens > 0]] = True
+        at = np.flatnonzero(fresh)  # the first of each term of each document
+        of, count = found[at], np.diff(np.append(at, len(found)))
+        self._at = np.searchsorted(at, begin)
+        doc = np.repeat(np.arange(self.n), np.diff(self._at))
         order = np.argsort(of, kind="stable")
-        self.doc, tf = doc[order], (np.concatenate([c for _, c in found]) if docs else of)[order]
-        self.terms, self.begin, df = np.unique(of[order], return_index=True, return_counts=True)
-        self.end = self.begin + df
+        self.doc, tf, of = doc[order], count[order], of[order]
+        self.begin = np.flatnonzero(np.append(True, of[1:] != of[:-1])[:len(of)])
+        self.end = np.append(self.begin[1:], len(of)) if len(of) else self.begin
+        self.terms, df = of[self.begin], self.end - self.begin
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         norm = k1 * (1 - b + b * lens / max(lens.mean() if self.n else 1.0, 1e-9))
         self.weight = np.repeat(idf, df) * tf * (k1 + 1) / (tf + norm[self.doc])
-        self._of = np.searchsorted(self.terms, of)
-        self._at = np.searchsorted(doc, np.arange(self.n + 1))
+        self._of = np.empty(len(order), np.int64)
+        self._of[order] = np.repeat(np.arange(len(df)), df)
         # lists of terms that over an eighth of the documents hold, as whole rows: at most eight times the postings
         often = df * 8 > self.n
         self._row = np.where(often, np.cumsum(often) - 1, -1)
