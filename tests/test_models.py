@@ -134,6 +134,87 @@ def test_fits_share_encoding_and_one_order(spark, labelled, monkeypatch):
     assert calls.count("hash_ranks") == 1 + len(COLS)
 
 
+def test_generator_draws_what_spark_draws(spark):
+    from wardline.models import boost as B
+
+    java = spark._jvm.org.apache.spark.util.random.XORShiftRandom
+    for seed in (1, 42, -7, 2**40 + 3):
+        one = java(seed)
+        assert list(B.drawn(seed - 4, 3, 0, 60, 0.8)) == [one.nextDouble() < 0.8 for _ in range(60)]
+        assert B.first_int(seed) == java(seed).nextInt()
+        assert (B.drawn(seed, 2, 0, 5000, 0.5)[777:1777] == B.drawn(seed, 2, 777, 1000, 0.5)).all()
+
+
+def test_thresholds_follow_the_sample():
+    from wardline.models import boost as B
+
+    assert list(B.thresholds(np.array([3.0, 1.0, 1.0]), 3.0, 255)) == [2.0]
+    assert list(B.thresholds(np.array([0.0, 2.0]), 2.0, 255)) == [1.0] and not len(B.thresholds(np.zeros(4), 4.0, 255))
+    many = np.arange(1.0, 6601.0)  # a sample larger than expected: MLlib cuts once more per stride
+    assert len(B.thresholds(many, 6600.0, 255)) == 255 and len(B.thresholds(many, 6540.0, 255)) > 255
+
+
+def boosted_like_mllib(labelled, arms, monkeypatch, block=None, **params):
+    """Metrics of ``boost`` and of MLlib for the same arms, and the names of MLlib's estimators that ran."""
+    from wardline.models import boost as B
+
+    if block:
+        monkeypatch.setattr(B, "BLOCK_ROWS", block)
+    train, test = SV.hash_split(labelled, "row_id", 0.7)
+    cols = sorted({c for num, text in (a[0] for a in arms) for c in num + text})
+    train, test = SV.encoded(SV.materialize(train), test, cols, "y")
+    ran, make = [], SV.estimator
+    monkeypatch.setattr(SV, "estimator", lambda *a, **k: ran.append(a[0]) or make(*a, **k))
+    got = {r["arm"]: r for r in SV.boost_rank(train, test, arms, "y", **params).collect()}
+    used = list(ran)
+    alone = [SV.fit_rank(train, test, types, "y", "gbt", seed, **params).first() for types, seed in arms]
+    return [(got[i]["pr_auc"], got[i]["roc_auc"]) for i in range(len(arms))], [(r["pr_auc"], r["roc_auc"]) for r in alone], used
+
+
+@pytest.mark.parametrize("params", [{"maxIter": 3, "subsamplingRate": 0.8}, {"maxIter": 2, "maxDepth": 6, "minInstancesPerNode": 4, "minInfoGain": 0.01, "stepSize": 0.3}])
+def test_fits_grow_together_as_mllib_grows_them(spark, labelled, monkeypatch, params):
+    wide = labelled.withColumn("zero", F.lit(0.0)).repartition(3, "row_id")
+    arms = [((["a", "noise", "zero"], ["kind"]), 1), ((["a", "noise", "zero"], ["kind"]), 2), ((["noise"], []), 2), (([], ["kind"]), 2), ((["zero"], []), 2)]
+    got, alone, ran = boosted_like_mllib(wide, arms, monkeypatch, **params)
+    assert not ran  # before: one fit of MLlib after the other
+    assert np.array(got) == pytest.approx(np.array(alone), abs=1e-3)
+
+
+def test_many_blocks_and_a_sampled_table(spark, monkeypatch):
+    from wardline.models import boost as B
+
+    rows = spark.range(0, 100_000, 1, 3).withColumn("u", F.rand(3)).select(
+        F.col("id").alias("row_id"), (F.rand(4) < 0.2 + 0.5 * F.pow("u", 3)).cast("int").alias("y"), F.when(F.col("id") % 7 > 0, F.col("u")).alias("a"),
+        F.floor(F.rand(5) * 50).cast("double").alias("noise"), F.when(F.rand(6) < 0.5, "x").otherwise("z").alias("kind"))
+    dealt = []
+    make = B.dealt
+    monkeypatch.setattr(B, "dealt", lambda *a: dealt.append(make(*a)) or dealt[-1])
+    monkeypatch.setattr(B, "TASK_BLOCKS", 2)
+    arms = [((["a", "noise"], ["kind"]), s) for s in (5, 6)]
+    got, alone, ran = boosted_like_mllib(SV.materialize(rows), arms, monkeypatch, 4096, maxIter=3, subsamplingRate=0.8)
+    assert not ran and np.array(got) == pytest.approx(np.array(alone), abs=1e-4)
+    held = dealt[0].glom().map(len).collect()
+    assert len(held) > 3 and max(held) <= 2 * min(held)
+
+
+def test_what_boost_does_not_know_goes_to_mllib(spark, labelled, monkeypatch):
+    arms = [((["a"], ["kind"]), 1), ((["noise"], []), 1)]
+    got, alone, ran = boosted_like_mllib(labelled, arms, monkeypatch, maxIter=2, minWeightFractionPerNode=0.01)
+    assert ran == ["gbt", "gbt"] and got == alone
+    with pytest.raises(Exception, match="(?i)label"):
+        SV.seed_sweep(labelled.withColumn("y", F.when(F.col("row_id") % 50 > 0, F.col("y"))), labelled, ["a"], "y", [1], maxIter=1)
+
+
+def test_sweep_grows_its_fits_in_one_go(spark, labelled, monkeypatch):
+    train, test = SV.hash_split(labelled, "row_id", 0.7)
+    ran, make = [], SV.estimator
+    monkeypatch.setattr(SV, "estimator", lambda *a, **k: ran.append(a[0]) or make(*a, **k))
+    swept = {r["metric"]: r for r in SV.seed_sweep(train, test, COLS, "y", [1, 2, 2], maxIter=2).collect()}
+    assert not ran and set(swept) == {"pr_auc", "roc_auc"}
+    alone = [SV.ranking(SV.score(SV.fit(train, COLS, "y", "gbt", s, subsamplingRate=0.8, maxIter=2), test, COLS), "y").first() for s in (1, 2)]
+    assert swept["roc_auc"]["mean"] == pytest.approx(np.average([r["roc_auc"] for r in alone], weights=[1, 2]), abs=1e-2)
+
+
 def test_seed_sweep_and_verdicts(spark, labelled):
     train, test = SV.hash_split(labelled, "row_id", 0.7)
     s = SV.seed_sweep(train, test, COLS, "y", [1, 2], maxIter=2)

@@ -14,11 +14,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wardline.functions import expr as X
+from wardline.models import boost as B
 from wardline.models.isotonic import isotonic_blocks, isotonic_map
 from wardline.operators import metrics as M
 from wardline.session import checkpoint_dir, materialize
 
 MAX_CATEGORIES = 256
+#: What ``boost`` knows of MLlib's parameters.
+BOOST_PARAMS = {"maxIter", "maxDepth", "stepSize", "subsamplingRate", "minInstancesPerNode", "minInfoGain"}
 
 
 def split_types(df: DataFrame, cols: list[str]) -> tuple[list[str], list[str]]:
@@ -104,6 +107,27 @@ def fit_rank(train: DataFrame, test: DataFrame, types: tuple[list[str], list[str
     return ranking(model.transform(test.withColumn("_weight", F.lit(1.0))).select(y, p), y)
 
 
+def boost_rank(train: DataFrame, test: DataFrame, arms: list[tuple[tuple[list[str], list[str]], int]], y: str, **params) -> DataFrame:
+    """Ranking metrics on ``test`` by ``arm``, the place in ``arms`` (numbers and texts read, seed), of boosted models of ``train``, both encoded.
+
+    ``boost`` grows all models at once. What it does not know (other parameters, labels or tables MLlib refuses) goes to MLlib, one fit each.
+    """
+    fits = [B.Fit([f"{c}_imp" for c in num] + [f"{c}_null" for c in num] + [f"{c}_idx" for c in text], seed) for (num, text), seed in arms]
+    n, valid = train.agg(F.count(F.lit(1)), F.count_if(F.col(y).cast("double").isin(0.0, 1.0))).first()
+    p = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 1.0, "minInstancesPerNode": 1, "minInfoGain": 0.0} | params
+    known = not params.keys() - BOOST_PARAMS and 0 < p["maxDepth"] <= B.MAX_DEPTH and 0 < n == valid
+    if not known or not all(f.cols and all(B.arity(train, c) <= min(n, MAX_CATEGORIES) for c in f.cols) for f in fits):
+        each = lambda x: fit_rank(train, test, x[1][0], y, "gbt", x[1][1], **params).withColumn("arm", F.lit(x[0]))
+        return reduce(DataFrame.unionByName, side_by_side(each, enumerate(arms)))
+    checkpoint_dir(train.sparkSession)
+    side_by_side(lambda f: B.find_cuts(train, f, n), fits)
+    B.train_all(train, y, fits, n, p["maxIter"], p["maxDepth"], p["stepSize"], p["subsamplingRate"], p["minInstancesPerNode"], p["minInfoGain"])
+    scored = materialize(B.score_all(test, y, fits, p["stepSize"]))
+    pairs = F.array(*[F.struct(F.lit(i).alias("arm"), F.col(f"s{i}").alias("score")) for i in range(len(fits))])
+    s = scored.select(F.col(y).alias("y"), F.explode(pairs).alias("_p")).select("_p.arm", "y", "_p.score")
+    return M.threshold_free(M.roc_curve(s, ["arm"]), ["arm"])
+
+
 def gbt_fit_score(train: DataFrame, test: DataFrame, arms: dict[str, list[str]], y: str, seed: int = 42, **params) -> DataFrame:
     """Test rows with one score column per arm (an arm is a named feature set, for ablations)."""
     out = test
@@ -163,11 +187,8 @@ def seed_sweep(train: DataFrame, test: DataFrame, cols: list[str], y: str, seeds
     types = split_types(train, cols)
     train, test = encoded(materialize(train), test, cols, y)
 
-    def one(s):
-        r = fit_rank(train, test, types, y, "gbt", s, subsamplingRate=0.8, **params).first()
-        return [(s, k, float(r[k])) for k in ("pr_auc", "roc_auc")]
-
-    rows = [x for part in side_by_side(one, seeds) for x in part]
+    found = boost_rank(train, test, [(types, s) for s in seeds], y, **({"subsamplingRate": 0.8} | params)).collect()
+    rows = [(seeds[r["arm"]], k, float(r[k])) for r in found for k in ("pr_auc", "roc_auc")]
     return M.seed_summary(_metrics(train.sparkSession, rows, "seed int, metric string, value double"), ["metric"])
 
 
