@@ -205,7 +205,7 @@ def test_what_boost_does_not_know_goes_to_mllib(spark, labelled, monkeypatch):
         SV.seed_sweep(labelled.withColumn("y", F.when(F.col("row_id") % 50 > 0, F.col("y"))), labelled, ["a"], "y", [1], maxIter=1)
 
 
-def test_sweep_grows_its_fits_in_one_go(spark, labelled, monkeypatch):
+def test_sweep_and_audit_grow_their_fits_in_one_go(spark, labelled, monkeypatch):
     train, test = SV.hash_split(labelled, "row_id", 0.7)
     ran, make = [], SV.estimator
     monkeypatch.setattr(SV, "estimator", lambda *a, **k: ran.append(a[0]) or make(*a, **k))
@@ -213,6 +213,12 @@ def test_sweep_grows_its_fits_in_one_go(spark, labelled, monkeypatch):
     assert not ran and set(swept) == {"pr_auc", "roc_auc"}
     alone = [SV.ranking(SV.score(SV.fit(train, COLS, "y", "gbt", s, subsamplingRate=0.8, maxIter=2), test, COLS), "y").first() for s in (1, 2)]
     assert swept["roc_auc"]["mean"] == pytest.approx(np.average([r["roc_auc"] for r in alone], weights=[1, 2]), abs=1e-2)
+    ran.clear()
+    audit = [(r["arm"], r["pr_auc"], r["roc_auc"]) for r in SV.leakage_audit(train, test, [*COLS, "leak"], "y", ["a", "kind"], seed=3, maxIter=2).collect()]
+    assert not ran and [x[0] for x in audit] == ["all", "without_leak", "without_suspects"]
+    for (_, ap, auc), cols in zip(audit, ([*COLS, "leak"], COLS, ["noise", "leak"])):
+        r = SV.ranking(SV.score(SV.fit(train, cols, "y", "gbt", 3, maxIter=2), test, cols), "y").first()
+        assert (ap, auc) == pytest.approx((r["pr_auc"], r["roc_auc"]), abs=1e-3)
 
 
 def test_seed_sweep_and_verdicts(spark, labelled):

@@ -230,13 +230,10 @@ def leakage_audit(train: DataFrame, test: DataFrame, cols: list[str], y: str, su
     arms = {"all": cols, f"without_{top}": [c for c in cols if c != top], "without_suspects": [c for c in cols if c not in suspects]}
     train, test = encoded(train, test, cols, y)
 
-    def one(arm):
-        types = [c for c in arm[1] if c in num], [c for c in arm[1] if c in text]
-        m = fit_rank(train, test, types, y, "gbt", seed, **params)
-        return m.select(F.lit(arm[0]).alias("arm"), "pr_auc", "roc_auc")
-
-    parts = side_by_side(one, arms.items())
-    return reduce(DataFrame.unionByName, parts)
+    types = [([c for c in a if c in num], [c for c in a if c in text]) for a in arms.values()]
+    found = boost_rank(train, test, [(t, seed) for t in types], y, **params).collect()
+    rows = [(list(arms)[r["arm"]], r["pr_auc"], r["roc_auc"]) for r in sorted(found, key=lambda r: r["arm"])]
+    return _metrics(train.sparkSession, rows, "arm string, pr_auc double, roc_auc double")
 
 
 def grouped_oof(df: DataFrame, cols: list[str], y: str, group: str, k: int = 5, seed: int = 42, **params) -> DataFrame:
