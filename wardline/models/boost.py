@@ -425,7 +425,7 @@ def score_all(test: DataFrame, y: str, fits: list[Fit], step: float) -> DataFram
                 for tables, value in plan:
                     margin += value.take(reached(made[same[k]], tables))
                 with np.errstate(over="ignore"):
-                    out[f"s{k}"] = pa.array(1.0 / (1.0 + np.exp(-2.0 * margin)))
+                    out[f"s{k}"] = pa.array(1.0 - 1.0 / (1.0 + np.exp(2.0 * margin)))
             yield pa.RecordBatch.from_pydict(out)
 
     schema = f"`{y}` int, " + ", ".join(f"s{k} double" for k in range(len(fits)))
